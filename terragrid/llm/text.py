@@ -73,3 +73,32 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return shift + np.arange(total)
+
+
+#: Bytes after a space at which a text may be cut before that space: no white space and no first byte of non-ASCII white space.
+_CUT = np.ones(256, bool)
+_CUT[:0x21] = False
+_CUT[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def units(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets of each text's units, all units): the units of a text, joined, are the text.
+
+    A unit starts at a space that is followed by something else than white space. Patterns that give such a space to the
+    word after it, as byte-level BPE vocabularies use, match each unit as they match it inside the text.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    if n == 0 or off[-1] == off[0]:
+        return np.zeros(n + 1, np.int64), pa.array([], pa.large_string())
+    buf = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(buf[off[0] : off[-1] - 1] == 0x20) + off[0]
+    at = at[_CUT[buf[at + 1]]]
+    last = off[np.searchsorted(off, at, side="right")]  # end of the text that holds the space
+    at = at[at + 1 < last]
+    starts = np.union1d(off[:-1][np.diff(off) > 0], at)
+    bounds = np.append(starts, off[-1]).astype(np.int64)
+    flat = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), data])
+    return np.searchsorted(starts, off).astype(np.int64), flat
