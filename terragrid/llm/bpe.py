@@ -31,7 +31,7 @@ from terragrid.llm.text import column, spread, units
 #: Pieces whose ids a worker keeps, pairs whose compatibility it keeps, and the largest rank file sent to executors.
 KEPT, PAIRS, MAX_VOCABULARY = 300_000, 1 << 18, 64 << 20
 #: White space as Unicode defines it; what \s means in the patterns.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
