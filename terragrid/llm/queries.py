@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.llm import bpe, mixing, near_dedup, token_counts, url_filter
+from terragrid.llm import bpe, mixing, near_dedup, substring_dedup, token_counts, url_filter
 
 RULES = [
     ("block", "com", "/en/"),
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumn("ids_sha256", F.sha2("ids", 256))
@@ -48,6 +53,7 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_repeated_spans": op3_repeated_spans,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_fair_mix": op6_fair_mix,
     "op8_near_duplicates": op8_near_duplicates,
