@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.llm import bpe, mixing, near_dedup, substring_dedup, token_counts, url_filter
+from terragrid.llm import bpe, fingerprints, mixing, near_dedup, substring_dedup, token_counts, url_filter
 
 RULES = [
     ("block", "com", "/en/"),
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(table(spark, sf_dir, "documents"))
+
+
 def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -53,6 +57,7 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_repeated_spans": op3_repeated_spans,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_fair_mix": op6_fair_mix,
