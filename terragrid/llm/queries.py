@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.llm import bpe, fingerprints, mixing, near_dedup, substring_dedup, token_counts, url_filter
+from terragrid.llm import bpe, fingerprints, language, mixing, near_dedup, substring_dedup, token_counts, url_filter
 
 RULES = [
     ("block", "com", "/en/"),
@@ -44,6 +44,12 @@ def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs.select("doc_id", "text"), language.learn(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repeated_spans": op3_repeated_spans,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_fair_mix": op6_fair_mix,
+    "op7_language": op7_language,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_url_cascade": op10_url_cascade,
