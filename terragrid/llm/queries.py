@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.llm import bpe, fingerprints, language, mixing, near_dedup, substring_dedup, token_counts, url_filter
+from terragrid.llm import bpe, fingerprints, language, mixing, near_dedup, sharding, substring_dedup, token_counts, url_filter
+from terragrid.llm.shared import new_folder
 
 RULES = [
     ("block", "com", "/en/"),
@@ -25,6 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrivals that the sharding query splits documents into.
+ARRIVALS = 4
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, shard (its place in the manifest), shard_bytes, version: where each document is after compaction."""
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    shards = sharding.compacted([docs.where(part == i) for i in range(ARRIVALS)], new_folder(spark, "shards"))
+    version = shards.version()
+    listed = spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.id, s.bytes) for s in shards.manifest(version)[1]], "file string, shard string, shard_bytes long")
+    rows = shards.read(version).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.col("_metadata.file_name").alias("file"))
+    return rows.join(F.broadcast(listed), "file").select("doc_id", "n_bytes", "shard", "shard_bytes", F.lit(version).alias("version"))  # one row a file
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.versions(table(spark, sf_dir, "documents"))
 
@@ -63,6 +79,7 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
     "op3_repeated_spans": op3_repeated_spans,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
