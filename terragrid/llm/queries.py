@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.llm import bpe, fingerprints, language, mixing, near_dedup, sharding, substring_dedup, token_counts, url_filter
+from terragrid.llm import audio, bpe, fingerprints, language, mixing, near_dedup, sharding, substring_dedup, token_counts, url_filter
 from terragrid.llm.shared import new_folder
 
 RULES = [
@@ -56,6 +56,12 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_audio_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound: each text's UTF-8 bytes are the recording, as unsigned 8-bit PCM at 8 kHz."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("media"))
+    return audio.align(docs, "media", "u8", rate=8000, frame=256, hop=64, id_col="doc_id").withColumnRenamed("id", "doc_id")
+
+
 def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_repeated_spans": op3_repeated_spans,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_audio_align": op5_audio_align,
     "op6_fair_mix": op6_fair_mix,
     "op7_language": op7_language,
     "op8_near_duplicates": op8_near_duplicates,
