@@ -7,7 +7,7 @@ agree in a coordinate with the probability of the texts' weighted Jaccard simila
 to its shingles plus k log k, whatever the weights.
 
 Bands of `rows` coordinates are joined. No bucket's pairs are written out: each member is first held against the
-bucket's smallest one, by exact Jaccard similarity of the shingle sets. Members that are connected then need no more
+smallest one of a bucket or two, by exact Jaccard similarity of the shingle sets. Members that are connected then need no more
 comparisons. Where a bucket still falls into several components, its members are compared in blocks of bounded size by
 their signatures, and likely pairs are verified exactly. A link within the threshold is missed only if the pair shares no
 band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 4 standard deviations off.
@@ -33,6 +33,8 @@ from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Members of a bucket that are compared with one another at a time.
 BLOCK = 256
+#: Leaders (smallest members of its buckets) that a text is held against before blocks are compared.
+LEADERS = 2
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +46,8 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     size = np.diff(off)
     short = np.flatnonzero((size > 0) & (size < n))
     if len(short):
-        whole = [mix(np.array([sum((int(h) * (2 * i + 3) for i, h in enumerate(hashes[off[s] : off[s + 1]])), len(short)) % 2**64 ^ int(size[s])], U))[0] for s in short]
-        g, text = np.concatenate([g, np.array(whole, U)]), np.concatenate([text, short])
+        whole = [sum(int(h) * (2 * i + 3) for i, h in enumerate(hashes[off[t] : off[t + 1]])) % 2**64 ^ int(size[t]) for t in short]
+        g, text = np.concatenate([g, mix(np.array(whole, U))]), np.concatenate([text, short])
     order = np.lexsort((g, text))
     g, text = g[order], text[order]
     first = np.ones(len(g), bool)
@@ -146,10 +148,8 @@ def shingle_sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, shingles array<long>")
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `threshold` or more; only their texts are shingled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    sets = cut_lineage(shingle_sets(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), n, id_col, text_col))
+def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (id, shingles) have a Jaccard similarity of `threshold` or more."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
@@ -214,9 +214,21 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     members = sets.select("rep", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(members.join(buckets, "bucket"))
-    star = cut_lineage(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut_lineage(similar_pairs(star, df, n, threshold, id_col, text_col))
-    labels = components(links)
+    ids = members.select(F.col("rep").alias(id_col)).distinct()
+    texts = cut_lineage(shingle_sets(df.select(id_col, text_col).join(ids, id_col, "left_semi"), n, id_col, text_col))
+    star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    links = labels = tried = None
+    for _ in range(LEADERS):  # one leader each time; those already connected need no other
+        new = star
+        if labels is not None:
+            la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+            apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+            new = star.join(tried, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(apart).select("a", "b")
+        new = cut_lineage(new.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        found = similar_pairs(new, texts, threshold)
+        links = cut_lineage(found if links is None else links.unionByName(found))
+        tried = new if tried is None else tried.unionByName(new)
+        labels = components(links)
     # buckets that still fall into several components
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
     open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
@@ -226,10 +238,10 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     left = left.join(sets.select("rep", "sig"), "rep").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig")
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = dealt.mapInArrow(_compare_blocks(least, bands * rows), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    more = dealt.mapInArrow(_compare_blocks(least, bands * rows), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     more = cut_lineage(more)
     if not more.isEmpty():
-        links = cut_lineage(links.unionByName(similar_pairs(more, df, n, threshold, id_col, text_col)))
+        links = cut_lineage(links.unionByName(similar_pairs(more, texts, threshold)))
         labels = components(links)
     classes = sets.select(*named, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*named, F.coalesce("label", "rep").alias("class_id"))
     out = prints.select("id", *named).join(classes, named, "left")
