@@ -9,7 +9,7 @@ to its shingles plus k log k, whatever the weights.
 Bands of `rows` coordinates are joined. No bucket's pairs are written out: each member is first held against the
 smallest one of a bucket or two, by exact Jaccard similarity of the shingle sets. Members that are connected then need no more
 comparisons. Where a bucket still falls into several components, its members are compared in blocks of bounded size by
-their signatures, and likely pairs are verified exactly. A link within the threshold is missed only if the pair shares no
+their signatures, and likely pairs are verified exactly in place: only links leave a block, fewer than it has members. A link within the threshold is missed only if the pair shares no
 band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 4 standard deviations off.
 
 Nulls: null texts and texts without words have no shingles and are linked to nothing; a null id is left alone. A text of
@@ -31,8 +31,8 @@ from terragrid.llm.components import components
 from terragrid.llm.shared import cut_lineage, slices
 from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
-#: Members of a bucket that are compared with one another at a time.
-BLOCK = 256
+#: Members of a bucket that are compared with one another at a time, and shingles that they have together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Leaders (smallest members of its buckets) that a text is held against before blocks are compared.
 LEADERS = 2
 
@@ -155,21 +155,37 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
 
 
-def _compare_blocks(least: float, k: int):
-    """mapInArrow over rows ordered by (bucket, i, j): pairs of one group that differ in component and look alike."""
-    names = ["bucket", "i", "j", "own", "id", "label", "sig"]
+def _compare_blocks(least: float, threshold: float, k: int):
+    """mapInArrow over rows ordered by (bucket, i, j): links between members of one group that differ in component.
 
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    Likely pairs are verified by their shingle sets here, the most alike first; what a link connects needs no other, so a
+    group gives fewer links than it has members.
+    """
+    names = ["bucket", "i", "j", "own", "id", "label", "sig", "shingles"]
+
+    def pairs(t: pa.Table) -> tuple[list[int], list[int]]:
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, k)
-        ids, label, own = (t[c].to_numpy() for c in ("id", "label", "own"))
+        ids, label, own = (t[c].to_numpy().copy() for c in ("id", "label", "own"))
+        lists = column(t, "shingles")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         one = t["i"][0].as_py() == t["j"][0].as_py()
         rest = np.arange(len(ids)) if one else np.flatnonzero(own == t["j"][0].as_py())
         found = [], []
         for x in rest if one else np.flatnonzero(own == t["i"][0].as_py()):
             y = rest[(label[rest] != label[x]) & (ids[rest] > ids[x] if one else True)]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-            found[0].extend(np.minimum(ids[y], ids[x]))
-            found[1].extend(np.maximum(ids[y], ids[x]))
+            if not len(y):
+                continue
+            alike = (sig[y] == sig[x]).mean(axis=1)
+            mine = flat[ends[x] : ends[x + 1]]
+            for z in y[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
+                if label[z] == label[x]:
+                    continue
+                other = flat[ends[z] : ends[z + 1]]
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                if shared >= threshold * (len(mine) + len(other) - shared) - 1e-9:
+                    found[0].append(min(ids[x], ids[z]))
+                    found[1].append(max(ids[x], ids[z]))
+                    label[label == label[z]] = label[x]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +227,10 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     named = ["set_a", "set_b", "n_shingles"]
     sets = prints.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*named).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     sets = cut_lineage(sets)
-    members = sets.select("rep", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(members.join(buckets, "bucket"))
+    members = sets.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
+    members = cut_lineage(members.drop("n_shingles").join(buckets, "bucket"))
     ids = members.select(F.col("rep").alias(id_col)).distinct()
     texts = cut_lineage(shingle_sets(df.select(id_col, text_col).join(ids, id_col, "left_semi"), n, id_col, text_col))
     star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -230,18 +247,17 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
         tried = new if tried is None else tried.unionByName(new)
         labels = components(links)
     # buckets that still fall into several components
-    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "blocks", F.coalesce("label", "rep").alias("label"))
     open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    left = placed.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.join(sets.select("rep", "sig"), "rep").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    left = placed.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.join(sets.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "shingles"), "rep")
+    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig", "shingles")
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = dealt.mapInArrow(_compare_blocks(least, bands * rows), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut_lineage(more)
+    more = cut_lineage(dealt.mapInArrow(_compare_blocks(least, threshold, bands * rows), "a long, b long").distinct())
     if not more.isEmpty():
-        links = cut_lineage(links.unionByName(similar_pairs(more, texts, threshold)))
+        links = cut_lineage(links.unionByName(more))
         labels = components(links)
     classes = sets.select(*named, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*named, F.coalesce("label", "rep").alias("class_id"))
     out = prints.select("id", *named).join(classes, named, "left")
