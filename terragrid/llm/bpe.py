@@ -29,7 +29,7 @@ from terragrid.llm.shared import slices
 from terragrid.llm.text import column, spread, units
 
 #: Pieces whose ids a worker keeps, pairs whose compatibility it keeps, and the largest rank file sent to executors.
-KEPT, PAIRS, MAX_VOCABULARY = 300_000, 1 << 18, 64 << 20
+KEPT, PAIRS, MAX_VOCABULARY = 150_000, 1 << 17, 64 << 20
 #: White space as Unicode defines it; what \s means in the patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -110,7 +110,7 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return Encoder(read_ranks(data), pattern)
 
 
-def encode_slice(texts: pa.Array, enc: Encoder, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(texts: pa.Array, enc: Encoder, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of each text's ids, all ids); each distinct unit of the slice is encoded once."""
     off, flat = units(texts)
     if not len(flat):
@@ -121,12 +121,12 @@ def encode_slice(texts: pa.Array, enc: Encoder, known: dict[str, np.ndarray]) ->
         known.clear()
     for u in distinct:
         if u not in known:
-            known[u] = np.array(enc.text(u), np.uint32)
+            known[u] = np.array(enc.text(u), "<u4").tobytes()
     each = [known[u] for u in distinct]
-    size = np.fromiter(map(len, each), np.int64, len(each))
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     code = np.asarray(coded.indices)
-    ids = np.concatenate(each)[spread(starts[code], size[code])]
+    ids = np.frombuffer(b"".join(each), "<u4")[spread(starts[code], size[code])]
     upto = np.concatenate([[0], np.cumsum(size[code])])
     return upto[off], ids
 
@@ -145,7 +145,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch, text_col, 4 << 20):
                 off, ids = encode_slice(column(part, text_col), enc, known)
