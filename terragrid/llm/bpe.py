@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from terragrid.llm.shared import slices
 from terragrid.llm.text import column, spread, units
 
-#: Pieces whose ids a worker keeps, pairs whose compatibility it keeps, and the largest rank file sent to executors.
-KEPT, PAIRS, MAX_VOCABULARY = 150_000, 1 << 17, 64 << 20
+#: Units and pieces whose ids a worker keeps, pairs whose compatibility it keeps, bytes of a piece that is kept, and the
+#: largest rank file sent to executors.
+KEPT, PAIRS, SHORT, MAX_VOCABULARY = 120_000, 1 << 17, 32, 64 << 20
 #: White space as Unicode defines it; what \s means in the patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -52,6 +53,7 @@ class Encoder:
                 self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
         self.may_follow = lru_cache(maxsize=PAIRS)(self._may_follow)
+        self.short: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, the leftmost of equals, until none can be merged."""
@@ -101,7 +103,13 @@ class Encoder:
     def text(self, text: str) -> list[int]:
         out: list[int] = []
         for m in self.pattern.findall(text):
-            out += self.piece(m.encode())
+            piece = m.encode()
+            ids = self.short.get(piece)
+            if ids is None:
+                ids = self.piece(piece)
+                if len(piece) <= SHORT and len(self.short) < KEPT:
+                    self.short[piece] = ids
+            out += ids
         return out
 
 
@@ -117,12 +125,14 @@ def encode_slice(texts: pa.Array, enc: Encoder, known: dict[str, bytes]) -> tupl
         return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint32)
     coded = flat.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    if len(known) + len(distinct) > KEPT:
-        known.clear()
+    each = []
     for u in distinct:
-        if u not in known:
-            known[u] = np.array(enc.text(u), "<u4").tobytes()
-    each = [known[u] for u in distinct]
+        ids = known.get(u)
+        if ids is None:
+            ids = np.array(enc.text(u), "<u4").tobytes()
+            if len(known) < KEPT:  # the commonest units come first
+                known[u] = ids
+        each.append(ids)
     size = np.fromiter(map(len, each), np.int64, len(each)) // 4
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     code = np.asarray(coded.indices)
