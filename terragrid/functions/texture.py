@@ -96,13 +96,15 @@ def spatial_entropy(v: Column, h: Column, w: Column, adjacency: str = "rook", na
 
 
 def level_pairs(v: Column, w: Column, levels: int = 256) -> Column:
-    """array<struct<a, b>> of 8-bit values of each pixel and its right neighbour. Values wrap around, as 8-bit casts do."""
+    """array<struct<a, b>> of 8-bit values of each pixel and its right neighbour. Values wrap around, as 8-bit casts do;
+    pairs with a missing pixel are left out."""
 
     def of(g: Column) -> Column:
         inside = F.filter(upto(F.size(g) - 1), lambda i: (i + 1) % w != 0)
-        return F.transform(inside, lambda i: F.struct(F.get(g, i).alias("a"), F.get(g, i + 1).alias("b")))
+        pairs = F.transform(inside, lambda i: F.struct(F.get(g, i).alias("a"), F.get(g, i + 1).alias("b")))
+        return F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
 
-    return let(F.transform(v, lambda x: F.pmod(x.cast("bigint"), F.lit(levels))), of)
+    return let(F.transform(v, lambda x: F.pmod(x.try_cast("bigint"), F.lit(levels))), of)
 
 
 def contrast(v: Column, h: Column, w: Column) -> Column:
