@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from terragrid.llm.text import column, spread, units
 
 #: Units and pieces whose ids a worker keeps, pairs whose compatibility it keeps, bytes of a piece that is kept, and the
 #: largest rank file sent to executors.
-KEPT, PAIRS, SHORT, MAX_VOCABULARY = 120_000, 1 << 17, 32, 64 << 20
+KEPT, PAIRS, SHORT, MAX_VOCABULARY = 200_000, 1 << 17, 32, 64 << 20
 #: White space as Unicode defines it; what \s means in the patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -53,7 +54,8 @@ class Encoder:
                 self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
         self.may_follow = lru_cache(maxsize=PAIRS)(self._may_follow)
-        self.short: dict[bytes, list[int]] = {}
+        self.short: dict[bytes, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, the leftmost of equals, until none can be merged."""
@@ -100,17 +102,22 @@ class Encoder:
                 left[at] = len(found[at])
         return out
 
-    def text(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        out = []
         for m in self.pattern.findall(text):
             piece = m.encode()
             ids = self.short.get(piece)
             if ids is None:
-                ids = self.piece(piece)
+                found = self.piece(piece)
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(piece) <= SHORT and len(self.short) < KEPT:
                     self.short[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def text(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
 
 @lru_cache(maxsize=2)
@@ -118,18 +125,18 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return Encoder(read_ranks(data), pattern)
 
 
-def encode_slice(texts: pa.Array, enc: Encoder, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(texts: pa.Array, enc: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of each text's ids, all ids); each distinct unit of the slice is encoded once."""
     off, flat = units(texts)
     if not len(flat):
         return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint32)
     coded = flat.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    each = []
+    each, known = [], enc.units
     for u in distinct:
         ids = known.get(u)
         if ids is None:
-            ids = np.array(enc.text(u), "<u4").tobytes()
+            ids = enc.packed(u)
             if len(known) < KEPT:  # the commonest units come first
                 known[u] = ids
         each.append(ids)
@@ -155,10 +162,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
-        known: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch, text_col, 4 << 20):
-                off, ids = encode_slice(column(part, text_col), enc, known)
+                off, ids = encode_slice(column(part, text_col), enc)
                 packed = ids.astype("<u4").tobytes()
                 blobs = [packed[4 * a : 4 * b] for a, b in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(np.diff(off)), pa.array(blobs, pa.binary())], [id_col, "n_tokens", "ids"])
