@@ -82,12 +82,12 @@ class Encoder:
         left = [len(x) for x in found]  # how many of them are untried
         dead = bytearray(n + 1)  # places from which the rest can't be encoded
         out: list[int] = []
-        at = 0
+        at, may_follow = 0, self.may_follow
         while at < n:
             while left[at]:
                 left[at] -= 1
                 size, token = found[at][left[at]]
-                if not dead[at + size] and (not out or self.may_follow(out[-1], token)):
+                if not dead[at + size] and (not out or may_follow(out[-1], token)):
                     out.append(token)
                     at += size
                     break

@@ -98,7 +98,8 @@ def units(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     at = at[_CUT[buf[at + 1]]]
     last = off[np.searchsorted(off, at, side="right")]  # end of the text that holds the space
     at = at[at + 1 < last]
-    starts = np.union1d(off[:-1][np.diff(off) > 0], at)
+    starts = np.sort(np.concatenate([off[:-1][np.diff(off) > 0], at]), kind="stable")  # two ascending runs
+    starts = starts[np.append(True, starts[1:] != starts[:-1])]
     bounds = np.append(starts, off[-1]).astype(np.int64)
     flat = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), data])
     return np.searchsorted(starts, off).astype(np.int64), flat
