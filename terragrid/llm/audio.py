@@ -5,14 +5,17 @@ image, 16 filters compare the energy of rectangles of a window of 16 frames; eac
 that each frame becomes a packed 32-bit integer, of which similar sounds differ in few bits.
 
 The search finds, for every recording whose id is divisible by `every`, all recordings that align with it. Recordings
-with equal fingerprints are one class and are compared once. Landmarks (the classes' distinct integers, those with a
-hash in the lowest 1 / LANDMARK) are joined; a histogram of frame offsets proposes the best alignments of each two
-classes, and the bit error rate of the integers that overlap there decides. Landmarks are chosen by content, alike in
-query and recording; a recording with fewer than FEW integers is looked up by all of them.
+with equal fingerprints are one class and are compared once. An alignment with a bit error rate of e at most has an integer
+with 32 e unequal bits at most (no mean is under its least term), and one half of that integer has half of them at most: so
+the integers are looked up by each half with up to so many bits turned. Every pair of integers this near proposes an
+alignment, all proposals are judged by the integers that overlap there, and the one with the lowest bit error rate stays.
+No admitted pair is missed, whatever its length or offset.
+
+Queries and classes are dealt into packs of bounded size, and each pack of queries meets each pack of classes in one task:
+the work grows with queries times recordings, by a small factor (about 5 of 1,000 pairs of integers share a probed half).
 
 Nulls: null or empty media have no integers and belong to no class; null ids are in no class. Recordings shorter than a
-window are repeated up to it. What joins is an integer that both have bit by bit: recordings that differ in a tenth of all
-bits or less have many of them; a looser `most_errors` finds fewer of the pairs it admits. Repeated rows are members of one class. Empty tables give empty results.
+window are repeated up to it. Repeated rows are members of one class. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from terragrid.llm.text import U, column, mix, spread
 
 #: Frames of a filter's window.
 WINDOW = 16
-#: One integer in LANDMARK is joined; recordings of up to FEW integers join all.
-LANDMARK, FEW = 4, 16
+#: Integers of a pack of queries and of a pack of classes; a longer recording is in a pack of its own or ends one.
+QUERY_PACK, CLASS_PACK = 1 << 17, 1 << 19
+#: Candidates, proposals or integers worked on at once.
+STEP = 1 << 21
 #: Frames of a batch of transforms.
 BATCH = 1 << 15
 
@@ -133,23 +138,112 @@ def fingerprints(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 1
     return df.select(id_col, media_col).mapInArrow(run, f"id {id_type}, n_ints int, fp_a long, fp_b long, ints binary")
 
 
-def landmarks(classes: DataFrame) -> DataFrame:
-    """class_id, mark, place: the chosen integers of each class with the first frame that has each."""
+def packs(classes: DataFrame, most: int) -> DataFrame:
+    """ids, ends, ints (binary: 64, 64 and 32 bits each): the classes of each partition in packs of about `most` integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, blobs, held = [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(x) // 4 for x in blobs)], dtype="<i8")
+            return pa.RecordBatch.from_pydict({"ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary()), "ints": pa.array([b"".join(blobs)], pa.binary())})
+
         for batch in batches:
-            out = [], [], []
             for i, blob in zip(column(batch, "class_id").to_pylist(), column(batch, "ints").to_pylist()):
-                marks, place = np.unique(np.frombuffer(blob, "<u4"), return_index=True)
-                if len(blob) // 4 > FEW and (pick := mix(marks.astype(U)) % U(LANDMARK) == 0).any():
-                    marks, place = marks[pick], place[pick]
-                out[0].append(np.full(len(marks), i))
-                out[1].append(marks.astype(np.int64))
-                out[2].append(place.astype(np.int32))
-            kinds = np.int64, np.int64, np.int32
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(out, kinds)], ["class_id", "mark", "place"])
-
-    return classes.select("class_id", "ints").mapInArrow(run, "class_id long, mark long, place int")
+                ids.append(i)
+                blobs.append(blob)
+                held += len(blob) // 4
+                if held >= most:
+                    yield pack()
+                    ids, blobs, held = [], [], 0
+        if ids:
+            yield pack()
+
+    return classes.select("class_id", "ints").mapInArrow(run, "ids binary, ends binary, ints binary")
+
+
+def cuts(sizes: np.ndarray) -> Iterator[slice]:
+    """Consecutive slices of `sizes` that sum to about STEP at most; a larger one is a slice of its own."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def near(q: np.ndarray, d: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in q and d (distinct integers) of all pairs with up to `most` unequal bits, each once."""
+    flips = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)) <= most // 2)
+    for shift in (16, 0):
+        half = lambda x: (x >> np.uint32(shift) & np.uint32(0xFFFF)).astype(np.int64)  # noqa: B023, E731
+        order = np.argsort(half(d).astype(np.uint16), kind="stable")
+        sought, starts = d[order], np.searchsorted(half(d)[order], np.arange((1 << 16) + 1))
+        few = max(1, STEP // len(flips))
+        for low in range(0, len(q), few):
+            probe = (half(q[low : low + few])[:, None] ^ flips).ravel()
+            size = starts[probe + 1] - starts[probe]
+            use = np.flatnonzero(size)
+            who, first, size = low + use // len(flips), starts[probe[use]], size[use]
+            for part in cuts(size):
+                at, asks = spread(first[part], size[part]), np.repeat(who[part], size[part])
+                unequal = sought[at] ^ q[asks]
+                good = np.bitwise_count(unequal) <= most
+                if shift == 0:  # the pairs near in the upper half are given already
+                    good &= np.bitwise_count(unequal >> np.uint32(16)) > most // 2
+                yield asks[good], order[at[good]]
+
+
+def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_errors: float, least_overlap: int) -> list[np.ndarray]:
+    """id, class_id, offset, overlap, errors of the best admitted alignment of each recording of `a` with each of `b` (ids, ends, ints)."""
+    (ids_a, ends_a, ints_a), (ids_b, ends_b, ints_b) = a, b
+    len_a, len_b = np.diff(ends_a), np.diff(ends_b)
+    rec_a, rec_b = np.repeat(np.arange(len(len_a)), len_a), np.repeat(np.arange(len(len_b)), len_b)
+    order_a, order_b = np.argsort(ints_a, kind="stable"), np.argsort(ints_b, kind="stable")
+    q, first_a, n_a = np.unique(ints_a[order_a], return_index=True, return_counts=True)
+    d, first_b, n_b = np.unique(ints_b[order_b], return_index=True, return_counts=True)
+    span = int(len_a.max(initial=0) + len_b.max(initial=0)) + 1
+    kept = [[np.zeros(0, np.int64) for _ in range(4)] + [np.zeros(0)]]
+
+    def judge(x: np.ndarray, y: np.ndarray) -> None:
+        """The alignments that the near integers q[x], d[y] propose, at all places that have them."""
+        upto = np.concatenate([[0], np.cumsum(n_a[x] * n_b[y])])
+        for low in range(0, int(upto[-1]), STEP):
+            nth = np.arange(low, min(low + STEP, upto[-1]))
+            hit = np.searchsorted(upto, nth, "right") - 1
+            nth -= upto[hit]
+            i = order_a[first_a[x[hit]] + nth // n_b[y[hit]]]
+            j = order_b[first_b[y[hit]] + nth % n_b[y[hit]]]
+            r, s = rec_a[i], rec_b[j]
+            key = np.unique((r * len(len_b) + s) * (2 * span) + (i - ends_a[r]) - (j - ends_b[s]) + span)
+            pair, offset = key // (2 * span), key % (2 * span) - span
+            r, s = pair // len(len_b), pair % len(len_b)
+            start = np.maximum(0, offset)
+            overlap = np.minimum(len_a[r], len_b[s] + offset) - start
+            use = (ids_a[r] != ids_b[s]) & (overlap >= np.minimum(least_overlap, np.maximum(len_a[r], len_b[s]) // 4))
+            for share in (2, 1):  # what exceeds the errors of the whole in its first half is not read to the end
+                r, s, offset, start, overlap = (v[use] for v in (r, s, offset, start, overlap))
+                n, errors = -(-overlap // share), np.zeros(len(r), np.int64)
+                for part in cuts(n):
+                    unequal = ints_a[spread((ends_a[r] + start)[part], n[part])] ^ ints_b[spread((ends_b[s] + start - offset)[part], n[part])]
+                    errors[part] = np.add.reduceat(np.bitwise_count(unequal), np.cumsum(n[part]) - n[part], dtype=np.int64)
+                use = errors / (32 * overlap) <= most_errors
+            kept.append([v[use] for v in (r, s, offset, overlap, errors / (32 * overlap))])
+
+    held, proposals = [], 0
+    for x, y in near(q, d, int(32 * most_errors + 1e-9)):
+        held.append((x, y))
+        proposals += int((n_a[x] * n_b[y]).sum())
+        if proposals >= STEP:
+            judge(*map(np.concatenate, zip(*held)))
+            held, proposals = [], 0
+    if held:
+        judge(*map(np.concatenate, zip(*held)))
+    r, s, offset, overlap, errors = map(np.concatenate, zip(*kept))
+    order = np.lexsort((offset, np.abs(offset), -overlap, errors, s, r))
+    r, s, offset, overlap, errors = (v[order] for v in (r, s, offset, overlap, errors))
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+    return [ids_a[r[first]], ids_b[s[first]], offset[first].astype(np.int32), overlap[first].astype(np.int32), errors[first]]
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -160,35 +254,31 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()) / (32 * (hi - lo)), hi - lo
 
 
-def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, frame: int = 4096, hop: int = 1365, id_col: str = "id", every: int = 100, most_errors: float = 0.1, least_overlap: int = 16, least_votes: int = 2) -> DataFrame:
+def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, frame: int = 4096, hop: int = 1365, id_col: str = "id", every: int = 100, most_errors: float = 0.1, least_overlap: int = 16) -> DataFrame:
     """Classes of recordings and the alignments of the queries, as rows of two kinds.
 
     `member`: id and its class_id (the smallest id with the same integers), n_ints. `match`: id is the class of a
     recording whose id is divisible by `every`, class_id a class that aligns with it, offset the frame of the query
     where the other starts, overlap the integers compared, errors their bit error rate (at most `most_errors`; the
-    overlap is at least `least_overlap` or, of shorter recordings, the whole of both). An alignment needs `least_votes` equal landmarks, or
-    all of them where a recording has fewer.
+    overlap is at least `least_overlap` or a quarter of the longer recording). Of all admitted offsets of two classes the
+    one with the lowest rate is given, then the longest overlap, then the least shift.
     """
     prints = cut_lineage(fingerprints(df, media_col, kind, rate, frame, hop, id_col).withColumn("id", F.col("id").cast("long")))
     key = ["fp_a", "fp_b", "n_ints"]
     usable = prints.where("n_ints > 0 AND id IS NOT NULL")
     classes = cut_lineage(usable.groupBy(*key).agg(F.min("id").alias("class_id"), F.max(F.col("id") % every == 0).alias("asked"), F.first("ints").alias("ints")))
-    marks = landmarks(classes)
-    asked = marks.join(classes.where("asked").select("class_id"), "class_id").select(F.col("class_id").alias("id"), "mark", F.col("place").alias("at"))
-    votes = asked.join(marks, "mark").where("id != class_id").groupBy("id", "class_id", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
-    few = F.least(F.lit(least_votes), F.lit(1) + F.col("n_ints_b").cast("int") / FEW)
-    best = votes.groupBy("id", "class_id").agg(F.max_by("offset", F.struct("votes", "offset")).alias("offset"), F.max("votes").alias("votes"))
-    a = classes.select(F.col("class_id").alias("id"), F.col("ints").alias("ints_a"))
-    b = classes.select("class_id", F.col("ints").alias("ints_b"), F.col("n_ints").alias("n_ints_b"))
-    pairs = best.join(b, "class_id").where(F.col("votes") >= few).join(a, "id").select("id", "class_id", "offset", "ints_a", "ints_b")
+    asked = classes.where("asked")
+    n_packs = 1 + (asked.agg(F.sum("n_ints")).first()[0] or 0) // QUERY_PACK
+    a = cut_lineage(packs(asked.repartition(n_packs), QUERY_PACK)).select(*(F.col(c).alias(f"{c}_a") for c in ("ids", "ends", "ints")))
+    pairs = a.hint("shuffle_replicate_nl").crossJoin(cut_lineage(packs(classes, CLASS_PACK)))
+    kinds = {"ids": "<i8", "ends": "<i8", "ints": "<u4"}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = {c: column(batch, c).to_pylist() for c in ("ints_a", "ints_b", "offset")}
-            got = [bit_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for x, y, o in zip(t["ints_a"], t["ints_b"], t["offset"])]
-            keep = [e <= most_errors and n >= min(least_overlap, max(len(x), len(y)) // 4) for (e, n), x, y in zip(got, t["ints_a"], t["ints_b"])]
-            out = pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "class_id"), column(batch, "offset"), pa.array([n for _, n in got], pa.int32()), pa.array([e for e, _ in got], pa.float64())], ["id", "class_id", "offset", "overlap", "errors"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+            for i in range(batch.num_rows):
+                x, y = (tuple(np.frombuffer(column(batch, c + side)[i].as_py(), k) for c, k in kinds.items()) for side in ("_a", ""))
+                got = best_alignments(x, y, most_errors, least_overlap)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["id", "class_id", "offset", "overlap", "errors"])
 
     none = lambda t: F.lit(None).cast(t)
     matches = pairs.mapInArrow(judge, "id long, class_id long, offset int, overlap int, errors double")

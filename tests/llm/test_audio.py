@@ -101,6 +101,35 @@ def test_recall_against_brute_force(spark):
     assert len(got - want) <= 0.1 * len(got)
 
 
+def test_near_integers_are_all_found():
+    rng = np.random.default_rng(5)
+    q = np.unique(rng.integers(0, 1 << 32, 200, dtype=np.uint32))
+    turned = [x ^ np.bitwise_or.reduce(np.uint32(1) << rng.integers(0, 32, n, dtype=np.uint32)) for x in q for n in (1, 2, 3, 4, 5)]
+    d = np.unique(np.concatenate([turned, q[:50]]).astype(np.uint32))
+    for most in (0, 1, 3, 4):
+        got = [pair for x, y in audio.near(q, d, most) for pair in zip(x.tolist(), y.tolist())]
+        want = set(zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(q[:, None] ^ d) <= most))))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_recordings_without_an_equal_integer_are_found(spark):
+    """Short texts and their edited copies: one integer each, unequal in 1 to 3 bits."""
+    rng, rows, want = random.Random(6), [], set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars BETWEEN 900 AND 1200").orderBy("doc_id").limit(40).collect():
+        text = r.text.encode()[:1200]
+        x = bytearray(text)
+        for p in rng.sample(range(len(x)), 3):
+            x[p] = rng.randrange(97, 122)
+        ints = [audio.fingerprints_of([audio.samples(bytes(b), "u8")], 8000, 256, 64)[1] for b in (text, x)]
+        if 1 <= np.bitwise_count(ints[0] ^ ints[1]).sum() <= 3:
+            assert len(ints[0]) == len(ints[1]) == 1
+            rows += [(100 * len(rows), bytearray(text)), (100 * len(rows) + 1, x)]
+            want.add((rows[-2][0], rows[-1][0]))
+    assert len(want) >= 3
+    out = audio.align(spark.createDataFrame(rows, "id long, media binary"), "media", "u8", 8000, 256, 64).collect()
+    assert want <= {(r.id, r.class_id) for r in out if r.kind == "match" and r.offset == 0 and r.overlap == 1}
+
+
 def test_query(spark, sf):
     rows = op5_audio_align(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
