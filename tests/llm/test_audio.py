@@ -130,6 +130,47 @@ def test_recordings_without_an_equal_integer_are_found(spark):
     assert want <= {(r.id, r.class_id) for r in out if r.kind == "match" and r.offset == 0 and r.overlap == 1}
 
 
+def admitted_pairs(fps, asked, most_errors=0.1, least_overlap=16):
+    """Pairs of ids that the query's rule admits at any offset, by the bit errors of all integers against all."""
+    ids = sorted(fps)
+    size, whole = np.array([len(fps[i]) for i in ids]), np.concatenate([fps[i] for i in ids])
+    doc = np.repeat(np.arange(len(ids)), size)
+    place = np.arange(len(whole)) - (np.cumsum(size) - size)[doc]
+    out = set()
+    for q in asked:
+        a = fps[q]
+        diagonals = size + len(a) - 1
+        base = np.cumsum(diagonals) - diagonals
+        at = (base[doc] + size[doc] - 1 - place) + np.arange(len(a))[:, None]
+        errors = np.bincount(at.ravel(), np.bitwise_count(a[:, None] ^ whole).ravel(), diagonals.sum())
+        overlap = np.bincount(at.ravel(), minlength=diagonals.sum())
+        least = np.minimum(least_overlap, np.maximum(size, len(a)) // 4)
+        good = (errors / (32 * overlap) <= most_errors) & (overlap >= np.repeat(least, diagonals))
+        out |= {(q, ids[c]) for c in np.repeat(np.arange(len(ids)), diagonals)[good] if ids[c] != q}
+    return out
+
+
+def test_recall_of_the_query_on_all_lengths_and_offsets(spark):
+    """Every document of sf0.01 is a query, with edited and cut copies of all lengths; the truth is the query's own rule."""
+    rng = random.Random(7)
+    docs = {r.doc_id: r.text.encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").collect()}
+    for i in sorted(docs)[::10]:
+        x = bytearray(docs[i])
+        for _ in range(1 + len(x) // 2000):
+            p = rng.randrange(len(x))
+            x[p : p + 4] = bytes(rng.randrange(97, 122) for _ in x[p : p + 4])
+        docs[i + 1_000_000] = bytes(x[rng.choice((0, 64, 200, 20 * 64)) % len(x) :])
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in docs.items()], "id long, media binary")
+    fps = {}  # the operator's own: levels at a filter's bounds depend on the batch by rounding
+    for r in sorted(audio.fingerprints(df, "media", "u8", 8000, 256, 64).collect()):
+        fps.setdefault(bytes(r.ints), r.id)
+    fps = {i: np.frombuffer(b, np.uint32) for b, i in fps.items()}
+    want = admitted_pairs(fps, fps)
+    assert len(want) > 100 and len({min(len(fps[a]), 17) for a, _ in want}) > 5
+    got = {(r.id, r.class_id) for r in audio.align(df, "media", "u8", 8000, 256, 64, every=1).collect() if r.kind == "match"}
+    assert got == want, (len(got & want), len(want), len(got))
+
+
 def test_query(spark, sf):
     rows = op5_audio_align(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
