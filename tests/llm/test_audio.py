@@ -171,6 +171,15 @@ def test_recall_of_the_query_on_all_lengths_and_offsets(spark):
     assert got == want, (len(got & want), len(want), len(got))
 
 
+def test_a_repeated_passage_does_not_hide_the_true_offset(spark):
+    """The repeated passage proposes offset 0 first and most often, where the rest is unequal and the pair is not admitted."""
+    rng = np.random.default_rng(8)
+    line, rest = (bytes(rng.integers(97, 123, 64 * n, dtype=np.uint8)) for n in (70, 50))
+    df = spark.createDataFrame([(100, bytearray(line * 2 + rest)), (7, bytearray(line + rest))], "id long, media binary")
+    found = [(r.id, r.class_id, r.offset, r.errors) for r in audio.align(df, "media", "u8", 8000, 256, 64).collect() if r.kind == "match"]
+    assert found == [(100, 7, 70, 0.0)]
+
+
 def test_query(spark, sf):
     rows = op5_audio_align(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
