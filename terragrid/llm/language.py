@@ -290,9 +290,23 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, words array<string>, labels array<string>").withColumnRenamed("id", id_col)
 
 
+def certainties(texts: pa.Array, model: Model) -> np.ndarray:
+    """The mean over each text's words with letters of the word's best probability, 1 where no language was learned; 0 without letters."""
+    off, p, _, letter = _word_probabilities(texts, model)
+    text = np.repeat(np.arange(len(texts)), np.diff(off))[letter]
+    count = np.bincount(text, minlength=len(texts))
+    best = p[letter].max(axis=1) if model.langs else np.ones(len(text))
+    return np.bincount(text, best, len(texts)) / np.maximum(count, 1)
+
+
 def known_language(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of `df` whose text has a letter and a label of probability `least` or more."""
-    pred, score = "lang_pred", "score"
-    while {pred, score} & set(df.columns):
-        pred, score = f"{pred}_", f"{score}_"
-    return predict(df, model, pred_col=pred, score_col=score).where((F.col(pred) != "und") & (F.col(score) >= least)).select(*df.columns)
+    """The rows of `df` whose text has a letter and words of known languages: of certainty `least` or more, in one language or several."""
+    sent, text_col = df.sparkSession.sparkContext.broadcast(model), "text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 4 << 20):
+                sure = certainties(column(part, text_col), sent.value)
+                yield part.filter(pa.array((sure > 0) & (sure >= least)))
+
+    return df.mapInArrow(run, df.schema)

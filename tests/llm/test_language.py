@@ -69,3 +69,18 @@ def test_nulls_and_odd_texts(spark):
     nothing = language.learn(df)
     assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"}
     assert language.document_labels(pa.array([], pa.string()), model)[0] == []
+
+
+def test_code_switched_texts_and_texts_without_a_model_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learn(docs)
+    parts = {}
+    for r in docs.where("lang IS NOT NULL AND n_chars > 600").orderBy("doc_id").collect():
+        parts.setdefault(r.lang, []).append(" ".join(r.text.split()[:20]))
+    a, b, c = sorted(parts)[:3]
+    texts = [f"{x} {y} {z}" for x, y, z in zip(parts[a][:10], parts[b], parts[c])]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, "12 345 !"), (-2, ""), (-3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in language.known_language(rows, model).collect()} == set(range(len(texts)))
+    empty = language.learn(rows.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
+    assert not empty.langs
+    assert {r.doc_id for r in language.known_language(rows, empty).collect()} == set(range(len(texts)))

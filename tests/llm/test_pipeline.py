@@ -39,6 +39,12 @@ def test_languages_keep_clean_documents(steps):
     assert all(len(t.split()) < 10 or not any(c.isalpha() for c in t) for t in gone.text)
 
 
+def test_languages_keep_clean_short_documents(steps):
+    before, after = steps[0], steps[1]
+    gone = before[~before.doc_id.isin(after.doc_id)]
+    assert not any(len(t.split()) < 10 and t.replace(" ", "").strip(".,;:!?").isalpha() for t in gone.text)
+
+
 def test_one_of_each_class_stays(steps):
     before, after = steps[1], steps[2]
     classes = brute_classes(list(zip(before.doc_id.tolist(), before.text)))
