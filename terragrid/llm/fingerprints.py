@@ -1,14 +1,18 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into lines, and lines at words chosen by their own hash (one in four on average), so that an edit changes
-the cuts near it only. Each piece, with its number among equal ones, becomes a 64-bit digest of which 16 bits check the
-rest. A sketch has three tables of s cells; a digest is added to one cell of each: cells hold a count and a sum. Two
-sketches of a size subtract cell by cell; cells left with a single digest give it up, which empties further cells, until
-nothing is left: the digests in one version only are recovered, at a cost in proportion to the difference. Where that
-fails, the pair is tried again with four times the cells and other hashes; a sketch that has room for all digests and yet
-fails MAX_TRIES times is a ValueError, never a guess.
-
-The likeness of two texts is the share of digests that both have: 1 - |difference| / (|a| + |b|); 1 if both have none.
+A text's paragraphs are its lines with a word. Each, with its number among equal ones, becomes a 64-bit digest of its
+words. A sketch has three tables of s cells; a digest is added to one cell of each: cells hold a count, a sum of digests
+and a sum of their 64-bit checks. Two sketches of a size subtract cell by cell; a cell left with a single digest, as its
+check tells, gives it up, which empties further cells, until nothing is left: the digests in one version only are
+recovered, at a cost in proportion to the difference. A sketch that does not empty, gives up a digest twice or more digests
+than it has cells has failed: the pair is tried again with four times the cells and other hashes. One that has room for all
+digests and yet fails MAX_TRIES times is a ValueError, never a guess.
+
+How alike two texts are is told by a second level of the same sketches, over the pieces of the paragraphs that the first
+level found to differ: a paragraph is cut at words chosen by their own hash (one in four on average), so that an edit
+changes the cuts near it only. The likeness is the share of pieces that both texts have: 1 - |difference| / (|a| + |b|); 1
+if both have none. Paragraphs in both have equal pieces, so it is the same as over all pieces.
+
 Nulls count as empty texts; a null id comes before all others. Ties of ids are ordered by text. Texts with equal words
 and lines have equal fingerprints. Empty tables give empty results. Other columns are not read.
 """
@@ -25,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terragrid.llm.shared import slices, text_chars
 from terragrid.llm.text import U, column, mix, word_hashes, words
@@ -33,37 +38,75 @@ from terragrid.llm.text import U, column, mix, word_hashes, words
 CELLS, GROWTH, MAX_TRIES = 4, 4, 40
 #: A piece ends after a word whose hash is 0 modulo this.
 CUT = 4
-#: Characters of a range of documents.
-RANGE_CHARS = 1 << 23
-
-
-def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, digest) of each text's pieces, ordered by text; equal pieces of a text differ by their number."""
-    lines = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
-    text_of_line = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lines)))
-    off, flat = words(lines.flatten())
-    h = word_hashes(flat)
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    last = mix(h) % U(CUT) == 0
-    last[off[1:][np.diff(off) > 0] - 1] = True
-    ends = np.flatnonzero(last) + 1
-    starts = np.append(0, ends[:-1])
-    place = (np.arange(len(h)) - np.repeat(starts, ends - starts)).astype(U)
-    piece = np.add.reduceat(mix(h + place * U(0x9E3779B97F4A7C15)), starts)
-    text = text_of_line[np.searchsorted(off, starts, side="right") - 1]
-    order = np.lexsort((piece, text))
-    piece, text = piece[order], text[order]
-    first = np.ones(len(piece), bool)
-    first[1:] = (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])
+#: Characters of a range of documents, and the most ranges, of which the executors get one key each (48 bytes).
+RANGE_CHARS, MAX_RANGES = 1 << 23, 1 << 20
+_PLACE, _NUMBER, _PAIR = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0xD6E8FEB86659FD93)
+
+Keyed = tuple[np.ndarray, np.ndarray]  # (text number, digest), ordered by text
+
+
+def _sums(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A digest of each run of word hashes; the runs start at `starts` and fill h."""
+    place = (np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))).astype(U)
+    return mix(np.add.reduceat(mix(h + place * _PLACE), starts))
+
+
+def _numbered(text: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Digests in which equal ones of a text differ by their number, in the order given."""
+    order = np.lexsort((digest, text))
+    t, d = text[order], digest[order]
+    first = np.ones(len(d), bool)
+    first[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
     at = np.flatnonzero(first)
-    number = np.arange(len(piece)) - np.repeat(at, np.diff(np.append(at, len(piece))))
-    return text, _checked(mix(piece + number.astype(U) * U(0xBF58476D1CE4E5B9)))
+    number = np.arange(len(d)) - np.repeat(at, np.diff(np.append(at, len(d))))
+    out = np.empty(len(d), U)
+    out[order] = mix(d + number.astype(U) * _NUMBER)
+    return out
+
+
+class Parts:
+    """The paragraphs and pieces of a column of texts, numbered digests, ordered by text."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        lines = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
+        text_of_line = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lines)))
+        off, flat = words(lines.flatten())
+        h = word_hashes(flat)
+        none = np.zeros(0, np.int64), np.zeros(0, U)
+        self.n, self.paragraphs, self.paragraph_of_piece, self._pieces = len(texts), none, none[0], none
+        if not len(h):
+            return
+        full = np.flatnonzero(np.diff(off) > 0)
+        starts = off[:-1][full]
+        text = text_of_line[full]
+        self.paragraphs = text, _numbered(text, _sums(h, starts))
+        last = mix(h) % U(CUT) == 0
+        last[off[1:][full] - 1] = True
+        cuts = np.append(0, np.flatnonzero(last)[:-1] + 1)
+        self.paragraph_of_piece = np.searchsorted(starts, cuts, side="right") - 1
+        self._pieces = text[self.paragraph_of_piece], _sums(h, cuts)
+
+    def pieces(self, use: np.ndarray | slice = slice(None)) -> Keyed:
+        """The pieces chosen, numbered among themselves."""
+        text, digest = (x[use] for x in self._pieces)
+        return text, _numbered(text, digest)
+
+    def sizes(self, n: int) -> np.ndarray:
+        return np.bincount(self._pieces[0], minlength=n)[:n]
+
 
+def digests(texts: pa.Array) -> Keyed:
+    """(text number, digest) of each text's pieces."""
+    return Parts(texts).pieces()
 
-def _checked(x: np.ndarray) -> np.ndarray:
-    high = x & U(0xFFFFFFFFFFFF0000)
-    return high | (mix(high) & U(0xFFFF))
+
+def paragraph_digests(texts: pa.Array) -> Keyed:
+    """(text number, digest) of each text's paragraphs."""
+    return Parts(texts).paragraphs
+
+
+def _check(key: np.ndarray) -> np.ndarray:
+    return mix(key ^ _PAIR)
 
 
 def _cells(key: np.ndarray, base: np.ndarray, s: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -71,20 +114,61 @@ def _cells(key: np.ndarray, base: np.ndarray, s: np.ndarray, seed: int) -> list[
     return [base + i * s + (mix(key ^ mix(np.array([3 * seed + i + 1], U))) % s.astype(U)).astype(np.int64) for i in range(3)]
 
 
-def _add(count: np.ndarray, total: np.ndarray, cells: list[np.ndarray], sign: np.ndarray, key: np.ndarray) -> None:
-    signed = np.where(sign > 0, key, U(0) - key)
+def _add(count: np.ndarray, total: np.ndarray, check: np.ndarray, cells: list[np.ndarray], sign: np.ndarray, key: np.ndarray) -> None:
+    own = _check(key)
+    signed, checked = np.where(sign > 0, key, U(0) - key), np.where(sign > 0, own, U(0) - own)
     for c in cells:
         np.add.at(count, c, sign)
         np.add.at(total, c, signed)
+        np.add.at(check, c, checked)
 
 
 def sketch_bytes(text: np.ndarray, key: np.ndarray, n: int) -> list[bytes]:
-    """The smallest sketch of each of n texts: counts (32 bits) and sums (64 bits) of 3 * CELLS cells."""
+    """The smallest sketch of each of n texts: counts (32 bits), sums and sums of checks (64 bits) of 3 * CELLS cells."""
     s = np.full(len(key), CELLS)
-    count, total = np.zeros(n * 3 * CELLS, np.int64), np.zeros(n * 3 * CELLS, U)
-    _add(count, total, _cells(key, text * 3 * CELLS, s, 0), np.ones(len(key), np.int64), key)
-    counts, totals = count.astype("<i4").reshape(n, -1), total.astype("<u8").reshape(n, -1)
-    return [a.tobytes() + b.tobytes() for a, b in zip(counts, totals)]
+    count, total, check = np.zeros(n * 3 * CELLS, np.int64), np.zeros(n * 3 * CELLS, U), np.zeros(n * 3 * CELLS, U)
+    _add(count, total, check, _cells(key, text * 3 * CELLS, s, 0), np.ones(len(key), np.int64), key)
+    rows = [x.astype(k).reshape(n, -1) for x, k in ((count, "<i4"), (total, "<u8"), (check, "<u8"))]
+    return [b"".join(x.tobytes() for x in row) for row in zip(*rows)]
+
+
+def _peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, owner: np.ndarray, base: np.ndarray, cells: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sketch, key, sign) given up by subtracted sketches that lie one after the other, and which sketches failed.
+
+    A sound sketch empties a cell for good with each key, so it gives up each key once and no more keys than it has cells;
+    one that goes beyond either is left at once, so the peeling ends.
+    """
+    n = len(cells)
+    failed, spent = np.zeros(n, bool), np.zeros(n, np.int64)
+    out = []
+    look = np.arange(len(count))
+    while len(look):
+        look = look[(np.abs(count[look]) == 1) & ~failed[owner[look]]]
+        sg = count[look]
+        k = np.where(sg > 0, total[look], U(0) - total[look])
+        pure = np.where(sg > 0, check[look], U(0) - check[look]) == _check(k)
+        look, k, sg = look[pure], k[pure], sg[pure]
+        p = owner[look]
+        at = _cells(k, base[p], cells[p], seed)
+        home = (at[0] == look) | (at[1] == look) | (at[2] == look)
+        p, k, sg = p[home], k[home], sg[home]
+        order = np.lexsort((k, p))
+        p, k, sg = p[order], k[order], sg[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+        p, k, sg = p[new], k[new], sg[new]
+        spent += np.bincount(p, minlength=n)
+        failed |= spent > 3 * cells
+        at = _cells(k, base[p], cells[p], seed)
+        _add(count, total, check, at, -sg, k)
+        out.append((p, k, sg))
+        look = np.unique(np.concatenate(at))
+    p, k, sg = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
+    failed[owner[(count != 0) | (total != 0) | (check != 0)]] = True
+    order = np.lexsort((k, p))
+    twice = (k[order][1:] == k[order][:-1]) & (p[order][1:] == p[order][:-1])
+    failed[p[order][1:][twice]] = True
+    return p, k, sg, failed
 
 
 def reconcile(text_a: np.ndarray, key_a: np.ndarray, text_b: np.ndarray, key_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,42 +183,18 @@ def reconcile(text_a: np.ndarray, key_a: np.ndarray, text_b: np.ndarray, key_b:
     for attempt in range(MAX_TRIES):
         if not len(todo):
             break
-        base = np.zeros(n, np.int64)
-        base[todo] = np.concatenate([[0], np.cumsum(3 * cells[todo])[:-1]])
-        active = np.zeros(n, bool)
-        active[todo] = True
-        use = active[pair]
-        p, k, sg = pair[use], key[use], sign[use]
-        width = int(3 * cells[todo].sum())
-        count, total = np.zeros(width, np.int64), np.zeros(width, U)
-        _add(count, total, _cells(k, base[p], cells[p], attempt), sg, k)
-        owner = np.repeat(todo, 3 * cells[todo])
-        out = []
-        look = np.arange(width)
-        while len(look):
-            look = look[np.abs(count[look]) == 1]
-            k = np.where(count[look] > 0, total[look], U(0) - total[look])
-            good = _checked(k) == k
-            look, k = look[good], k[good]
-            p, sg = owner[look], count[look]
-            at = _cells(k, base[p], cells[p], attempt)
-            good = (at[0] == look) | (at[1] == look) | (at[2] == look)
-            p, k, sg = p[good], k[good], sg[good]
-            order = np.lexsort((k, p))
-            p, k, sg = p[order], k[order], sg[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-            p, k, sg = p[new], k[new], sg[new]
-            at = _cells(k, base[p], cells[p], attempt)
-            _add(count, total, at, -sg, k)
-            out.append((p, k, sg))
-            look = np.unique(np.concatenate(at))
-        bad = np.zeros(n, bool)
-        bad[owner[(count != 0) | (total != 0)]] = True
-        for p, k, sg in out:
-            good = ~bad[p]
-            found.append((p[good], k[good], sg[good]))
-        todo = np.flatnonzero(bad)
+        place = np.full(n, -1)
+        place[todo] = np.arange(len(todo))
+        use = place[pair] >= 0
+        p, s = place[pair[use]], cells[todo]
+        base = np.concatenate([[0], np.cumsum(3 * s)[:-1]])
+        width = int(3 * s.sum())
+        sketch = np.zeros(width, np.int64), np.zeros(width, U), np.zeros(width, U)
+        _add(*sketch, _cells(key[use], base[p], s[p], attempt), sign[use], key[use])
+        p, k, sg, failed = _peel(*sketch, np.repeat(np.arange(len(todo)), 3 * s), base, s, attempt)
+        good = ~failed[p]
+        found.append((todo[p[good]], k[good], sg[good]))
+        todo = todo[failed]
         cells[todo] = np.where(3 * cells[todo] < 4 * (size_a + size_b)[todo], cells[todo] * GROWTH, cells[todo] + CELLS)
     if len(todo):
         raise ValueError(f"{len(todo)} sketches can't be peeled")
@@ -143,56 +203,77 @@ def reconcile(text_a: np.ndarray, key_a: np.ndarray, text_b: np.ndarray, key_b:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def likeness(text_a: np.ndarray, key_a: np.ndarray, text_b: np.ndarray, key_b: np.ndarray, n: int) -> np.ndarray:
-    """Share of digests that both texts of each pair have."""
-    pair, _, _ = reconcile(text_a, key_a, text_b, key_b, n)
-    total = np.bincount(text_a, minlength=n) + np.bincount(text_b, minlength=n)
-    return np.where(total > 0, 1 - np.bincount(pair, minlength=n) / np.maximum(total, 1), 1.0)
+def _differing(parts: Parts, text_from: int, pair: np.ndarray, key: np.ndarray, n: int) -> Keyed:
+    """Pieces, by pair, of the paragraphs whose digests `key` differ in `pair`; pair i is text i + text_from."""
+    text, digest = parts.paragraphs
+    unlike = np.isin(mix(digest ^ mix((text - text_from).astype(U))), mix(key ^ mix(pair.astype(U))))
+    unlike &= (text >= text_from) & (text < text_from + n)
+    text, digest = parts.pieces(unlike[parts.paragraph_of_piece])
+    return text - text_from, digest
+
+
+def compare(a: Parts, b: Parts, n: int, from_b: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(likeness, differing paragraphs as `reconcile` gives them) of texts 0 to n - 1 of a with texts from_b on of b."""
+
+    def cut(parts: Parts, low: int) -> Keyed:
+        text, digest = parts.paragraphs
+        use = (text >= low) & (text < low + n)
+        return text[use] - low, digest[use]
+
+    found = reconcile(*cut(a, 0), *cut(b, from_b), n)
+    pair, key, sign = found
+    unlike = [_differing(parts, low, pair[sign == s], key[sign == s], n) for parts, low, s in ((a, 0, 1), (b, from_b, -1))]
+    pair, _, _ = reconcile(*unlike[0], *unlike[1], n)
+    total = a.sizes(n) + np.bincount(b._pieces[0], minlength=from_b + n)[from_b : from_b + n]
+    return np.where(total > 0, 1 - np.bincount(pair, minlength=n) / np.maximum(total, 1), 1.0), found
 
 
 def differences(df: DataFrame, old_col: str, new_col: str, id_col: str = "doc_id") -> DataFrame:
-    """id, removed array<long>, added array<long>, likeness: the piece digests that one version only has, ascending."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    """id, removed array<long>, added array<long>, likeness: the paragraph digests that one version only has, ascending."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("removed", "added")], T.StructField("likeness", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, old_col):
-                a, b = digests(column(part, old_col)), digests(column(part, new_col))
-                pair, key, sign = reconcile(*a, *b, part.num_rows)
+                likeness, (pair, key, sign) = compare(Parts(column(part, old_col)), Parts(column(part, new_col)), part.num_rows)
                 lists = []
                 for s in (1, -1):
                     p, k = pair[sign == s], key[sign == s].view(np.int64)
                     order = np.lexsort((k, p))
                     ends = np.concatenate([[0], np.cumsum(np.bincount(p, minlength=part.num_rows))])
                     lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(k[order])))
-                yield pa.RecordBatch.from_arrays([column(part, id_col), *lists, pa.array(likeness(*a, *b, part.num_rows))], ["id", "removed", "added", "likeness"])
+                yield pa.RecordBatch.from_arrays([column(part, id_col), *lists, pa.array(likeness)], schema.names)
 
-    out = df.select(id_col, old_col, new_col).mapInArrow(run, f"id {id_type}, removed array<long>, added array<long>, likeness double")
-    return out.withColumnRenamed("id", id_col)
+    return df.select(id_col, old_col, new_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, halo, id, text in ranges of ids, each range ordered and followed by the first row of the next (halo).
+    """part, halo, id, text in ranges of (id, text), each range ordered and followed by the first row of the next (halo).
 
-    Ranges hold about equally many rows; their bounds and first ids (a few numbers a range) are all the driver gets. The
-    texts are shuffled once.
+    The ranges' bounds come from a range shuffle of the keys alone (the id and the text's first characters), of which the
+    driver gets the least key of each range; a row finds its range by binary search. The texts are shuffled once.
     """
-    lowest = -(1 << 63)
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(lowest)).alias("key")
-    ranges = max(12, math.ceil(text_chars(df, text_col) / RANGE_CHARS))
-    keys = df.select(key)
-    bounds = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    first = {r.part: r.key for r in keys.select(part.alias("part"), "key").groupBy("part").agg(F.min("key").alias("key")).collect()}
-    full = sorted(first)
-    before = {p: full[i - 1] for i, p in enumerate(full)}
-    at = lambda known, none: F.element_at(F.array(*[F.lit(known.get(p, none)) for p in range(len(bounds) + 1)]), F.col("part") + 1)
-    rows = df.select(key, F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("part", part)
-    again = F.when(F.col("key") == at(first, lowest), F.array(F.struct(F.col("part"), F.lit(False).alias("halo")), F.struct(at(before, 0).alias("part"), F.lit(True).alias("halo"))))
-    rows = rows.withColumn("to", F.explode(F.coalesce(again, F.array(F.struct(F.col("part"), F.lit(False).alias("halo"))))))
+    whole = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
+    # as bytes: ids in order (the sign bit turned), then the text's first code points
+    key = F.concat(F.unhex(F.lpad(F.hex(whole.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 10).cast("binary"))
+    ranges = min(MAX_RANGES, max(12, math.ceil(text_chars(df, text_col) / RANGE_CHARS)))
+    keys = df.select(key.alias("key")).repartitionByRange(ranges, "key")
+    least = keys.select(F.spark_partition_id().alias("part"), "key").groupBy("part").agg(F.min("key").alias("key"))
+    bounds = np.sort(np.array([bytes(r.key) for r in least.select("key").collect()], "S48"))
+    sent = df.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", T.BooleanType())]))
+    def place(keys: pa.Array) -> pa.Array:
+        own, bounds = np.array(keys.to_pylist(), "S48"), sent.value
+        part = np.searchsorted(bounds, own, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(part.astype(np.int32)), pa.array(bounds[part] == own if len(own) else np.zeros(0, bool))], ["part", "first"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole.alias("key"), place(key).alias("at"))
+    here = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("halo"))
+    before = F.struct(F.pmod(F.col("at.part") - 1, F.lit(max(len(bounds), 1))).cast("int").alias("part"), F.lit(True).alias("halo"))
+    rows = rows.select("key", "id", "text", F.explode(F.when(F.col("at.first"), F.array(here, before)).otherwise(F.array(here))).alias("to"))
     rows = rows.select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "key", "id", "text")
-    return rows.repartition(ranges, "part").sortWithinPartitions("part", "halo", "key", F.col("text").asc_nulls_first()).select("halo", "id", "text")
+    return rows.repartition(ranges, "part").sortWithinPartitions("part", "halo", "key", F.col("text").asc_nulls_first()).select("part", "halo", "id", "text")
 
 
 def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,8 +283,7 @@ def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the order of ids; the first document comes after the last. Columns: id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]])
 
     def judged(t: pa.Table) -> pa.RecordBatch:
         """All rows but the last, which is only the next of the one before."""
@@ -213,14 +293,12 @@ def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for own, other in zip(texts, texts[1:]):
             cut = len(own) // 4
             edited.append(own[: len(own) - cut] + other[:cut])
-        text, key = digests(column(t, "text"))
-        e_text, e_key = digests(pa.array(edited, pa.large_string()))
-        own, other = text < n, text > 0
-        mine = text[own], key[own]
-        shown = [[base64.b64encode(b).decode() for b in sketch_bytes(*x, n)] for x in (mine, (e_text, e_key))]
-        near = likeness(*mine, e_text, e_key, n), likeness(*mine, text[other] - 1, key[other], n)
+        mine, changed = Parts(column(t, "text")), Parts(pa.array(edited, pa.large_string()))
+        text, key = mine.paragraphs
+        shown = [[base64.b64encode(b).decode() for b in sketch_bytes(*x, n)] for x in ((text[text < n], key[text < n]), changed.paragraphs)]
+        near = compare(mine, changed, n)[0], compare(mine, mine, n, 1)[0]
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in edited]
-        out = pa.RecordBatch.from_arrays([column(t, "id").slice(0, n), pa.array([len(x) for x in texts[:n]], pa.int64()), pa.array(sha), *map(pa.array, shown), *map(pa.array, near)], names)
+        out = pa.RecordBatch.from_arrays([column(t, "id").slice(0, n), pa.array([len(x) for x in texts[:n]], pa.int64()), pa.array(sha), *map(pa.array, shown), *map(pa.array, near)], schema.names)
         return out.filter(pc.invert(column(t, "halo").slice(0, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,5 +311,4 @@ def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 if t.num_rows > 1:
                     yield judged(t)
 
-    out = _with_next(df, id_col, text_col).mapInArrow(run, f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("id", id_col)
+    return _with_next(df, id_col, text_col).drop("part").mapInArrow(run, schema).withColumnRenamed("id", id_col)

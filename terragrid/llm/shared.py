@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +18,13 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary folder where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a new temporary folder if all runs in this process."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="terragrid-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="terragrid-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
@@ -42,9 +47,10 @@ def text_chars(df: DataFrame, text_col: str = "text") -> int:
 
 
 def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Consecutive row ranges holding about `limit` bytes of `column`; a longer single row is a slice of its own."""
-    if batch.num_rows == 0:
-        return
-    rows = max(1, int(batch.num_rows * limit / max(batch.column(column).nbytes, 1)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    """Consecutive row ranges holding at most `limit` bytes of `column`; a longer single row is a slice of its own."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from terragrid.llm import fingerprints as fp
 from terragrid.llm.queries import op2_fingerprints
@@ -57,7 +58,7 @@ def test_nulls_ties_and_tiny_tables(spark):
 
 def test_peeling_recovers_all_differences():
     rng = np.random.default_rng(5)
-    keys = fp._checked(rng.integers(0, 2**63, 40_000).astype(np.uint64))
+    keys = rng.integers(0, 2**63, 40_000).astype(np.uint64)
     for only_a, only_b, both in [(0, 0, 10), (1, 0, 0), (0, 7, 500), (900, 1200, 3000), (5000, 1, 0), (0, 0, 0)]:
         a, b, c = np.split(keys[: only_a + only_b + both], [only_a, only_a + only_b])
         x, y = np.concatenate([a, c]), np.concatenate([b, c])
@@ -74,9 +75,64 @@ def test_equal_pieces_are_counted():
 def test_differences(spark):
     rng = random.Random(2)
     w = [f"w{i}" for i in range(500)]
-    texts = [(i, " ".join(rng.choice(w) for _ in range(rng.randrange(0, 300)))) for i in range(40)]
+    texts = [(i, "".join(rng.choice(w) + rng.choice("   \n") for _ in range(rng.randrange(0, 300)))) for i in range(40)]
     pairs = [(i, t, t[: len(t) // 2] + t[len(t) // 3 :] if i % 2 else t) for i, t in texts] + [(99, None, "a"), (None, None, None)]
+    recovered = 0
     for r in fp.differences(spark.createDataFrame(pairs, "doc_id long, old string, new string"), "old", "new").collect():
         old, new = next((o, n) for i, o, n in pairs if i == r.doc_id)
-        x, y = (Counter(fp.digests(pa.array([t], pa.string()))[1].view(np.int64).tolist()) for t in (old, new))
+        x, y = (Counter(fp.paragraph_digests(pa.array([t], pa.string()))[1].view(np.int64).tolist()) for t in (old, new))
         assert r.removed == sorted((x - y).elements()) and r.added == sorted((y - x).elements())
+        assert abs(r.likeness - like(old or "", new or "")) < 1e-9
+        recovered += len(r.added)
+    assert recovered > 100
+
+
+def test_paragraphs_are_lines_with_words():
+    text, key = fp.paragraph_digests(pa.array(["a b\n\n c d \na  b", None, "a b"]))
+    assert text.tolist() == [0, 0, 0, 2] and len(set(key.tolist())) == 3 and key[0] == key[3]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 4, 8])
+def test_peeling_ends_when_checks_collide(monkeypatch, bits):
+    """A check of a few bits lets mixtures of keys pass: the peeling must end, with the right differences or an error."""
+    whole = fp._check
+    monkeypatch.setattr(fp, "_check", lambda k: whole(k) & np.uint64((1 << bits) - 1))
+    rng = np.random.default_rng(bits)
+    right = 0
+    for _ in range(30):
+        n = 200
+        sizes = rng.integers(0, 60, 2 * n)
+        text = np.repeat(np.arange(2 * n) % n, sizes)
+        key = rng.integers(0, 2**63, len(text)).astype(np.uint64)
+        a = np.arange(len(text)) < sizes[:n].sum()
+        try:
+            pair, got, sign = fp.reconcile(text[a], key[a], text[~a], key[~a], n)
+        except ValueError:
+            continue
+        right += 1
+        if bits == 8:
+            assert len(got) == len(key) and set(zip(pair.tolist(), got.tolist(), sign.tolist())) == set(zip(text.tolist(), key.tolist(), np.where(a, 1, -1).tolist()))
+    assert right or bits < 8
+
+
+def test_many_pairs_are_all_recovered():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        n = 20_000
+        sizes = rng.integers(0, 12, (2, n))
+        (ta, tb), key = (np.repeat(np.arange(n), s) for s in sizes), rng.integers(0, 2**63, int(sizes.sum())).astype(np.uint64)
+        ka, kb = key[: len(ta)], key[len(ta) :]
+        shared = rng.random(len(tb)) < 0.3  # taken over from the other side
+        both = np.flatnonzero(shared)
+        ta, ka = np.concatenate([ta, tb[both]]), np.concatenate([ka, kb[both]])
+        pair, got, sign = fp.reconcile(ta, ka, tb, kb, n)
+        want = {(int(p), int(k), 1) for p, k in zip(ta[: len(ta) - len(both)], ka)} | {(int(p), int(k), -1) for p, k in zip(tb[~shared], kb[~shared])}
+        assert len(got) == len(want) and set(zip(pair.tolist(), got.tolist(), sign.tolist())) == want
+
+
+def test_tied_ids_are_split_by_text(spark):
+    docs = [(None, f"text {i % 37} of no id " * (1 + i % 5)) for i in range(300)] + [(4, "one"), (4, "two"), (-9, "last of all")]
+    df = spark.createDataFrame([(i, t, None, "x", "y") for i, t in docs], SCHEMA).repartition(5)
+    assert rows(fp.versions(df)) == brute(docs)
+    ranges = fp._with_next(df, "doc_id", "text").where("id IS NULL AND NOT halo").select("part").distinct().count()
+    assert ranges > 3
