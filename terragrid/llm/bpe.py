@@ -3,7 +3,7 @@
 A sequence of tokens is what the merges give exactly if each two neighbours, joined and merged by rank, give themselves
 back. So a piece is encoded from left to right by the longest token that fits its left neighbour, stepping back to a
 shorter one where no token fits; whether two tokens may be neighbours is worked out once and kept. The matches at all
-places come from one pass of an automaton over the piece's bytes, mapped to Latin-1.
+places come from one pass of an automaton over the piece's bytes, mapped to Latin-1; of a long piece, window by window.
 
 Texts are first cut by a pattern; each match is encoded by itself, and one that is a token as a whole is that token.
 
@@ -29,9 +29,11 @@ from pyspark.sql import types as T
 from terragrid.llm.shared import slices
 from terragrid.llm.text import column, spread, units
 
-#: Units and pieces whose ids a worker keeps, pairs whose compatibility it keeps, bytes of a piece that is kept, and the
-#: largest rank file sent to executors.
-KEPT, PAIRS, SHORT, MAX_VOCABULARY = 200_000, 1 << 17, 32, 64 << 20
+#: Bytes of units, pieces and ids that a worker keeps during a task, pairs whose compatibility it keeps, bytes of a window of a
+#: piece's matches, bytes of text worked off at once, and the largest rank file sent to executors.
+KEPT_BYTES, PAIRS, WINDOW, STEP_BYTES, MAX_VOCABULARY = 48 << 20, 1 << 16, 1 << 13, 2 << 20, 64 << 20
+#: Bytes that an entry of the kept units takes beside its text and ids.
+ENTRY_BYTES = 200
 #: White space as Unicode defines it; what \s means in the patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -49,26 +51,59 @@ class Encoder:
         self.tokens = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.automaton = ahocorasick.Automaton()
+        self.halves: dict[int, tuple[int, int]] = {}  # what the last merge of a token joins; of a single byte, itself
         for t, i in ranks.items():
-            if self.merge(t) == [i]:
+            parts, cut = self._merged(t)
+            if len(parts) == 1:
+                self.halves[i] = (ranks[t[:cut]], ranks[t[cut:]]) if cut else (i, i)
                 self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
         self.may_follow = lru_cache(maxsize=PAIRS)(self._may_follow)
-        self.short: dict[bytes, bytes] = {}
+        self.longest = max(map(len, ranks), default=0)
         self.units: dict[str, bytes] = {}
+        self.short: dict[str, bytes] = {}
+        self.held = 0
+
+    def release(self) -> None:
+        """Drops what was kept during a task."""
+        self.units.clear()
+        self.short.clear()
+        self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, the leftmost of equals, until none can be merged."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        return [self.ranks[p] for p in self._merged(piece)[0]]
+
+    def _merged(self, piece: bytes) -> tuple[list[bytes], int]:
+        """(what the merges leave, place of the last merge's cut)."""
+        parts, cut = [piece[i : i + 1] for i in range(len(piece))], 0
         while len(parts) > 1:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
             if rank == 1 << 40:
                 break
+            cut = len(parts[at])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts, cut
 
     def _may_follow(self, left: int, right: int) -> bool:
-        return self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        """Whether the merges of the two, joined, give the two back.
+
+        The last of all their merges is undone, then the one before it, and so on: where the parts that meet at the border
+        would have been merged before the merge just undone, they don't.
+        """
+        ranks, tokens, halves = self.ranks, self.tokens, self.halves
+        limit = 1 << 40
+        while True:
+            joined = ranks.get(tokens[left] + tokens[right])
+            if joined is not None and joined < limit:
+                return False
+            below, above = halves[left][1], halves[right][0]
+            if below != left and (left > right or above == right):
+                limit, left = left, below
+            elif above != right:  # of equals the leftmost goes first
+                limit, right = right + 1, above
+            else:
+                return True
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -76,50 +111,89 @@ class Encoder:
         if whole is not None:
             return [whole]
         n = len(piece)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # tokens that start at each place, shortest first
-        for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            found[end - size + 1].append((size, token))
-        left = [len(x) for x in found]  # how many of them are untried
+        text = piece.decode("latin-1")
+        found = self.matches(text) if n <= WINDOW else _Windows(self, text)  # tokens that start at a place, shortest first
         dead = bytearray(n + 1)  # places from which the rest can't be encoded
         out: list[int] = []
+        untried: list[int] = []  # how many shorter tokens could still stand in the place of each
         at, may_follow = 0, self.may_follow
+        options = found[0]
+        left = len(options)
         while at < n:
-            while left[at]:
-                left[at] -= 1
-                size, token = found[at][left[at]]
+            while left:
+                left -= 1
+                size, token = options[left]
                 if not dead[at + size] and (not out or may_follow(out[-1], token)):
                     out.append(token)
+                    untried.append(left)
                     at += size
                     break
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks single bytes")
                 dead[at] = 1
-                left[at] = len(found[at])
                 at -= len(self.tokens[out.pop()])
+                left, options = untried.pop(), found[at]
                 continue
             if at < n:
-                left[at] = len(found[at])
+                options = found[at]
+                left = len(options)
         return out
 
+    def matches(self, text: str) -> list[list[tuple[int, int]]]:
+        """(size, token) of the tokens that start at each place, shortest first."""
+        found: list[list[tuple[int, int]]] = [[] for _ in text]
+        for end, match in self.automaton.iter(text):
+            found[end - match[0] + 1].append(match)
+        return found
+
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         out = []
-        for m in self.pattern.findall(text):
-            piece = m.encode()
-            ids = self.short.get(piece)
+        known = self.short
+        for piece in self.pattern.findall(text) if len(text) <= WINDOW else (m[0] for m in self.pattern.finditer(text)):
+            ids = known.get(piece)
             if ids is None:
-                found = self.piece(piece)
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(piece) <= SHORT and len(self.short) < KEPT:
-                    self.short[piece] = ids
+                found = self.piece(piece.encode())
+                ids = struct.pack(f"<{len(found)}I", *found) if len(found) < WINDOW else np.asarray(found, "<u4").tobytes()
+                self._keep(known, piece, ids)
             out.append(ids)
         return b"".join(out)
 
+    def _keep(self, known: dict[str, bytes], text: str, ids: bytes) -> None:
+        """While there is room: the commonest come first."""
+        size = len(text) + len(ids) + ENTRY_BYTES
+        if self.held + size <= KEPT_BYTES:
+            known[text] = ids
+            self.held += size
+
+    def unit(self, text: str) -> bytes:
+        ids = self.units.get(text)
+        if ids is None:
+            ids = self.packed(text)
+            self._keep(self.units, text, ids)
+        return ids
+
     def text(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
 
+class _Windows:
+    """Matches of a long piece, of which the two last used windows are held."""
+
+    def __init__(self, enc: Encoder, text: str) -> None:
+        self.enc, self.text = enc, text
+        self.held: dict[int, list[list[tuple[int, int]]]] = {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        i, place = divmod(at, WINDOW)
+        if i not in self.held:
+            if len(self.held) == 2:
+                del self.held[next(iter(self.held))]
+            self.held[i] = self.enc.matches(self.text[i * WINDOW : (i + 1) * WINDOW + self.enc.longest])[:WINDOW]
+        return self.held[i][place]
+
+
 @lru_cache(maxsize=2)
 def _encoder(data: bytes, pattern: str) -> Encoder:
     return Encoder(read_ranks(data), pattern)
@@ -132,14 +206,7 @@ def encode_slice(texts: pa.Array, enc: Encoder) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint32)
     coded = flat.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    each, known = [], enc.units
-    for u in distinct:
-        ids = known.get(u)
-        if ids is None:
-            ids = enc.packed(u)
-            if len(known) < KEPT:  # the commonest units come first
-                known[u] = ids
-        each.append(ids)
+    each = list(map(enc.unit, distinct))
     size = np.fromiter(map(len, each), np.int64, len(each)) // 4
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     code = np.asarray(coded.indices)
@@ -162,12 +229,15 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
-        for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
-                off, ids = encode_slice(column(part, text_col), enc)
-                packed = ids.astype("<u4").tobytes()
-                blobs = [packed[4 * a : 4 * b] for a, b in zip(off[:-1], off[1:])]
-                yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(np.diff(off)), pa.array(blobs, pa.binary())], [id_col, "n_tokens", "ids"])
+        try:
+            for batch in batches:
+                for part in slices(batch, text_col, STEP_BYTES):
+                    off, ids = encode_slice(column(part, text_col), enc)
+                    ends = pa.py_buffer((4 * off).astype("<i4"))  # a slice's ids take less than 2 GB, as its texts do
+                    blobs = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, ends, pa.py_buffer(ids.astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(np.diff(off)), blobs], [id_col, "n_tokens", "ids"])
+        finally:
+            enc.release()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids binary")
 
@@ -181,7 +251,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {i: t for t, i in read_ranks(sent.value).items()}
         for batch in batches:
-            for part in slices(batch, ids_col, 4 << 20):
+            for part in slices(batch, ids_col, STEP_BYTES):
                 blobs = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in column(part, ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[column(part, f.name) for f in kept], pa.array(blobs, pa.binary())], schema.names)
 

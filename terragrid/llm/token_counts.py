@@ -1,6 +1,7 @@
 """Token counts by the installed tokenizer libraries, in Arrow functions that return lengths only.
 
-Rows are worked off in slices of about equal bytes, and the library gets batches of about equal bytes. For byte-level BPE
+Rows are worked off in slices of bounded bytes, and the library gets batches of bounded bytes (UTF-8); a longer text is one
+of its own. For byte-level BPE
 vocabularies long texts are cut at safe boundaries (a space before a word), and each distinct piece of a slice is encoded
 once; pieces already counted are kept up to a bound. Other vocabularies get whole texts.
 
@@ -58,11 +59,12 @@ def _counter(kind: str, data: bytes) -> tuple[Callable[[list[str]], list[int]],
 def _by_bytes(texts: list[str]) -> Iterator[list[str]]:
     batch, held = [], 0
     for t in texts:
-        batch.append(t)
-        held += len(t)
-        if held >= BATCH_BYTES:
+        size = len(t) if t.isascii() else len(t.encode())
+        if batch and held + size > BATCH_BYTES:
             yield batch
             batch, held = [], 0
+        batch.append(t)
+        held += size
     if batch:
         yield batch
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from terragrid.llm import bpe, token_counts
 from terragrid.llm.queries import op4_bpe_roundtrip, op9_token_counts
@@ -99,3 +100,41 @@ def test_empty_tables_and_nulls(spark):
     one = bpe.encode(spark.createDataFrame([(None, None, "x", "y")] * 2, SCHEMA), RANKS, public_tokenizers.PATTERN)
     assert [(r.n_tokens, bytes(r.ids)) for r in one.collect()] == [(0, b"")] * 2
     assert [bytes(r.decoded) for r in bpe.decode(one, RANKS).collect()] == [b""] * 2
+
+
+def test_pairs_are_judged_as_the_merges_do(library):
+    _, own = library
+    rng = random.Random(4)
+    known = list(own.halves)
+    apart = 0
+    for _ in range(20_000):
+        a, b = rng.choice(known), rng.choice(known if rng.random() < 0.5 else known[:2000])
+        want = own.merge(own.tokens[a] + own.tokens[b]) == [a, b]
+        assert own._may_follow(a, b) == want
+        apart += not want
+    assert apart > 100
+
+
+def test_long_pieces_are_encoded_by_windows(library, monkeypatch):
+    enc, own = library
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgéñ") for _ in range(5000)), "er" * 3000 + "ing" * 2000, " " * 9000 + "x" * 5000]
+    monkeypatch.setattr(bpe, "WINDOW", 37)
+    for t in texts:
+        assert own.text(t) == enc.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "WINDOW", 1 << 13)
+    own.release()
+    assert own.text(texts[0] * 60) == enc.encode_ordinary(texts[0] * 60)
+    assert own.held <= bpe.KEPT_BYTES
+
+
+def test_very_long_texts(spark, library):
+    enc, _ = library
+    rng = random.Random(9)
+    texts = ["w" + "".join(rng.choice("etaoin") for _ in range(400_000)), "the words of a long text " * 400_000]
+    df = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN).withColumn("held", F.col("ids")), RANKS, "held").collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids == np.array(enc.encode_ordinary(t), "<u4").tobytes() and got[i].decoded == t.encode()
+    counts = token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert [r.n_bytes for r in sorted(counts)] == [len(t) for t in texts]
