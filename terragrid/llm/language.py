@@ -6,8 +6,11 @@ from the likelihood of labelled chains; as documents carry one label, half the c
 that transitions are learned for code-switched text too. Forward-backward gives each word's label probabilities; a
 document's are the mean over its words.
 
-Learning uses a bounded sample: about SAMPLE_DOCS documents of each language, chosen by a hash of the id, and at most
-SAMPLE_WORDS words of each of them. Prediction covers whole texts, in chains of CHAIN words.
+Learning uses a bounded sample: about SAMPLE_DOCS documents of each language, chosen by a hash of the id, and of each of
+them at most SAMPLE_WORDS words within its first SAMPLE_CHARS characters, in chains of CHAIN words. More than MAX_LANGUAGES
+labels are a ValueError. Prediction covers whole texts, each as one chain: it is worked off in runs of CHAIN words, whose
+transfer matrices carry the messages from run to run, so that where a run ends makes no difference. The matrices take 8
+bytes times the square of the number of labels for each run of the longest text.
 
 Nulls: a null text, or one without letters, is `und` with score 0; null labels are not learned from; a null id is in no
 fold, so it is neither held out nor learned from. Without any labelled text every document is `und`. Repeated rows are
@@ -16,7 +19,7 @@ predicted alike. Empty tables give empty results. Other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +32,10 @@ from pyspark.sql import types as T
 from terragrid.llm.shared import slices
 from terragrid.llm.text import U, column, mix, words
 
-#: Documents of each language that are learned from, and words of each; words of a chain; hashed features; languages.
-SAMPLE_DOCS, SAMPLE_WORDS, CHAIN, FEATURES, MAX_LANGUAGES = 150, 1000, 64, 1 << 16, 512
+#: Documents of each language that are learned from, words and characters of each; words of a run; hashed features; languages.
+SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_CHARS, CHAIN, FEATURES, MAX_LANGUAGES = 150, 1000, 20_000, 64, 1 << 16, 256
+#: Bytes of words whose features are made at once, numbers of a batch of padded runs, and bytes of text worked off at once.
+FEATURE_BYTES, BATCH, STEP_BYTES = 1 << 19, 1 << 20, 2 << 20
 STEPS, RATE, DECAY = 30, 0.1, 1e-3
 
 
@@ -43,48 +48,51 @@ class Model:
     transitions: np.ndarray
 
 
-def word_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, feature) pairs of the words, and whether each has a letter."""
-    clean = pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}]+", "").cast(pa.large_string())
-    n = len(clean)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    off = np.frombuffer(clean.buffers()[1], np.int64)[clean.offset : clean.offset + n + 1]
-    size = np.diff(off)
-    full = size > 0
-    data = clean.buffers()[2]
-    raw = (np.frombuffer(data, np.uint8)[: off[-1]] if data is not None and off[-1] else np.zeros(0, np.uint8)).astype(U)
-    raw = np.append(raw, np.zeros(4, U))
-    owner = np.repeat(np.arange(n), size)
-    at = np.arange(off[0], off[-1])
-    end = off[1:][owner]
-    words_, feats = [], []
-
-    def add(word: np.ndarray, start: np.ndarray, length: int, kind: int) -> None:
-        key = np.full(len(start), kind, U)
-        for i in range(length):
-            key = key * U(257) + raw[start + i] + U(1)
-        words_.append(word)
-        feats.append((mix(key) % U(FEATURES)).astype(np.int64))
-
-    for k in (2, 3):
-        ok = at + k <= end
-        add(owner[ok], at[ok], k, 1)
-    for k in (1, 2, 3, 4):
-        ok = np.flatnonzero(size >= k)
-        add(ok, off[:-1][ok], k, 2)
-        add(ok, off[1:][ok] - k, k, 3)
-    some = np.flatnonzero(full)
-    if len(some):
-        place = (at - off[:-1][owner]).astype(U)
-        whole = np.add.reduceat(mix(raw[at] + place * U(0x9E3779B97F4A7C15)), (off[:-1] - off[0])[some])
-        words_.append(some)
-        feats.append((mix(whole) % U(FEATURES)).astype(np.int64))
-    return np.concatenate(words_), np.concatenate(feats), full
-
-
-def _scores(word: np.ndarray, feature: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(word, weights[feature, y], n) for y in range(weights.shape[1])], axis=1)
+class Words:
+    """Lower-case letters of distinct words, and their hashed features."""
+
+    def __init__(self, distinct: pa.Array) -> None:
+        clean = pc.replace_substring_regex(pc.utf8_lower(distinct.cast(pa.large_string())), r"[^\p{L}]+", "").cast(pa.large_string())
+        self.n = len(clean)
+        self.off = np.frombuffer(clean.buffers()[1], np.int64)[clean.offset : clean.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
+        data = clean.buffers()[2] if self.n else None
+        self.raw = np.frombuffer(data, np.uint8) if data is not None and self.off[-1] else np.zeros(0, np.uint8)
+        self.letter = np.diff(self.off) > 0
+
+    def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word number, feature), FEATURE_BYTES of the words at a time; a longer word is in several batches."""
+        off, size, whole = self.off, np.diff(self.off), np.zeros(self.n, U)
+        hashed = lambda key: (mix(key) % U(FEATURES)).astype(np.int64)
+
+        def key(start: np.ndarray, length: int, kind: int) -> np.ndarray:
+            out = np.full(len(start), kind, U)
+            for i in range(length):
+                out = out * U(257) + self.raw[start + i] + U(1)
+            return hashed(out)
+
+        for low in range(int(off[0]), int(off[-1]), FEATURE_BYTES):
+            at = np.arange(low, min(low + FEATURE_BYTES, int(off[-1])))
+            owner = np.searchsorted(off, at, "right") - 1
+            for k in (2, 3):
+                ok = at + k <= off[owner + 1]
+                yield owner[ok], key(at[ok], k, 1)
+            place = (at - off[owner]).astype(U)
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            whole[owner[first]] += np.add.reduceat(mix(self.raw[at] + place * U(0x9E3779B97F4A7C15)), first)
+        for k in (1, 2, 3, 4):
+            ok = np.flatnonzero(size >= k)
+            yield ok, key(off[:-1][ok], k, 2)
+            yield ok, key(off[1:][ok] - k, k, 3)
+        some = np.flatnonzero(size)
+        yield some, hashed(whole[some])
+
+
+def _scores(features: Iterable[tuple[np.ndarray, np.ndarray]], n: int, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, weights.shape[1]))
+    for word, feature in features:
+        for y in range(weights.shape[1]):
+            out[:, y] += np.bincount(word, weights[feature, y], n)
+    return out
 
 
 def forward_backward(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +155,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     chains, distinct, gold = _training_chains(texts, [langs.index(x) for x in labels], seed)
     use = (chains >= 0).any(axis=1)
     chains, gold = chains[use], gold[use]
-    word, feature, _ = word_features(distinct)
+    word, feature = (np.concatenate(x) for x in zip(*Words(distinct).features()))
     mask = chains >= 0
     safe = np.where(mask, chains, 0)
     truth = np.zeros((*chains.shape, k))
@@ -157,7 +165,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = max(int(mask.sum()), 1)
     for step in range(1, STEPS + 1):
-        scores = _scores(word, feature, len(distinct), params[0])
+        scores = _scores([(word, feature)], len(distinct), params[0])
         gamma, pairs = forward_backward(scores[safe] * mask[..., None], mask, params[1])
         miss = (truth - gamma)[mask]
         by_word = np.stack([np.bincount(chains[mask], miss[:, y], len(distinct)) for y in range(k)], axis=1)
@@ -179,12 +187,14 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the rows that are not held out; the sample's bound does not depend on the table's size."""
     usable = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return fit([], [])
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.2 * SAMPLE_DOCS / r["count"]))]), F.col("lang"))
-    head = F.substring("text", 1, 20 * SAMPLE_WORDS)
+    head = F.substring("text", 1, SAMPLE_CHARS)
     rows = usable.withColumn("draw", draw).where(F.col("draw") < rate).select("lang", head.alias("text"), "draw", "id").orderBy("draw", "id").limit(2 * SAMPLE_DOCS * len(counts)).collect()
     by_lang: dict[str, list[str]] = {}
     for r in rows:
@@ -198,45 +208,76 @@ def _word_probabilities(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.n
     off, flat = words(texts)
     coded = flat.dictionary_encode()
     code = np.asarray(coded.indices)
-    word, feature, letter = word_features(coded.dictionary)
-    k = len(model.langs)
+    distinct, k = Words(coded.dictionary), len(model.langs)
     if not len(code) or not k:
-        return off, np.zeros((len(code), k)), flat, letter[code]
-    scores = _scores(word, feature, len(coded.dictionary), model.emissions)
-    size = np.diff(off)
-    chains = -(-size // CHAIN)
-    first = np.concatenate([[0], np.cumsum(chains)])
-    place = np.arange(len(code)) - np.repeat(off[:-1], size)
-    row = np.repeat(first[:-1], size) + place // CHAIN
-    at = place % CHAIN
+        return off, np.zeros((len(code), k)), flat, distinct.letter[code]
+    scores = _scores(distinct.features(), distinct.n, model.emissions)
+    count = -(-np.diff(off) // CHAIN)
+    first = np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(len(count)), count)
+    start = off[owner] + CHAIN * (np.arange(first[-1]) - first[owner])
+    length = np.minimum(CHAIN, off[owner + 1] - start)
+
+    def runs(chosen: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(runs, their words' places, mask, scores), in batches; `width` is the size of what is worked out for a run."""
+        step = max(1, BATCH // width)
+        for i in range(0, len(chosen), step):
+            rows = chosen[i : i + step]
+            mask = np.arange(length[rows].max()) < length[rows][:, None]
+            at = np.where(mask, start[rows][:, None] + np.arange(mask.shape[1]), 0)
+            yield rows, at, mask, scores[code[at]]
+
+    enter, leave = np.ones((len(owner), k)), np.ones((len(owner), k))
+    long = np.flatnonzero(count[owner] > 1)
+    if len(long):
+        through = np.empty((len(long), k, k))
+        place = np.full(len(owner), -1)
+        place[long] = np.arange(len(long))
+        for rows, _, mask, own in runs(long, CHAIN * k + k * k):
+            through[place[rows]] = _transfer(own, mask, model.transitions)
+        move = np.exp(model.transitions - model.transitions.max())
+        texts_ = np.flatnonzero(count > 1)
+        texts_ = texts_[np.argsort(-count[texts_], kind="stable")]
+        more = np.searchsorted(-count[texts_], -np.arange(1, count.max()), "left")  # texts of more than j runs, j from 1 on
+        for j, m in enumerate(more, 1):
+            rows = first[texts_[:m]] + j - 1
+            message = np.einsum("ci,cij->cj", enter[rows], through[place[rows]]) @ move
+            enter[rows + 1] = message / message.sum(axis=1, keepdims=True)
+        for j, m in reversed(list(enumerate(more, 1))):
+            rows = first[texts_[:m]] + j
+            message = np.einsum("cij,cj->ci", through[place[rows]], leave[rows]) @ move.T
+            leave[rows - 1] = message / message.sum(axis=1, keepdims=True)
     out = np.empty((len(code), k))
-    longest = np.bincount(row, minlength=first[-1])
-    for low, high in ((0, 8), (8, 24), (24, CHAIN)):  # chains of like length, so that little is padded
-        rows = np.flatnonzero((longest > low) & (longest <= high))
-        if not len(rows):
-            continue
-        number = np.full(first[-1], -1)
-        number[rows] = np.arange(len(rows))
-        mine = np.flatnonzero(number[row] >= 0)
-        padded = np.zeros((len(rows), high, k))
-        mask = np.zeros((len(rows), high), bool)
-        r, c = number[row[mine]], at[mine]
-        padded[r, c] = scores[code[mine]]
-        mask[r, c] = True
-        out[mine] = _marginals(padded, mask, model.transitions)[r, c]
-    return off, out, flat, letter[code]
-
-
-def _marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    c, t, _ = scores.shape
+    for low, high in ((0, 8), (8, 24), (24, CHAIN)):  # runs of like length, so that little is padded
+        for rows, at, mask, own in runs(np.flatnonzero((length > low) & (length <= high)), high * k):
+            out[at[mask]] = _marginals(own, mask, model.transitions, enter[rows], leave[rows])[mask]
+    return off, out, flat, distinct.letter[code]
+
+
+def _transfer(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """(runs, labels, labels): what a run makes of each label's message into it, up to a factor."""
+    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+    move = np.exp(transitions - transitions.max())
+    now = np.eye(e.shape[2]) * e[:, :1]
+    for i in range(1, e.shape[1]):
+        nxt = (now @ move) * e[:, i, None]
+        now = np.where(mask[:, i, None, None], nxt / nxt.sum(axis=(1, 2), keepdims=True), now)
+    return now
+
+
+def _marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray, enter: np.ndarray | float = 1.0, leave: np.ndarray | float = 1.0) -> np.ndarray:
+    """Label probabilities of each word of padded runs, given the messages into their first words and back into their last."""
+    c, t, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(transitions - transitions.max())
     ahead = np.empty_like(e)
-    now = ahead[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    now = enter * e[:, 0]
+    now = ahead[:, 0] = now / now.sum(axis=1, keepdims=True)
     for i in range(1, t):
         nxt = (now @ move) * e[:, i]
         now = ahead[:, i] = np.where(mask[:, i, None], nxt / nxt.sum(axis=1, keepdims=True), now)
-    now = np.ones((c, e.shape[2]))
+    now = leave * np.ones((c, k))
+    ahead[:, t - 1] *= now
     for i in range(t - 2, -1, -1):
         prev = (now * e[:, i + 1]) @ move.T
         now = np.where(mask[:, i + 1, None], prev / prev.sum(axis=1, keepdims=True), now)
@@ -258,18 +299,22 @@ def document_labels(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarra
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """`df` with the label and score of each row; columns of these names are replaced."""
+    """`df` with the label and score of each row; columns of these names are replaced. Python gets the texts only."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in df.schema.fields if f.name not in (pred_col, score_col)]
-    schema = T.StructType([*kept, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
-                label, score = document_labels(column(part, text_col), sent.value)
-                yield pa.RecordBatch.from_arrays([*[column(part, f.name) for f in kept], pa.array(label, pa.string()), pa.array(score)], schema.names)
+    @F.arrow_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def judge(texts: pa.Array) -> pa.Array:
+        found = [document_labels(part, sent.value) for part in _steps(texts)]
+        return pa.StructArray.from_arrays([pa.array([x for label, _ in found for x in label], pa.string()), pa.array(np.concatenate([np.zeros(0), *(s for _, s in found)]))], ["label", "score"])
+
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (pred_col, score_col)]
+    out = df.select(F.struct(*kept).alias("row"), judge(F.col(text_col)).alias("judged"))
+    return out.select("row.*", F.col("judged.label").alias(pred_col), F.col("judged.score").alias(score_col))
+
 
-    return df.mapInArrow(run, schema)
+def _steps(texts: pa.Array) -> Iterator[pa.Array]:
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", STEP_BYTES):
+        yield part.column("text")
 
 
 def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,7 +324,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col, STEP_BYTES):
                 m = sent.value
                 off, p, flat, letter = _word_probabilities(column(part, text_col), m)
                 names = np.array([*m.langs, "und"], object)
@@ -299,14 +344,13 @@ def certainties(texts: pa.Array, model: Model) -> np.ndarray:
     return np.bincount(text, best, len(texts)) / np.maximum(count, 1)
 
 
-def known_language(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def known_language(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of `df` whose text has a letter and words of known languages: of certainty `least` or more, in one language or several."""
-    sent, text_col = df.sparkSession.sparkContext.broadcast(model), "text"
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
-                sure = certainties(column(part, text_col), sent.value)
-                yield part.filter(pa.array((sure > 0) & (sure >= least)))
+    @F.arrow_udf(T.DoubleType())
+    def certainty(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(certainties(part, sent.value) for part in _steps(texts))]))
 
-    return df.mapInArrow(run, df.schema)
+    sure = certainty(F.col(text_col)).alias("sure")
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), sure).where((F.col("sure") > 0) & (F.col("sure") >= least)).select("row.*")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from terragrid.llm import language
 from terragrid.llm.queries import op7_language
@@ -84,3 +85,37 @@ def test_code_switched_texts_and_texts_without_a_model_are_kept(spark):
     empty = language.learn(rows.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
     assert not empty.langs
     assert {r.doc_id for r in language.known_language(rows, empty).collect()} == set(range(len(texts)))
+
+
+def test_long_texts_are_one_chain(monkeypatch):
+    """Messages carried from run to run give what one run over the whole text gives."""
+    model = language.fit(["the cat and the dog were here " * 20, "der hund und die katze waren hier " * 20, "le chat et le chien sont la " * 20], ["en", "de", "fr"])
+    rng = np.random.default_rng(2)
+    known = "the cat and dog der hund die katze le chat et chien x 7 --".split()
+    texts = pa.array([" ".join(rng.choice(known, n)) for n in (0, 1, 5, 64, 65, 200, 700, 129)])
+    out = {}
+    for run in (5, 64, 1000):
+        monkeypatch.setattr(language, "CHAIN", run)
+        out[run] = language._word_probabilities(texts, model)[1]
+    assert np.allclose(out[5], out[1000], atol=1e-9) and np.allclose(out[64], out[1000], atol=1e-9)
+
+
+def test_long_words_give_the_same_features(monkeypatch):
+    distinct = pa.array(["a", "", "12", "donaudampfschiff" * 40, "straße", "x" * 7])
+    rows = []
+    for size in (1 << 19, 7):
+        monkeypatch.setattr(language, "FEATURE_BYTES", size)
+        rows.append(sorted((w, f) for x in language.Words(distinct).features() for w, f in zip(*(v.tolist() for v in x))))
+    assert rows[0] == rows[1] and len(rows[0]) > 1000
+
+
+def test_one_very_long_word():
+    model = language.fit(["the cat and the dog " * 20, "der hund und die katze " * 20], ["en", "de"])
+    label, score = language.document_labels(pa.array(["hund" * 2_000_000, "the dog"]), model)
+    assert label == ["de", "en"] and 0 <= score[0] <= 1
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.learn(spark.createDataFrame([(i, "a text", f"l{i % 3}", None, None) for i in range(40)], SCHEMA))
