@@ -36,9 +36,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
     shards = sharding.compacted([docs.where(part == i) for i in range(ARRIVALS)], new_folder(spark, "shards"))
     version = shards.version()
-    listed = spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.id, s.bytes) for s in shards.manifest(version)[1]], "file string, shard string, shard_bytes long")
     rows = shards.read(version).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.col("_metadata.file_name").alias("file"))
-    return rows.join(F.broadcast(listed), "file").select("doc_id", "n_bytes", "shard", "shard_bytes", F.lit(version).alias("version"))  # one row a file
+    return rows.join(shards.listing(version), "file").select("doc_id", "n_bytes", "shard", F.col("bytes").alias("shard_bytes"), F.lit(version).alias("version"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from terragrid.llm.queries import op1_sharding
 from terragrid.llm.sharding import Conflict, ShardedTable, compacted
@@ -27,6 +28,9 @@ def test_whole_table(spark, sf):
     out = op1_sharding(spark, sf).collect()
     docs = {r.doc_id: len(r.text.encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert sorted((r.doc_id, r.n_bytes) for r in out) == sorted(docs.items())
+    sizes = {r.shard: r.shard_bytes for r in out}
+    assert len({r.version for r in out}) == 1 and out[0].version >= 4
+    assert all(0 < n < 1.5 * (64 << 20) for n in sizes.values()) and len(sizes) < 16
 
 
 def test_appends_and_merges_keep_all_rows(spark):
@@ -77,3 +81,56 @@ def test_empty_arrivals(spark):
     empty = frame(spark, 0, 1).limit(0)
     table = compacted([empty, empty, frame(spark, 0, 5), empty], new_path())
     assert table.read().count() == 5
+
+
+def test_lost_writers_leave_the_table_whole(spark):
+    path = new_path()
+    table = ShardedTable(spark, path, 1 << 20, 2)
+    a = frame(spark, 0, 10).coalesce(1)
+    table.append(a)
+    open(f"{path}/versions/.0a", "w").close()  # lost while writing aside
+    assert table.append(a) == 2
+    open(f"{path}/versions/3", "w").close()  # lost while writing in place, on a store without atomic moves
+    assert table.version() == 2 and rows(table.read()) == rows(a.unionAll(a))
+    assert table.append(a) == 4 and table.compact() == 5
+    assert rows(table.read()) == rows(a.unionAll(a).unionAll(a))
+    table.vacuum()
+    assert rows(table.read()) == rows(a.unionAll(a).unionAll(a))
+    assert sorted(r.file for r in table.listing().collect()) == sorted(s.path.rsplit("/", 1)[1] for s in table.manifest()[1])
+
+
+def test_compaction_goes_on_after_a_conflict(spark, monkeypatch):
+    path = new_path()
+    table, other = ShardedTable(spark, path, 1 << 20, 2), ShardedTable(spark, path, 1 << 20, 2)
+    a = frame(spark, 0, 10).coalesce(1)
+    table.append(a)
+    table.append(a)
+    commit, calls = ShardedTable.commit, []
+
+    def late(self, version, schema, shards):
+        calls.append(version)
+        if len(calls) == 1:
+            other.append(a)
+        commit(self, version, schema, shards)
+
+    monkeypatch.setattr(table, "commit", late.__get__(table))
+    assert table.compact() == 4 and calls == [3, 4]
+    assert rows(table.read()) == rows(a.unionAll(a).unionAll(a)) and len(table.manifest()[1]) == 2
+
+
+def test_tiers_are_merged_by_themselves(spark):
+    table = ShardedTable(spark, new_path(), 1 << 20, 2)
+    schema = frame(spark, 0, 1).schema
+    small, large = frame(spark, 0, 3).coalesce(1), frame(spark, 0, 3000).select("doc_id", F.concat_ws("", F.lit("x"), F.expr("sha2(cast(doc_id as string), 512)")).alias("text"), "shard", "version", "file").coalesce(1)
+    for df in (small, large, small, large):
+        table.append(df)
+    tiers = {table.tier(s.bytes) for s in table.manifest()[1]}
+    assert len(tiers) == 2
+    table.compact()
+    assert len(table.manifest()[1]) == 2 and table.manifest()[0] == schema
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "long text " * 3_000_000, None, "x", "y"), (2, None, None, None, None)], SCHEMA)
+    table = compacted([df, df], new_path(), fanout=2)
+    assert sorted(table.read().selectExpr("doc_id", "length(text)").collect()) == [(1, 30_000_000)] * 2 + [(2, None)] * 2
