@@ -6,7 +6,8 @@ All copies are sorted by that time and taken until the budget is used up, so tha
 stand to each other as their targets do.
 
 A hot source does not meet in one task: running sums are taken in two levels, within ranges of the shuffled order and
-over the ranges' totals. Only id, source and size are shuffled.
+over the ranges' totals. Only id, source and size are shuffled for the decision. `mixed_documents` then range-sorts the
+taken copies by finish time, so that its partitions, and the files written of them, follow one another as the mix does.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last, a null id is a value like others.
 Rows that repeat id, source and size are decided together. Empty tables give empty results.
@@ -57,8 +58,13 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
     return over.select("source", "source_size", F.when(F.col("stopped"), F.col("limit").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of `df`: id, source, size, source_size, target, taken (size times the copies that the mix takes)."""
+def _order() -> list[Column]:
+    """Where a copy stands in the mix."""
+    return [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("id"), F.col("size"), F.col("epoch")]
+
+
+def _queued(df: DataFrame, weights: Sequence[int], max_epochs: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(all units: id, source, size, n, source_size, target; the copies that the mix takes: id, source, size, key, epoch, finish)."""
     units = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     units = units.groupBy("id", "source", "size").agg(F.count("*").alias("n"))
     units = cut_lineage(units.withColumn("key", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"|{seed}")))))
@@ -90,15 +96,19 @@ def mix(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3,
     if last is None:  # the budget takes all copies
         taken = F.lit(True)
     else:
-        order = W.partitionBy("part").orderBy("finish", F.col("source").asc_nulls_last(), "key", "id", "size", "epoch").rowsBetween(W.unboundedPreceding, W.currentRow)
+        order = W.partitionBy("part").orderBy(*_order()).rowsBetween(W.unboundedPreceding, W.currentRow)
         edge = copies.where(F.col("part") == last.part).withColumn("run", F.sum(F.col("size") * F.col("n")).over(order))
-        edge = edge.where(F.col("run") <= budget - last.before).select("id", "source", "size", F.lit(1).alias("one"))
+        edge = edge.where(F.col("run") <= budget - last.before)
         taken = F.col("part") < last.part
-    whole = copies.where(taken).select("id", "source", "size", F.lit(1).alias("one"))
-    if last is not None:
-        whole = whole.unionAll(edge)
-    whole = whole.groupBy("id", "source", "size").agg(F.sum("one").alias("copies"))
-    q, t = queued.alias("q"), whole.alias("t")
+    names = ["id", "source", "size", "key", "epoch", "finish"]
+    whole = copies.where(taken).select(*names)
+    return queued, whole if last is None else whole.unionAll(edge.select(*names))
+
+
+def mix(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of `df`: id, source, size, source_size, target, taken (size times the copies that the mix takes)."""
+    queued, taken = _queued(df, weights, max_epochs, seed, id_col, text_col, source_col)
+    q, t = queued.alias("q"), taken.groupBy("id", "source", "size").agg(F.count("*").alias("copies")).alias("t")
     same = F.col("q.id").eqNullSafe(F.col("t.id")) & F.col("q.source").eqNullSafe(F.col("t.source")) & (F.col("q.size") == F.col("t.size"))
     out = q.join(t, same, "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return out.select(
@@ -106,9 +116,13 @@ def mix(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3,
     )
 
 
-def mixed_documents(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 0) -> DataFrame:
-    """The rows of `df` that the mix takes, repeated as often as it takes them; documents without words are not taken."""
-    took = mix(df, weights, max_epochs, seed).where("taken > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct()
-    d, t = df.withColumn("_size", n_words(F.col("text"))).alias("d"), took.alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size"))
-    return d.join(t, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"d.`{c}`") for c in df.columns])
+def mixed_documents(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `df` that the mix takes, repeated as often as it takes them, in the mix's order: range-partitioned and sorted.
+
+    Documents without words are not taken. Columns of any other names pass through.
+    """
+    _, taken = _queued(df, weights, max_epochs, seed, id_col, text_col, source_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    d = df.select(row.alias("row"), F.col(id_col).alias("d_id"), F.col(source_col).alias("d_source"), n_words(F.col(text_col)).alias("d_size")).where("d_size > 0")
+    same = F.col("d_id").eqNullSafe(F.col("id")) & F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_size") == F.col("size"))
+    return d.join(taken, same).repartitionByRange(*_order()).sortWithinPartitions(*_order()).select("row.*")

@@ -80,11 +80,11 @@ def _level(keys: DataFrame, n: int, error: float, seed: int, max_bytes: int) ->
     return Level(seed, m, empty.k, tuple(words))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = 64 << 20, max_levels: int = 60) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = 4 << 20, max_levels: int = 60) -> Cascade:
     """Cascade of the column `key` of `listed` that errs on no `key` of `universe`. Null keys are left out.
 
-    No listed keys: a cascade that contains nothing. What reaches the driver is the filters, at most `max_bytes` a level
-    (ValueError beyond it).
+    No listed keys: a cascade that contains nothing. What reaches the driver, and is a literal of the plan, is the filters,
+    at most `max_bytes` a level (ValueError beyond it) and little more in all, as each level holds fewer keys.
     """
     inside = cut_lineage(listed.select("key").where("key IS NOT NULL").distinct())
     n = inside.count()
@@ -113,7 +113,7 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], hosts: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
+def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], hosts: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url", max_bytes: int = 4 << 20) -> DataFrame:
     """Verdict on each url: columns id, host, path, rule, verdict.
 
     `rules` are (action, host, path) with action block or allow; a rule fits its host and all subdomains when the path
@@ -128,14 +128,15 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], hosts: Sequ
     probes = [F.when(F.length("path") >= q, F.concat(_suffix(F.col("host"), n), F.substring("path", 1, q))) for n, q in shapes]
     tails = [F.when(F.col("host") != "", _suffix(F.col("host"), n)) for n in sorted({h.count(".") + 1 for h in hosts})]
 
-    def cascade(keys: Sequence[str], probes: list[Column]) -> Cascade:
-        if not keys:
-            return Cascade(())
-        universe = parts.select("host", "path").distinct().select(F.explode(F.array(*probes)).alias("key"))
-        return build_cascade(_keys(spark, keys), universe, max_bytes)
+    # the short keys that urls can be probed with, each once, for all lists
+    asked = parts.select(F.explode(F.array(*[F.struct(F.lit(True).alias("ruled"), p.alias("key")) for p in probes], *[F.struct(F.lit(False).alias("ruled"), p.alias("key")) for p in tails])).alias("k")) if probes or tails else None
+    universe = cut_lineage(asked.select("k.ruled", "k.key").where("key IS NOT NULL").distinct()) if asked is not None else None
 
-    lists = {a: cascade(sorted({h + p for x, h, p in rules if x == a}), probes) for a in ("block", "allow")}
-    banned = cascade(sorted(set(hosts)), tails)
+    def cascade(keys: Sequence[str], ruled: bool) -> Cascade:
+        return build_cascade(_keys(spark, keys), universe.where(F.col("ruled") == ruled), max_bytes) if keys else Cascade(())
+
+    lists = {a: cascade(sorted({h + p for x, h, p in rules if x == a}), True) for a in ("block", "allow")}
+    banned = cascade(sorted(set(hosts)), False)
     listed = lambda k: lists["block"].contains(k) | lists["allow"].contains(k)
     fits = F.transform(F.filter(F.array(*probes), listed), lambda k: F.struct(F.length(k).alias("n"), k.alias("rule")))
     rule = F.array_max(fits)["rule"] if probes else F.lit(None).cast("string")

@@ -54,6 +54,30 @@ def test_mix_of_skewed_null_and_repeated_documents(spark):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixed_documents_follow_the_mix(spark):
+    """Columns named like the operator's own pass through, and partitions follow one another by finish time."""
+    names = "doc_id long, text string, source string, _size int, _copy int, size int, finish string, id int, row int, d_id int"
+    rows = [(i, "w " * (i % 17), f"s{i % 3}", 7, 8, 9, "f", i, 3, 4) for i in range(300)]
+    df = spark.createDataFrame(rows, names)
+    out = mixing.mixed_documents(df).select(F.spark_partition_id().alias("part"), "*").collect()
+    assert {tuple(r)[1:] for r in out} <= set(rows)
+    taken = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    sizes, held = {}, {}
+    for r in out:
+        held[r.doc_id] = held.get(r.doc_id, 0) + r.doc_id % 17
+        words = len(r.text.split())
+        sizes.setdefault(r.source, []).append(words)
+    assert held == {i: n for i, n in taken.items() if n}
+    # at any point of the mix the sources stand to each other as their targets do
+    target = {r.source: r.target for r in mixing.mix(df).collect()}
+    done = dict.fromkeys(target, 0)
+    for n, r in enumerate(sorted(out, key=lambda r: r.part), 1):  # rows of a partition keep their order
+        done[r.source] += r.doc_id % 17
+        if n % 50 == 0:
+            shares = [done[s] / target[s] for s in target]
+            assert max(shares) - min(shares) < 0.06
+
+
 def test_urls_of_all_kinds(spark):
     urls = ["http://a.com/en/7", "http://EXAMPLE.com/en/77?q", "https://x.example.com/en/", "net/de/", "x://net/de/", "x://a.example.net/de/8#a", "x://notexample.net/de/8", "http://org/es/a", "a://b://org/es/", "", None,
             "http://www.spam-farm.example.org", "http://xspam-farm.example.org/", "://", "http:///en/", "http://.com/en/", "http://com?/en/", "http://com/EN/", "http://ÄB.com/en/"]
