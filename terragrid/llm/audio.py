@@ -39,8 +39,8 @@ WINDOW = 16
 QUERY_PACK, CLASS_PACK = 1 << 17, 1 << 19
 #: Candidates, proposals or integers worked on at once.
 STEP = 1 << 21
-#: Frames of a batch of transforms.
-BATCH = 1 << 15
+#: Frames of a batch of transforms, and levels of a pitch class's share.
+BATCH, LEVELS = 1 << 15, 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -52,16 +52,24 @@ def filters() -> list[tuple[int, int, int, int]]:
     return out
 
 
-def samples(media: bytes, kind: str = "wav") -> np.ndarray:
-    """Mono samples in -1 to 1: of PCM WAV files (8 or 16 bits), or of bare unsigned 8-bit PCM (`u8`)."""
+def samples(media: bytes, kind: str = "wav", rate: int | None = None) -> np.ndarray:
+    """Mono samples in -1 to 1: of PCM WAV files (8 or 16 bits), or of bare unsigned 8-bit PCM (`u8`).
+
+    A WAV file of another rate than `rate` is brought to it: each new sample is the mean of the old ones over its time.
+    """
     if kind == "u8":
         return (np.frombuffer(media, np.uint8).astype(np.float32) - 128) / 128
     with wave.open(io.BytesIO(media)) as w:
-        raw, wide, n = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
+        raw, wide, n, own = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
     if wide not in (1, 2):
         raise ValueError("8 or 16 bits a sample are read")
     x = np.frombuffer(raw, np.uint8 if wide == 1 else "<i2").astype(np.float32)
-    return ((x - 128) / 128 if wide == 1 else x / 32768).reshape(-1, n).mean(axis=1)
+    x = ((x - 128) / 128 if wide == 1 else x / 32768).reshape(-1, n).mean(axis=1)
+    if rate is None or own == rate:
+        return x
+    upto = np.concatenate([[0], np.cumsum(x, dtype=np.float64)])
+    ends = np.arange(len(x) * rate // own + 1) * (own / rate)
+    return (np.diff(np.interp(ends, np.arange(len(upto)), upto)) * (rate / own)).astype(np.float32)
 
 
 def pitch_classes(rate: int, frame: int) -> np.ndarray:
@@ -92,8 +100,8 @@ def fingerprints_of(recordings: list[np.ndarray], rate: int, frame: int, hop: in
         chroma[i : i + BATCH] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ fold
     chroma = np.sqrt(chroma)
     chroma /= chroma.sum(axis=1, keepdims=True) + 1e-6
-    image = np.zeros((len(starts) + 1, 13))
-    image[1:, 1:] = chroma.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
+    image = np.zeros((len(starts) + 1, 13), np.int64)  # whole numbers: sums don't depend on what else is in the batch
+    image[1:, 1:] = np.rint(chroma * LEVELS).astype(np.int64).cumsum(axis=0).cumsum(axis=1)
     at = spread(np.concatenate([[0], np.cumsum(count)[:-1]]), np.maximum(count - WINDOW + 1, 0))
 
     def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
@@ -112,7 +120,7 @@ def fingerprints_of(recordings: list[np.ndarray], rate: int, frame: int, hop: in
         else:  # the middle against the sides
             q = wide // 4
             a, b = box(q, wide - q, low, low + high), box(0, q, low, low + high) + box(wide - q, wide, low, low + high)
-        value = np.log((a + 0.05) / (b + 0.05))
+        value = np.log((a + 0.05 * LEVELS) / (b + 0.05 * LEVELS))
         level = np.digitize(value, (-0.05, 0.0, 0.05))
         out = out << np.uint32(2) | (level ^ (level >> 1)).astype(np.uint32)
     return ends, out
@@ -125,7 +133,7 @@ def fingerprints(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, media_col, 2 << 20):
-                ends, ints = fingerprints_of([samples(x, kind) if x else np.zeros(0, np.float32) for x in column(part, media_col).to_pylist()], rate, frame, hop)
+                ends, ints = fingerprints_of([samples(x, kind, rate) if x else np.zeros(0, np.float32) for x in column(part, media_col).to_pylist()], rate, frame, hop)
                 size = np.diff(ends)
                 place = spread(np.zeros(len(size), np.int64), size).astype(U)
                 sums = []
@@ -260,7 +268,7 @@ def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, f
     `member`: id and its class_id (the smallest id with the same integers), n_ints. `match`: id is the class of a
     recording whose id is divisible by `every`, class_id a class that aligns with it, offset the frame of the query
     where the other starts, overlap the integers compared, errors their bit error rate (at most `most_errors`; the
-    overlap is at least `least_overlap` or a quarter of the longer recording). Of all admitted offsets of two classes the
+    overlap is at least `least_overlap` integers, or a quarter of the longer recording where that is less). Of all admitted offsets of two classes the
     one with the lowest rate is given, then the longest overlap, then the least shift.
     """
     prints = cut_lineage(fingerprints(df, media_col, kind, rate, frame, hop, id_col).withColumn("id", F.col("id").cast("long")))

@@ -6,11 +6,15 @@ regions until about k ln k + 2k have landed in all, and each of k coordinates ke
 agree in a coordinate with the probability of the texts' weighted Jaccard similarity. The time per text is in proportion
 to its shingles plus k log k, whatever the weights.
 
+A shingle weighs as often as its text has it, and two texts are alike by the weighted Jaccard similarity: the sum of the
+lesser weights over the sum of the greater ones (`weighted` false: all weigh 1, as sets). Signatures, verification and
+classes of equal texts go by the same weights.
+
 Bands of `rows` coordinates are joined. No bucket's pairs are written out: each member is first held against the
-smallest one of a bucket or two, by exact Jaccard similarity of the shingle sets. Members that are connected then need no more
+smallest one of a bucket or two, by the exact similarity of the shingles. Members that are connected then need no more
 comparisons. Where a bucket still falls into several components, its members are compared in blocks of bounded size by
 their signatures, and likely pairs are verified exactly in place: only links leave a block, fewer than it has members. A link within the threshold is missed only if the pair shares no
-band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 4 standard deviations off.
+band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 6 standard deviations off (1e-9).
 
 Nulls: null texts and texts without words have no shingles and are linked to nothing; a null id is left alone. A text of
 fewer words than a shingle has one shingle, all its words. Rows that repeat an id are one document. Empty tables give
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terragrid.llm.components import components
 from terragrid.llm.shared import cut_lineage, slices
-from terragrid.llm.text import U, column, grams, mix, word_hashes, words
+from terragrid.llm.text import U, column, grams, mix, spread, word_hashes, words
 
 #: Members of a bucket that are compared with one another at a time, and shingles that they have together.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
@@ -107,11 +111,8 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(out + np.arange(k // rows).astype(U))
 
 
-def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_a and set_b (a 128-bit hash of the shingle set), bands array<long>, sig binary (32 bits a coordinate).
-
-    `weighted` weighs a shingle by its count in the text; otherwise all weigh 1.
-    """
+def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles (the sum of weights), set_a and set_b (a 128-bit hash of the weighted set), bands array<long>, sig binary (32 bits a coordinate)."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
                 m = part.num_rows
                 text, x, count = shingles(column(part, text_col), n)
                 sig = signatures(text, x, count.astype(np.float64) if weighted else np.ones(len(x)), m, bands * rows)
-                size = np.bincount(text, minlength=m)
+                size = np.bincount(text, count if weighted else None, minlength=m).astype(np.int64)
                 sums = [np.zeros(m, U), np.zeros(m, U)]
                 for s, salt in zip(sums, (0x632BE59BD9B4E019, 0x9FB21C651E98DF25)):
                     np.add.at(s, text, mix(x ^ U(salt)) if not weighted else mix(x ^ U(salt)) * count.astype(U))
@@ -128,20 +129,23 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
                 full = size > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)), pa.array(keys[full].reshape(-1)))
                 blobs = [s.tobytes() if f else b"" for s, f in zip((sig & U(0xFFFFFFFF)).astype("<u4"), full)]
-                cols = [column(part, id_col), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(blobs, pa.binary())]
+                cols = [column(part, id_col), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "set_a", "set_b", "bands", "sig"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
-def shingle_sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles array<long> (distinct)."""
+def shingle_sets(df: DataFrame, n: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles array<long>, distinct: one of weight w stands as w numbered ones, so that sets compare as weighted sets do."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                text, x, _ = shingles(column(part, text_col), n)
+                text, x, count = shingles(column(part, text_col), n)
+                if weighted:
+                    text, x, number = np.repeat(text, count), np.repeat(x, count), spread(np.zeros(len(count), np.int64), count)
+                    x = np.where(number > 0, mix(x ^ mix(number.astype(U))), x)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))])
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.view(np.int64)))], ["id", "shingles"])
 
@@ -149,7 +153,7 @@ def shingle_sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (id, shingles) have a Jaccard similarity of `threshold` or more."""
+    """The pairs (a, b) whose shingles (id, shingles) have a similarity of `threshold` or more."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
@@ -218,7 +222,7 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id, keep: class_id is the smallest id of the texts that links of `threshold` or more connect.
 
     Ids are integers. `keep` marks the one document of each class that has the class's id.
@@ -232,7 +236,7 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
     members = cut_lineage(members.drop("n_shingles").join(buckets, "bucket"))
     ids = members.select(F.col("rep").alias(id_col)).distinct()
-    texts = cut_lineage(shingle_sets(df.select(id_col, text_col).join(ids, id_col, "left_semi"), n, id_col, text_col))
+    texts = cut_lineage(shingle_sets(df.select(id_col, text_col).join(ids, id_col, "left_semi"), n, weighted, id_col, text_col))
     star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = labels = tried = None
     for _ in range(LEADERS):  # one leader each time; those already connected need no other
@@ -253,7 +257,7 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     left = placed.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.join(sets.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "shingles"), "rep")
     left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig", "shingles")
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
+    least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = cut_lineage(dealt.mapInArrow(_compare_blocks(least, threshold, bands * rows), "a long, b long").distinct())
     if not more.isEmpty():

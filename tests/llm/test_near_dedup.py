@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,3 +112,41 @@ def test_components(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}, **{i: 300 for i in (300, 305, 310)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_repeated_lines_weigh(spark, weighted):
+    """Texts that differ in how often they repeat a line are alike as sets, and apart by weight; the other way round for edits."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for _ in range(40):
+        line, rest = " ".join(rng.choice(words) for _ in range(9)), " ".join(rng.choice(words) for _ in range(30))
+        few = (line + " ") * rng.randrange(2, 6) + rest
+        docs += [few, (line + " ") * rng.randrange(10, 40) + rest, few + " " + line, " ".join([line] * 20 + [rng.choice(words) for _ in range(12)])]
+        docs.append(" ".join([line] * 20 + [rng.choice(words) for _ in range(12)]))
+    docs = list(enumerate(docs))
+    want = weighted_classes(docs) if weighted else brute_classes(docs)
+    df = spark.createDataFrame([(i, t, None, None, "l") for i, t in docs], SCHEMA)
+    assert got_classes(near_dedup.near_duplicates(df, weighted=weighted)) == want
+    assert (weighted_classes(docs) != brute_classes(docs)) and len(docs) > len(set(want.values()))
+
+
+def weighted_classes(docs, threshold=0.8):
+    bags = {}
+    for i, t in docs:
+        w = t.split()
+        bags[i] = Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4))
+    parent = {i: i for i in bags}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in bags:
+        for b in bags:
+            if a < b and (bags[a] & bags[b]).total() >= threshold * (bags[a] | bags[b]).total() - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in bags}
