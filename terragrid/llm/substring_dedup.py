@@ -2,36 +2,37 @@
 
 Each window of n words is an edge from the node of its first n - 1 words to that of its last n - 1. Edges that occur in
 two documents or more are kept. At an edge whose occurrences differ in the word before or after it (or lack one), the
-graph branches; between branches all occurrences of a path run alike, so it is compacted into one row: a digest of its
-words, its length, and its source coordinates (document and first word of each occurrence in a block). Brought together
-by digest, each path finds its source, the smallest id that holds it; an equal digest of the words at the coordinates
-verifies the span. Words covered by a path that a document with a smaller id holds are removed.
+graph branches; between branches all occurrences of a path run alike, so it is compacted into one row: a 128-bit
+cryptographic digest of the bytes of its words, read from the text at its source coordinates (document and first word of
+each occurrence in a block), and its length. A join by digest gives each path its source, the smallest id that holds it:
+only spans with the same words meet. Words covered by a path that a document with a smaller id holds are removed.
 
-Edges are not sent one by one. Documents are dealt to blocks by id, once; the exchange is reused by each pass over the
+Edges are not sent one by one. Documents are dealt to blocks by id and text, once; the exchange is reused by each pass over the
 texts. First, blocks exchange the least (n - 5)-gram hash of each window, about a quarter as many values as windows, and
 windows whose least hash occurs in one document only are dropped. What is left is exchanged as sorted arrays, merged
 within the block, so a window that all documents hold is sent once a block. No task gathers a key's documents.
 
 Nulls: a null text has no words; a null id is no source, but its repeats of others are removed. Texts of fewer than n
 words lose nothing. Rows with the same id are one document: they are no sources for each other. Empty tables give empty
-results. Two 64-bit hashes must agree for a path, so a wrong removal is out of practical reach; a missed branch needs an
-equal 31-bit hash of two neighbouring words.
+results. A wrong removal needs two spans of one digest, which is out of reach. A repeat can be missed where two words
+beside its ends have an equal 31-bit hash, or two windows an equal 64-bit hash, so that a path runs on too far.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import text_chars
+from terragrid.llm.shared import cut_lineage, text_chars
 from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Characters of a block of documents, and of text whose hashes meet in one part.
@@ -45,8 +46,8 @@ class _Block:
     """Words and windows of a block of documents."""
 
     def __init__(self, docs: pa.Table) -> None:
-        self.off, flat = words(column(docs, "text"))
-        self.hash = word_hashes(flat)
+        self.off, self.words = words(column(docs, "text"))
+        self.hash = word_hashes(self.words)
         ids = column(docs, "id").dictionary_encode()
         self.code = np.asarray(ids.indices.fill_null(len(ids.dictionary))).astype(np.int64)
 
@@ -206,7 +207,7 @@ def paths(docs: DataFrame, n: int, parts: int) -> DataFrame:
         start = at[head]
         size = np.diff(np.append(head, len(at))) + n - 1
         doc = b.doc_at(start)
-        x, y = (_spans(mix(b.hash ^ U(salt)), start, size) for salt in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F))
+        x, y = _digests(b.words, start, size)
         order = np.lexsort((doc, y, x))
         x, y, size, doc, start = x[order], y[order], size[order], doc[order], start[order]
         at = _groups(x) if len(x) < 2 else np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
@@ -226,24 +227,25 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _spans(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A polynomial hash of h[start:start+size], equal for equal runs wherever they are."""
-    base = 0x9E3779B97F4A7C15
-    powers = np.full(len(h) + 1, base, U)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=U)
-    back = np.full(len(h) + 1, pow(base, -1, 1 << 64), U)
-    back[0] = 1
-    back = np.cumprod(back, dtype=U)
-    upto = np.concatenate([np.zeros(1, U), np.cumsum(h * powers[:-1], dtype=U)])
-    return mix((upto[start + size] - upto[start]) * back[start] ^ size.astype(U))
+def _digests(flat: pa.Array, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of the words flat[start:start+size] of each span."""
+    text = lambda x: pa.scalar(x, pa.large_string())
+    spaced = pc.binary_join_element_wise(flat.cast(pa.large_string()), text(""), text(" "))
+    if not len(start):
+        return np.zeros(0, U), np.zeros(0, U)
+    ends = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
+    data = memoryview(spaced.buffers()[2])
+    joined = b"".join(hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(ends[start].tolist(), ends[start + size].tolist()))
+    both = np.frombuffer(joined, "<u8").reshape(-1, 2).astype(U)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _dealt_documents(df: DataFrame, id_col: str, text_col: str, carried: list[str]) -> tuple[DataFrame, int]:
     """(block, id, tkey, text, c0, c1, ... of `df`, number of parts); tkey puts texts with the same id in order."""
     chars = text_chars(df, text_col)
     blocks, parts = max(12, math.ceil(chars / BLOCK_CHARS)), max(8, math.ceil(chars / PART_CHARS))
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")
+    # rows of one id, null too, are dealt by their texts: they are no sources for each other, so they need not meet
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block")
     docs = df.select(block, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     return docs, parts
 
@@ -254,8 +256,10 @@ def deduplicate(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: st
     `as_is`: a text that loses nothing is kept as it is, null included.
     """
     docs, parts = _dealt_documents(df, id_col, text_col, list(carried))
-    # a path's smallest id: one row a block and path meets here, not one an occurrence
-    found = paths(docs, n, parts).withColumn("source", F.min("source").over(W.partitionBy("a", "b"))).select("block", "n_words", "source", "places").where("source IS NOT NULL")
+    # a path's smallest id, added up before the shuffle; one row a block and path is then joined with one row a path
+    found = cut_lineage(paths(docs, n, parts))
+    least = found.where("source IS NOT NULL").groupBy("a", "b").agg(F.min("source").alias("least"))
+    found = found.join(least, ["a", "b"]).select("block", "n_words", F.col("least").alias("source"), "places")
     fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     fields += [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carried)]
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from terragrid.llm import substring_dedup
@@ -68,3 +70,25 @@ def test_long_text_empty_table_and_columns(spark):
     out = substring_dedup.deduplicated(df.selectExpr("*", "length(text) AS n_chars"))
     assert out.columns == [*df.columns, "n_chars"]
     assert {r.doc_id: r.text for r in out.collect()}[1] == long
+
+
+def test_rows_of_one_id_are_split(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    line = " ".join(rng.choice(words) for _ in range(30))
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 40))) + " " + line) for i in [None] * 60 + [7] * 60 + [3, 9]]
+    df = spark.createDataFrame([(i, t, "x", None, "y") for i, t in docs], SCHEMA)
+    assert rows(substring_dedup.deduplicate(df)) == brute(docs)
+    blocks = substring_dedup._dealt_documents(df, "doc_id", "text", [])[0].where("id IS NULL").select("block").distinct().count()
+    assert blocks > 6
+
+
+def test_equal_hashes_of_words_do_not_pass(spark, monkeypatch):
+    """Where all words hash alike, only spans with equal words are removed."""
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda flat: np.zeros(len(flat), np.uint64))
+    t = pa.table({"text": ["a b c d e", "a b c d e", "v w x y z"], "id": [1, 2, 3]})
+    block = substring_dedup._Block(t)
+    x, y = substring_dedup._digests(block.words, np.array([0, 5, 10]), np.array([5, 5, 5]))
+    assert x[0] == x[1] and y[0] == y[1] and x[0] != x[2]
+    a, _ = substring_dedup._digests(pa.array(["ab", "c", "a", "bc"]), np.array([0, 2]), np.array([2, 2]))
+    assert a[0] != a[1]
