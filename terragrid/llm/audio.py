@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terragrid.llm.shared import cut_lineage, slices
+from terragrid.llm.shared import cut_lineage, freeing, slices
 from terragrid.llm.text import U, column, mix, spread
 
 #: Frames of a filter's window.
@@ -132,7 +132,7 @@ def fingerprints(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, media_col, 2 << 20):
+            for part in slices(batch, media_col):
                 ends, ints = fingerprints_of([samples(x, kind, rate) if x else np.zeros(0, np.float32) for x in column(part, media_col).to_pylist()], rate, frame, hop)
                 size = np.diff(ends)
                 place = spread(np.zeros(len(size), np.int64), size).astype(U)
@@ -143,7 +143,7 @@ def fingerprints(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 1
                 blobs = [ints[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(size.astype(np.int32)), *map(pa.array, sums), pa.array(blobs, pa.binary())], ["id", "n_ints", "fp_a", "fp_b", "ints"])
 
-    return df.select(id_col, media_col).mapInArrow(run, f"id {id_type}, n_ints int, fp_a long, fp_b long, ints binary")
+    return df.select(id_col, media_col).mapInArrow(freeing(run), f"id {id_type}, n_ints int, fp_a long, fp_b long, ints binary")
 
 
 def packs(classes: DataFrame, most: int) -> DataFrame:
@@ -167,7 +167,7 @@ def packs(classes: DataFrame, most: int) -> DataFrame:
         if ids:
             yield pack()
 
-    return classes.select("class_id", "ints").mapInArrow(run, "ids binary, ends binary, ints binary")
+    return classes.select("class_id", "ints").mapInArrow(freeing(run), "ids binary, ends binary, ints binary")
 
 
 def cuts(sizes: np.ndarray) -> Iterator[slice]:
@@ -289,6 +289,6 @@ def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, f
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["id", "class_id", "offset", "overlap", "errors"])
 
     none = lambda t: F.lit(None).cast(t)
-    matches = pairs.mapInArrow(judge, "id long, class_id long, offset int, overlap int, errors double")
+    matches = pairs.mapInArrow(freeing(judge), "id long, class_id long, offset int, overlap int, errors double")
     members = prints.join(classes.select(*key, "class_id"), key, "left").select(F.lit("member").alias("kind"), "id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), "n_ints", none("int").alias("offset"), none("int").alias("overlap"), none("double").alias("errors"))
     return members.unionAll(matches.select(F.lit("match"), "id", "class_id", none("int"), "offset", "overlap", "errors"))

@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import slices
+from terragrid.llm.shared import freeing, slices
 from terragrid.llm.text import column, spread, units
 
 #: Bytes of units, pieces and ids that a worker keeps during a task, pairs whose compatibility it keeps, bytes of a window of a
-#: piece's matches, bytes of text worked off at once, and the largest rank file sent to executors.
-KEPT_BYTES, PAIRS, WINDOW, STEP_BYTES, MAX_VOCABULARY = 48 << 20, 1 << 16, 1 << 13, 2 << 20, 64 << 20
+#: piece's matches, and the largest rank file sent to executors.
+KEPT_BYTES, PAIRS, WINDOW, MAX_VOCABULARY = 48 << 20, 1 << 16, 1 << 13, 64 << 20
 #: Bytes that an entry of the kept units takes beside its text and ids.
 ENTRY_BYTES = 200
 #: White space as Unicode defines it; what \s means in the patterns.
@@ -231,7 +231,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         enc = _encoder(sent.value, pattern)
         try:
             for batch in batches:
-                for part in slices(batch, text_col, STEP_BYTES):
+                for part in slices(batch, text_col):
                     off, ids = encode_slice(column(part, text_col), enc)
                     ends = pa.py_buffer((4 * off).astype("<i4"))  # a slice's ids take less than 2 GB, as its texts do
                     blobs = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, ends, pa.py_buffer(ids.astype("<u4"))])
@@ -239,7 +239,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         finally:
             enc.release()
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids binary")
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"`{id_col}` {id_type}, n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -251,8 +251,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {i: t for t, i in read_ranks(sent.value).items()}
         for batch in batches:
-            for part in slices(batch, ids_col, STEP_BYTES):
+            for part in slices(batch, ids_col):
                 blobs = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in column(part, ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[column(part, f.name) for f in kept], pa.array(blobs, pa.binary())], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freeing(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import slices, text_chars
+from terragrid.llm.shared import freeing, slices, text_chars
 from terragrid.llm.text import U, column, mix, word_hashes, words
 
 #: Cells in each of the three tables of the smallest sketch, which is the fingerprint; growth on failure; tries.
@@ -244,7 +244,7 @@ def differences(df: DataFrame, old_col: str, new_col: str, id_col: str = "doc_id
                     lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(k[order])))
                 yield pa.RecordBatch.from_arrays([column(part, id_col), *lists, pa.array(likeness)], schema.names)
 
-    return df.select(id_col, old_col, new_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(id_col, old_col, new_col).mapInArrow(freeing(run), schema).withColumnRenamed("id", id_col)
 
 
 def _with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -304,11 +304,11 @@ def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 t = pa.Table.from_batches([part])
                 t = t if rest is None else pa.concat_tables([rest, t])
                 rest = t.slice(t.num_rows - 1)
                 if t.num_rows > 1:
                     yield judged(t)
 
-    return _with_next(df, id_col, text_col).drop("part").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _with_next(df, id_col, text_col).drop("part").mapInArrow(freeing(run), schema).withColumnRenamed("id", id_col)

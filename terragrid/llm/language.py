@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import slices
+from terragrid.llm.shared import freeing, slices
 from terragrid.llm.text import U, column, mix, words
 
 #: Documents of each language that are learned from, words and characters of each; words of a run; hashed features; languages.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_CHARS, CHAIN, FEATURES, MAX_LANGUAGES = 150, 1000, 20_000, 64, 1 << 16, 256
-#: Bytes of words whose features are made at once, numbers of a batch of padded runs, and bytes of text worked off at once.
-FEATURE_BYTES, BATCH, STEP_BYTES = 1 << 19, 1 << 20, 2 << 20
+#: Bytes of words whose features are made at once, and numbers of a batch of padded runs.
+FEATURE_BYTES, BATCH = 1 << 19, 1 << 19
 STEPS, RATE, DECAY = 30, 0.1, 1e-3
 
 
@@ -303,9 +303,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", pred_col: str =
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def judge(texts: pa.Array) -> pa.Array:
-        found = [document_labels(part, sent.value) for part in _steps(texts)]
-        return pa.StructArray.from_arrays([pa.array([x for label, _ in found for x in label], pa.string()), pa.array(np.concatenate([np.zeros(0), *(s for _, s in found)]))], ["label", "score"])
+    @freeing
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [document_labels(part, sent.value) for part in _steps(texts)]
+            yield pa.StructArray.from_arrays([pa.array([x for label, _ in found for x in label], pa.string()), pa.array(np.concatenate([np.zeros(0), *(s for _, s in found)]))], ["label", "score"])
 
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (pred_col, score_col)]
     out = df.select(F.struct(*kept).alias("row"), judge(F.col(text_col)).alias("judged"))
@@ -313,7 +315,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", pred_col: str =
 
 
 def _steps(texts: pa.Array) -> Iterator[pa.Array]:
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", STEP_BYTES):
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
         yield part.column("text")
 
 
@@ -324,7 +326,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, STEP_BYTES):
+            for part in slices(batch, text_col):
                 m = sent.value
                 off, p, flat, letter = _word_probabilities(column(part, text_col), m)
                 names = np.array([*m.langs, "und"], object)
@@ -332,7 +334,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                 ends = pa.array(off.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.ListArray.from_arrays(ends, flat.cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(label, pa.string()))], ["id", "words", "labels"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, words array<string>, labels array<string>").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"id {id_type}, words array<string>, labels array<string>").withColumnRenamed("id", id_col)
 
 
 def certainties(texts: pa.Array, model: Model) -> np.ndarray:
@@ -349,8 +351,10 @@ def known_language(df: DataFrame, model: Model, least: float = 0.5, text_col: st
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
-    def certainty(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(certainties(part, sent.value) for part in _steps(texts))]))
+    @freeing
+    def certainty(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(certainties(part, sent.value) for part in _steps(texts))]))
 
     sure = certainty(F.col(text_col)).alias("sure")
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), sure).where((F.col("sure") > 0) & (F.col("sure") >= least)).select("row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terragrid.llm.components import components
-from terragrid.llm.shared import cut_lineage, slices
+from terragrid.llm.shared import cut_lineage, freeing, slices
 from terragrid.llm.text import U, column, grams, mix, spread, word_hashes, words
 
 #: Members of a bucket that are compared with one another at a time, and shingles that they have together.
@@ -117,7 +117,7 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col):
                 m = part.num_rows
                 text, x, count = shingles(column(part, text_col), n)
                 sig = signatures(text, x, count.astype(np.float64) if weighted else np.ones(len(x)), m, bands * rows)
@@ -132,7 +132,7 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
                 cols = [column(part, id_col), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "set_a", "set_b", "bands", "sig"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"id {id_type}, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
 def shingle_sets(df: DataFrame, n: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
@@ -149,7 +149,7 @@ def shingle_sets(df: DataFrame, n: int, weighted: bool, id_col: str, text_col: s
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))])
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.view(np.int64)))], ["id", "shingles"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, shingles array<long>")
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"id {id_type}, shingles array<long>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig", "shingles")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = cut_lineage(dealt.mapInArrow(_compare_blocks(least, threshold, bands * rows), "a long, b long").distinct())
+    more = cut_lineage(dealt.mapInArrow(freeing(_compare_blocks(least, threshold, bands * rows)), "a long, b long").distinct())
     if not more.isEmpty():
         links = cut_lineage(links.unionByName(more))
         labels = components(links)

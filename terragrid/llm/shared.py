@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are worked off in slices of about so many bytes of text, so a worker's memory stays flat.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +56,41 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYT
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def free_memory() -> None:
+    """Gives back to the system what this process has freed: a reused Python worker would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function of batches, that frees the worker's memory when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return wrapped
+
+
+def freed(f: Callable) -> Callable:
+    """`f`, a function of one or two tables for groups or cogroups, that frees the worker's memory after each."""
+
+    def one(t: pa.Table) -> pa.Table:
+        try:
+            return f(t)
+        finally:
+            free_memory()
+
+    def two(t: pa.Table, u: pa.Table) -> pa.Table:
+        try:
+            return f(t, u)
+        finally:
+            free_memory()
+
+    return one if f.__code__.co_argcount == 1 else two

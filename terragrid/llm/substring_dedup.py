@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import cut_lineage, text_chars
+from terragrid.llm.shared import cut_lineage, freed, text_chars
 from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Characters of a block of documents, and of text whose hashes meet in one part.
@@ -216,10 +216,10 @@ def paths(docs: DataFrame, n: int, parts: int) -> DataFrame:
         ids = column(t, "id").take(pa.array(doc[at]))  # the smallest of the block, as documents are in order
         return pa.table([pa.array(x[at].view(np.int64)), pa.array(y[at].view(np.int64)), pa.array(np.full(len(at), t["block"][0].as_py(), np.int32)), pa.array(size[at]), ids, pa.array(places, pa.binary())], names)
 
-    asked = grouped.applyInArrow(seeds, _PARTS).groupBy("part").applyInArrow(shared_seeds, "block int, data binary")
-    asked = grouped.cogroup(asked.groupBy("block")).applyInArrow(edges, _PARTS).groupBy("part").applyInArrow(shared_edges, "block int, data binary")
+    asked = grouped.applyInArrow(freed(seeds), _PARTS).groupBy("part").applyInArrow(freed(shared_seeds), "block int, data binary")
+    asked = grouped.cogroup(asked.groupBy("block")).applyInArrow(freed(edges), _PARTS).groupBy("part").applyInArrow(freed(shared_edges), "block int, data binary")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("source", id_type), T.StructField("places", T.BinaryType())])
-    return grouped.cogroup(asked.groupBy("block")).applyInArrow(compact, schema)
+    return grouped.cogroup(asked.groupBy("block")).applyInArrow(freed(compact), schema)
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -286,7 +286,7 @@ def deduplicate(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: st
         cols = [column(t, "id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
         return pa.table([*cols, *[column(t, f"c{i}") for i in range(len(carried))]], [f.name for f in fields])
 
-    out = docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(strike, T.StructType(fields))
+    out = docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(freed(strike), T.StructType(fields))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)])
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from terragrid.llm.shared import slices
+from terragrid.llm.shared import freeing, slices
 from terragrid.llm.text import column, units
 
 #: Bytes of one batch that a library gets, and pieces whose counts a worker keeps.
@@ -109,4 +109,4 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
                 size = pc.binary_length(texts.fill_null("")).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([column(part, id_col), size, pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
