@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terragrid.llm.components import components
 from terragrid.llm.shared import cut_lineage, freeing, slices
-from terragrid.llm.text import U, column, grams, mix, spread, word_hashes, words
+from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Members of a bucket that are compared with one another at a time, and shingles that they have together.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
@@ -136,27 +136,50 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
 
 
 def shingle_sets(df: DataFrame, n: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles array<long>, distinct: one of weight w stands as w numbered ones, so that sets compare as weighted sets do."""
+    """id, shingles array<long> (distinct, ascending as unsigned numbers), weights array<int>."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 text, x, count = shingles(column(part, text_col), n)
-                if weighted:
-                    text, x, number = np.repeat(text, count), np.repeat(x, count), spread(np.zeros(len(count), np.int64), count)
-                    x = np.where(number > 0, mix(x ^ mix(number.astype(U))), x)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))])
-                yield pa.RecordBatch.from_arrays([column(part, id_col), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.view(np.int64)))], ["id", "shingles"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]).astype(np.int32))
+                weights = count if weighted else np.ones(len(count))
+                yield pa.RecordBatch.from_arrays([column(part, id_col), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (x.view(np.int64), weights.astype(np.int32)))], ["id", "shingles", "weights"])
 
-    return df.select(id_col, text_col).mapInArrow(freeing(run), f"id {id_type}, shingles array<long>")
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"id {id_type}, shingles array<long>, weights array<int>")
+
+
+def alike(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, threshold: float) -> bool:
+    """Whether two weighted sets of distinct shingles have a similarity of `threshold` or more."""
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(wx[i], wy[j]).sum())
+    return shared >= threshold * (int(wx.sum()) + int(wy.sum()) - shared) - 1e-9
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingles (id, shingles) have a similarity of `threshold` or more."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+    """The pairs (a, b) whose weighted sets (id, shingles, weights) have a similarity of `threshold` or more."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"), F.col("weights").alias(f"w{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_Lists(column(batch, c)) for c in ("sa", "wa", "sb", "wb")]
+            good = [alike(*(v[i] for v in held), threshold) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    kinds = [f"{c} {both.schema[c].dataType.simpleString()}" for c in ("a", "b")]
+    return both.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(freeing(run), ", ".join(kinds))
+
+
+class _Lists:
+    """Rows of a list column as arrays, without a copy."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        self.ends, self.flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
 
 
 def _compare_blocks(least: float, threshold: float, k: int):
@@ -165,13 +188,12 @@ def _compare_blocks(least: float, threshold: float, k: int):
     Likely pairs are verified by their shingle sets here, the most alike first; what a link connects needs no other, so a
     group gives fewer links than it has members.
     """
-    names = ["bucket", "i", "j", "own", "id", "label", "sig", "shingles"]
+    names = ["bucket", "i", "j", "own", "id", "label", "sig", "shingles", "weights"]
 
     def pairs(t: pa.Table) -> tuple[list[int], list[int]]:
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, k)
         ids, label, own = (t[c].to_numpy().copy() for c in ("id", "label", "own"))
-        lists = column(t, "shingles")
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        shingles_, weights = _Lists(column(t, "shingles")), _Lists(column(t, "weights"))
         one = t["i"][0].as_py() == t["j"][0].as_py()
         rest = np.arange(len(ids)) if one else np.flatnonzero(own == t["j"][0].as_py())
         found = [], []
@@ -179,14 +201,11 @@ def _compare_blocks(least: float, threshold: float, k: int):
             y = rest[(label[rest] != label[x]) & (ids[rest] > ids[x] if one else True)]
             if not len(y):
                 continue
-            alike = (sig[y] == sig[x]).mean(axis=1)
-            mine = flat[ends[x] : ends[x + 1]]
-            for z in y[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
+            agree = (sig[y] == sig[x]).mean(axis=1)
+            for z in y[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]:
                 if label[z] == label[x]:
                     continue
-                other = flat[ends[z] : ends[z + 1]]
-                shared = len(np.intersect1d(mine, other, assume_unique=True))
-                if shared >= threshold * (len(mine) + len(other) - shared) - 1e-9:
+                if alike(shingles_[x], weights[x], shingles_[z], weights[z], threshold):
                     found[0].append(min(ids[x], ids[z]))
                     found[1].append(max(ids[x], ids[z]))
                     label[label == label[z]] = label[x]
@@ -255,8 +274,8 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     left = placed.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(sets.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "shingles"), "rep")
-    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig", "shingles")
+    left = left.join(sets.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "shingles", "weights"), "rep")
+    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig", "shingles", "weights")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = cut_lineage(dealt.mapInArrow(freeing(_compare_blocks(least, threshold, bands * rows)), "a long, b long").distinct())
