@@ -277,22 +277,24 @@ def reproject(x: Column, y: Column, source: int, target: int) -> Column:
     return move(x, y)
 
 
-def reproject_ring(ring: Column, source: int, target: int) -> Column:
-    """The ring in the EPSG code `target`; one batch of points a task."""
-    if source == target:
+def reproject_ring(ring: Column, source: int, target: int | Column) -> Column:
+    """The ring in the EPSG code `target`, which may be a column (null: the ring as it is); Arrow batches of rings."""
+    if isinstance(target, int) and source == target:
         return ring
     for srid in (source, target):
-        if srid not in (4326, 3857):
+        if isinstance(srid, int) and srid not in (4326, 3857):
             _utm(srid)
 
     @F.pandas_udf(RING)
-    def move(rings: pd.Series) -> pd.Series:
-        def one(r: Sequence[Sequence[float]] | None) -> list[list[float]] | None:
+    def move(rings: pd.Series, targets: pd.Series) -> pd.Series:
+        def one(r: Sequence[Sequence[float]] | None, to: float | None) -> list[list[float]] | None:
             if r is None or not len(r):
                 return None if r is None else []
             p = np.array([q[:2] for q in r], float)
-            return np.stack(_project(*_unproject(p[:, 0], p[:, 1], source), target), axis=1).tolist()
+            if pd.isna(to) or int(to) == source:
+                return p.tolist()
+            return np.stack(_project(*_unproject(p[:, 0], p[:, 1], source), int(to)), axis=1).tolist()
 
-        return rings.map(one, na_action="ignore")
+        return pd.Series([one(r, to) for r, to in zip(rings, targets)], dtype=object)
 
-    return move(ring)
+    return move(ring, F.lit(target) if isinstance(target, int) else target.cast("int"))

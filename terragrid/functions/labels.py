@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File name prefix -> area.
-AREA_PREFIXES = {"unita": "unita", "lluta": "lluta", "chug": "chugchug"}
+AREA_PREFIXES = {"unita": "unita", "lluta": "lluta", "chugchug": "chugchug", "chug": "chugchug", "granllama": "granllama", "salvador": "salvador"}
 # Class code -> name.
 CLASS_NAMES = {1: "geo", 2: "ground", 3: "road"}
 

@@ -37,10 +37,10 @@ def _centres(df: DataFrame, cols: Column, rows: Column, x: Column, y: Column, n:
     return cells.withColumn("cx", F.rint(x).cast("int")).withColumn("cy", F.rint(y).cast("int")).drop("_cols", "_rows")
 
 
-def fixed_grid(df: DataFrame, window: int, n: int | None, stride: float | Sequence[float] | None = None, w: str = "w", h: str = "h") -> DataFrame:
-    """Crop centres on a regular grid, the first n in row-major order (all of them for None with a stride).
+def fixed_grid(df: DataFrame, window: int, n: int | None, stride: float | Sequence[float] | None = None, w: str = "w", h: str = "h", whole: bool = False) -> DataFrame:
+    """Crop centres on a regular grid, the first n in row-major order (all of them for None with a stride, or if `whole`).
 
-    Without a stride, about n centres are spread over the image. Centres are rounded half to even.
+    Without a stride, n or a few more centres are spread over the image. Centres are rounded half to even.
     """
     half, W_, H_ = window // 2, F.col(w), F.col(h)
     if stride is None:
@@ -51,10 +51,10 @@ def fixed_grid(df: DataFrame, window: int, n: int | None, stride: float | Sequen
         cols = F.greatest(F.lit(1), F.ceil(F.sqrt(F.lit(n) * F.coalesce(W_ / F.nullif(H_, F.lit(0)), F.lit(1.0)))))
         rows = F.greatest(F.lit(1), F.ceil(F.lit(n) / cols))
         at = lambda g, size, k: half + F.col(g) * (F.greatest(F.lit(half), size - half) - half) / F.greatest(F.lit(1), k - 1)
-        return _centres(df, cols, rows, at("gx", W_, F.col("_cols")), at("gy", H_, F.col("_rows")), n)
+        return _centres(df, cols, rows, at("gx", W_, F.col("_cols")), at("gy", H_, F.col("_rows")), None if whole else n)
     sx, sy = parse_stride(stride)
     count = lambda size, s: F.ceil((F.greatest(size, F.lit(half)) + s - half) / s)
-    return _centres(df, count(W_, sx), count(H_, sy), half + F.col("gx") * sx, half + F.col("gy") * sy, n)
+    return _centres(df, count(W_, sx), count(H_, sy), half + F.col("gx") * sx, half + F.col("gy") * sy, None if whole else n)
 
 
 def random_centres(df: DataFrame, key: str, n: int, seed: int = 0, w: str = "w", h: str = "h") -> DataFrame:

@@ -245,7 +245,7 @@ def metadata_left(s: SparkSession, d: str) -> DataFrame:
     return lookups.with_metadata(img, meta).select("key", "path", "polygon_index")
 
 
-@query(f"WITH {FILES} SELECT key, CASE WHEN split_part(path, '/', 2) ILIKE 'unita\\_%' ESCAPE '\\' THEN 'unita' WHEN split_part(path, '/', 2) ILIKE 'lluta\\_%' ESCAPE '\\' THEN 'lluta' WHEN split_part(path, '/', 2) ILIKE 'chug\\_%' ESCAPE '\\' THEN 'chugchug' ELSE 'unknown' END AS area FROM files")
+@query(f"WITH {FILES} SELECT key, CASE WHEN split_part(path, '/', 2) ILIKE 'unita\\_%' ESCAPE '\\' THEN 'unita' WHEN split_part(path, '/', 2) ILIKE 'lluta\\_%' ESCAPE '\\' THEN 'lluta' WHEN split_part(path, '/', 2) ILIKE 'chug\\_%' ESCAPE '\\' OR split_part(path, '/', 2) ILIKE 'chugchug\\_%' ESCAPE '\\' THEN 'chugchug' WHEN split_part(path, '/', 2) ILIKE 'granllama\\_%' ESCAPE '\\' THEN 'granllama' WHEN split_part(path, '/', 2) ILIKE 'salvador\\_%' ESCAPE '\\' THEN 'salvador' ELSE 'unknown' END AS area FROM files")
 def area_from_filename(s: SparkSession, d: str) -> DataFrame:
     return files(s, d).select("key", labels.area_of_file(F.element_at(F.split("path", "/"), -1)).alias("area"))
 

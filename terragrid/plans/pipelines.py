@@ -17,13 +17,13 @@ from terragrid.operators import grids, lookups, stats
 def extraction(polygons: DataFrame, rasters: DataFrame, srid: int | None = None, class_code: int | None = None, limit: int | None = None) -> DataFrame:
     """Polygons (fid, class, polygon_points, srid, raster) with the pixel windows and metadata of their raster.
 
-    The limit comes before the class filter; rings of `srid` are moved to the raster's. Columns: polygon_index, class,
+    The limit comes before the class filter; rings of `srid` are moved to the CRS of each raster (its column srid; null: as they are). Columns: polygon_index, class,
     class_name, bounds, padded window, window (rows and columns), transform of the window.
     """
     out = lookups.class_filter(polygons, class_code, limit)
     ring = F.get("polygon_points", F.lit(0))["exterior"]
-    out = out.withColumn("ring", ring if srid is None else geometry.reproject_ring(ring, *(srid, 4326)))
-    out = out.join(rasters.select(F.col("path").alias("raster"), "affine"), "raster").withColumn("bounds", geometry.ring_bounds(F.col("ring")))
+    out = out.join(rasters.select(F.col("path").alias("raster"), "affine", *([] if srid is None else [F.col("srid").alias("raster_srid")])), "raster")
+    out = out.withColumn("ring", ring if srid is None else geometry.reproject_ring(ring, srid, F.col("raster_srid"))).withColumn("bounds", geometry.ring_bounds(F.col("ring")))
     out = out.withColumn("window", geometry.pixel_window(F.col("bounds"), F.col("affine"))).withColumn("padded_window", geometry.pixel_window(geometry.padded(F.col("bounds")), F.col("affine")))
     out = out.withColumn("transform", geometry.window_transform(F.col("affine"), F.col("window.row0"), F.col("window.col0")))
     return out.select(F.col("fid").alias("polygon_index"), "class", labels.class_name(F.col("class")).alias("class_name"), "bounds", "window", "padded_window", "transform", "polygon_points")
@@ -49,8 +49,7 @@ def crops(images: DataFrame, strategy: str, n: int = 10, window: int = 256, stri
     elif strategy == "fixed" or ring is None:
         at = grids.fixed_grid(images, window, n, stride)
     else:
-        # without a stride the grid's n cells come from the same rule; with one, all cells are tested
-        cells = grids.fixed_grid(images, window, n if stride is None else None, stride)
+        cells = grids.fixed_grid(images, window, n, stride, whole=True)  # n of those that pass are chosen below
         hit = F.col(ring).isNull() | geometry.crop_overlaps(F.col(ring), F.col("cx"), F.col("cy"), window, threshold)
         at = grids.uniform_subsample(cells.where(hit), "image_id", ["ord"], n)
     out = grids.crop_windows(at, window).withColumn("crop_id", F.concat(F.col("image_id").cast("string"), F.format_string("_%04d", "ord")))

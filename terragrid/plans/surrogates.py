@@ -67,9 +67,9 @@ RECTS = """rects AS (SELECT p_partkey AS image_id, x0, y0, x0 + 150 + p_size * 4
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """key, path, class: one image file an order."""
-    area = F.element_at(F.array(*map(F.lit, ("Unita", "lluta", "chug", "other"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    area = F.element_at(F.array(*map(F.lit, ("Unita", "lluta", "chug", "other", "chugchug", "GranLlama", "salvador"))), (F.col("o_custkey") % 7 + 1).cast("int"))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.format_string("dir/%s_%04d_ortho.jpg", area, "o_orderkey").alias("path"), (F.col("o_orderkey") % 5).cast("int").alias("class"))
 
 
-FILES = """files AS (SELECT o_orderkey AS key, 'dir/' || ['Unita', 'lluta', 'chug', 'other'][o_custkey % 4 + 1] || '_' || lpad(o_orderkey::VARCHAR, greatest(4, len(o_orderkey::VARCHAR))::INT, '0') || '_ortho.jpg' AS path,
+FILES = """files AS (SELECT o_orderkey AS key, 'dir/' || ['Unita', 'lluta', 'chug', 'other', 'chugchug', 'GranLlama', 'salvador'][o_custkey % 7 + 1] || '_' || lpad(o_orderkey::VARCHAR, greatest(4, len(o_orderkey::VARCHAR))::INT, '0') || '_ortho.jpg' AS path,
   (o_orderkey % 5)::INT AS class FROM orders)"""

@@ -162,3 +162,31 @@ def test_pipelines(spark):
     assert cut.where("image_id = 0 AND NOT accepted").isEmpty() and not cut.where("image_id = 1 AND NOT accepted").isEmpty()
     assert pipelines.augmented(cut, 12).count() == 3 * cut.where("accepted").count()
     assert pipelines.comparison(imgs, 0.5, zoom=8).where(F.size("bicubic") == 225).count() == 2
+
+
+def test_areas_of_all_prefixes(spark):
+    names = ["unita_1", "LLUTA_2", "chug_3", "chugchug_4", "GranLlama_5", "salvador_6", "chugchu_7", "salvador", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").coalesce(1)
+    got = [r.a for r in df.select(labels.area_of_file(F.col("n")).alias("a")).collect()]
+    assert got == ["unita", "lluta", "chugchug", "chugchug", "granllama", "salvador", "unknown", "unknown", "unknown"]
+
+
+def test_extraction_moves_rings_to_each_rasters_crs(spark):
+    """A square in degrees over a raster in UTM and one in degrees: both windows are the square's own pixels."""
+    ring = [[-69.9, -20.0], [-69.898, -20.0], [-69.898, -19.999], [-69.9, -19.999], [-69.9, -20.0]]
+    part = "array<struct<exterior: array<array<double>>, interiors: array<array<array<double>>>>>"
+    polygons = spark.createDataFrame([(i, 1, [(ring, [])], r) for i, r in enumerate(["utm", "deg", "none"])], f"fid long, class int, polygon_points {part}, raster string")
+    x, y = (float(v[0]) for v in geometry._project(np.array([-69.9]), np.array([-19.999]), 32719))
+    rasters = spark.createDataFrame([("utm", (0.5, x - 50.0, -0.5, y + 25.0), 32719), ("deg", (1e-5, -69.9, -1e-5, -19.999), 4326), ("none", (1e-5, -69.9, -1e-5, -19.999), None)], "path string, affine struct<a: double, c: double, e: double, f: double>, srid int")
+    got = {r.polygon_index: r for r in pipelines.extraction(polygons, rasters, srid=4326).collect()}
+    assert abs(got[0].window.col0 - 100) <= 1 and abs(got[0].window.row0 - 50) <= 12
+    assert abs(got[0].window.col1 - got[0].window.col0 - 2 * 209) < 6 and got[0].bounds.minx > 180_000
+    assert got[1].window == got[2].window and abs(got[1].window.col1 - got[1].window.col0 - 200) <= 1
+
+
+def test_polygon_crops_test_the_whole_grid(spark):
+    """Only the last cells of the grid lie in the polygon: beyond the n-th, yet they are found."""
+    ring = [[600.0, 600.0], [1000.0, 600.0], [1000.0, 1000.0], [600.0, 1000.0], [600.0, 600.0]]
+    df = spark.createDataFrame([(1, 1000, 1000, ring)], "image_id long, h int, w int, ring array<array<double>>")
+    got = [r.crop_index for r in pipelines.crops(df, "polygon", n=5, window=200, ring="ring", threshold=0.3).collect()]
+    assert 5 in got and len(got) <= 5
