@@ -12,8 +12,9 @@ classes of equal texts go by the same weights.
 
 Bands of `rows` coordinates are joined. No bucket's pairs are written out: each member is first held against the
 smallest one of a bucket or two, by the exact similarity of the shingles. Members that are connected then need no more
-comparisons. Where a bucket still falls into several components, its members are compared in blocks of bounded size by
-their signatures, and likely pairs are verified exactly in place: only links leave a block, fewer than it has members. A link within the threshold is missed only if the pair shares no
+comparisons. Where a bucket still falls into several components, its members are compared in blocks of bounded size: first
+by signatures alone, which tells the members that have a likely partner in the block, then only these by their shingles, in
+place. Only links leave a block, fewer than it has members. A link within the threshold is missed only if the pair shares no
 band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 6 standard deviations off (1e-9).
 
 Nulls: null texts and texts without words have no shingles and are linked to nothing; a null id is left alone. A text of
@@ -112,7 +113,8 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles (the sum of weights), set_a and set_b (a 128-bit hash of the weighted set), bands array<long>, sig binary (32 bits a coordinate)."""
+    """id, n_shingles (the sum of weights), set_a and set_b (a 128-bit hash of the weighted set), bands array<long>, sig binary (16 bits a coordinate:
+    chance agreements add candidates, they take none away)."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
                 keys = band_keys(sig, rows).view(np.int64)
                 full = size > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)), pa.array(keys[full].reshape(-1)))
-                blobs = [s.tobytes() if f else b"" for s, f in zip((sig & U(0xFFFFFFFF)).astype("<u4"), full)]
+                blobs = [s.tobytes() if f else b"" for s, f in zip((sig & U(0xFFFF)).astype("<u2"), full)]
                 cols = [column(part, id_col), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "set_a", "set_b", "bands", "sig"])
 
@@ -182,23 +184,71 @@ class _Lists:
         return self.flat[self.ends[i] : self.ends[i + 1]]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, over the ends of batches; one group at a time is held besides a batch."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        key = np.stack([t[c].to_numpy() for c in keys])
+        cuts = [0, *np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(cuts[-1])  # the last group may go on in the next batch
+    if rest is not None:
+        yield rest
+
+
+PLACE = ["bucket", "i", "j"]
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two blocks of a group; of one block twice where it meets itself."""
+    own = t["own"].to_numpy()
+    return np.flatnonzero(own == t["i"][0].as_py()), np.flatnonzero(own == t["j"][0].as_py())
+
+
+def _signatures_of(t: pa.Table, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, k)
+
+
+def _likely(least: float, k: int):
+    """mapInArrow over rows ordered by (bucket, i, j): those with a partner of another component and a likely signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, PLACE):
+            label, (left, right) = t["label"].to_numpy(), _sides(t)
+            if (label == label[0]).all():
+                continue
+            sig, likely = _signatures_of(t, k), np.zeros(t.num_rows, bool)
+            for x in left:
+                y = right[label[right] != label[x]]
+                y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+                likely[y] = True
+                likely[x] |= len(y) > 0
+            if likely.any():
+                yield from t.drop_columns(["sig"]).filter(pa.array(likely)).combine_chunks().to_batches()
+
+    return run
+
+
 def _compare_blocks(least: float, threshold: float, k: int):
     """mapInArrow over rows ordered by (bucket, i, j): links between members of one group that differ in component.
 
     Likely pairs are verified by their shingle sets here, the most alike first; what a link connects needs no other, so a
     group gives fewer links than it has members.
     """
-    names = ["bucket", "i", "j", "own", "id", "label", "sig", "shingles", "weights"]
 
     def pairs(t: pa.Table) -> tuple[list[int], list[int]]:
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(-1, k)
-        ids, label, own = (t[c].to_numpy().copy() for c in ("id", "label", "own"))
+        sig, (left, right) = _signatures_of(t, k), _sides(t)
+        ids, label = t["id"].to_numpy(), t["label"].to_numpy().copy()
         shingles_, weights = _Lists(column(t, "shingles")), _Lists(column(t, "weights"))
         one = t["i"][0].as_py() == t["j"][0].as_py()
-        rest = np.arange(len(ids)) if one else np.flatnonzero(own == t["j"][0].as_py())
         found = [], []
-        for x in rest if one else np.flatnonzero(own == t["i"][0].as_py()):
-            y = rest[(label[rest] != label[x]) & (ids[rest] > ids[x] if one else True)]
+        for x in left:
+            y = right[(label[right] != label[x]) & (ids[right] > ids[x] if one else True)]
             if not len(y):
                 continue
             agree = (sig[y] == sig[x]).mean(axis=1)
@@ -212,35 +262,13 @@ def _compare_blocks(least: float, threshold: float, k: int):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _and_none(batches):
-            t = pa.Table.from_batches([batch]) if batch is not None else None
-            if t is not None and t.num_rows == 0:
-                continue
-            t = rest if t is None else t if rest is None else pa.concat_tables([rest, t])
-            if t is None:
-                continue
-            key = np.stack([t[c].to_numpy() for c in names[:3]])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if batch is not None:  # the last group may go on in the next batch
-                keep = cuts[-1] if len(cuts) else 0
-                rest, t, cuts = t.slice(keep), t.slice(0, keep), cuts[:-1]
-            a, b = [], []
-            for lo, hi in zip([0, *cuts], [*cuts, t.num_rows]):
-                if hi - lo > 1:
-                    x, y = pairs(t.slice(lo, hi - lo))
-                    a += x
-                    b += y
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for t in _groups(batches, PLACE):
+            if t.num_rows > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs(t)], ["a", "b"])
 
     return run
 
 
-def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id, keep: class_id is the smallest id of the texts that links of `threshold` or more connect.
 
@@ -274,10 +302,14 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     left = placed.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(sets.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "shingles", "weights"), "rep")
-    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "sig", "shingles", "weights")
+    place = [*PLACE, "own", "rep", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label")]
+    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    dealt = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    prints_ = sets.select("rep", "sig")
+    dealt = left.join(prints_, "rep").select(*place, "sig").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    likely = dealt.mapInArrow(freeing(_likely(least, bands * rows)), f"bucket long, i int, j int, own int, rep {sets.schema['rep'].dataType.simpleString()}, id long, label long")
+    likely = cut_lineage(likely)
+    dealt = likely.join(prints_, "rep").join(texts.withColumnRenamed("id", "rep"), "rep").drop("rep").repartition(*PLACE).sortWithinPartitions(*PLACE)
     more = cut_lineage(dealt.mapInArrow(freeing(_compare_blocks(least, threshold, bands * rows)), "a long, b long").distinct())
     if not more.isEmpty():
         links = cut_lineage(links.unionByName(more))
