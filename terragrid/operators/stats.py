@@ -67,20 +67,22 @@ def remove_outliers(df: DataFrame, by: Sequence[str], col: str, factor: float =
 def size_statistics(df: DataFrame, by: str, factor: float = 1.5, width: str = "width_m", height: str = "height_m", area: str = "area_m2", px: tuple[str, str] = ("w_px", "h_px")) -> DataFrame:
     """One row per area: count, min and max of all sizes, means without outliers (each column by itself), mean metres a
     pixel, and the window that covers the larger mean side, in metres and pixels (0 without a scale)."""
-    cols = {"w": width, "h": height, "a": area}
-    out = df.alias("d")
-    for k, c in cols.items():
-        b = iqr_bounds(df, [by], c, factor).select(F.col(by).alias(f"{k}_by"), F.col("low").alias(f"{k}_low"), F.col("high").alias(f"{k}_high"))
-        out = out.join(b, F.col(f"d.{by}").eqNullSafe(F.col(f"{k}_by")), "left")  # a row an area; broadcast by Spark where small
+    keys = ("w", "h", "a")
+    held = df.select(F.col(by).alias("g"), *[F.col(c).alias(k) for k, c in zip((*keys, "pw", "ph"), (width, height, area, *px))])
+    long = held.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("x")) for k in keys])).alias("s")).select("g", "s.*")
+    ends = iqr_bounds(long, ["g", "k"], "x", factor)  # all three columns in one pass
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}_{c}")
+    ends = ends.groupBy("g").agg(*[pick(k, c) for k in keys for c in ("low", "high")])
+    out = held.alias("d").join(ends.alias("e"), _same("d", "e", ["g"]), "left")  # a row an area; broadcast by Spark where small
     side = lambda m, p: F.when(F.col(p) > 0, F.col(m) / F.nullif(F.col(p), F.lit(0))).otherwise(0.0)
-    scale = (side(width, px[0]) + side(height, px[1])) / 2
+    scale = (side("w", "pw") + side("h", "ph")) / 2
     aggs = [F.count("*").alias("n"), F.coalesce(F.avg(scale), F.lit(0.0)).alias("m_per_px")]
-    for k, c in cols.items():
-        kept = F.when(F.col(c).between(F.col(f"{k}_low"), F.col(f"{k}_high")), F.col(c))
-        aggs += [F.min(c).alias(f"{k}_min"), F.max(c).alias(f"{k}_max"), F.avg(kept).alias(f"{k}_mean"), F.count(kept).alias(f"{k}_kept")]
+    for k in keys:
+        kept = F.when(F.col(k).between(F.col(f"{k}_low"), F.col(f"{k}_high")), F.col(k))
+        aggs += [F.min(k).alias(f"{k}_min"), F.max(k).alias(f"{k}_max"), F.avg(kept).alias(f"{k}_mean"), F.count(kept).alias(f"{k}_kept")]
     metres = F.greatest(F.ceil("w_mean"), F.ceil("h_mean"))
     px_ = F.when(F.col("m_per_px") > 0, F.ceil(metres / F.nullif(F.col("m_per_px"), F.lit(0.0)))).otherwise(0)
-    return out.groupBy(F.col(f"d.{by}").alias(by)).agg(*aggs).withColumn("window_m", metres).withColumn("window_px", px_)
+    return out.groupBy(F.col("d.g").alias(by)).agg(*aggs).withColumn("window_m", metres).withColumn("window_px", px_)
 
 
 def histogram(df: DataFrame, by: str, col: str, bins: int = 20) -> DataFrame:
