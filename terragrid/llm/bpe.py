@@ -222,10 +222,19 @@ def _ranks(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens long, ids binary (little-endian unsigned 32-bit ids of the whole text)."""
+def _bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id, n_tokens long, ids binary (little-endian unsigned 32-bit ids of the whole text), and where `decoded` is set,
+    decoded binary: the bytes that the ids stand for.
+
+    Both in one function take one Python worker a task; `decode` over `encode` in one stage takes two at a time.
+    """
     sent = _ranks(df, path)
     id_type = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
@@ -235,11 +244,12 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                     off, ids = encode_slice(column(part, text_col), enc)
                     ends = pa.py_buffer((4 * off).astype("<i4"))  # a slice's ids take less than 2 GB, as its texts do
                     blobs = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, ends, pa.py_buffer(ids.astype("<u4"))])
-                    yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(np.diff(off)), blobs], [id_col, "n_tokens", "ids"])
+                    back = [pa.array([_bytes_of(x, enc.tokens) for x in blobs.to_pylist()], pa.binary())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(np.diff(off)), blobs, *back], names)
         finally:
             enc.release()
 
-    return df.select(id_col, text_col).mapInArrow(freeing(run), f"`{id_col}` {id_type}, n_tokens long, ids binary")
+    return df.select(id_col, text_col).mapInArrow(freeing(run), f"`{id_col}` {id_type}, n_tokens long, ids binary" + (", decoded binary" if decoded else ""))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -252,7 +262,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
         tokens = {i: t for t, i in read_ranks(sent.value).items()}
         for batch in batches:
             for part in slices(batch, ids_col):
-                blobs = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in column(part, ids_col).to_pylist()]
+                blobs = [_bytes_of(x or b"", tokens) for x in column(part, ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[column(part, f.name) for f in kept], pa.array(blobs, pa.binary())], schema.names)
 
     return df.mapInArrow(freeing(run), schema)

@@ -100,6 +100,8 @@ def test_empty_tables_and_nulls(spark):
     one = bpe.encode(spark.createDataFrame([(None, None, "x", "y")] * 2, SCHEMA), RANKS, public_tokenizers.PATTERN)
     assert [(r.n_tokens, bytes(r.ids)) for r in one.collect()] == [(0, b"")] * 2
     assert [bytes(r.decoded) for r in bpe.decode(one, RANKS).collect()] == [b""] * 2
+    both = bpe.encode(spark.createDataFrame([(None, None, "x", "y"), (1, "", "x", "y")], SCHEMA), RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert [(r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in both.collect()] == [(0, b"", b"")] * 2
 
 
 def test_pairs_are_judged_as_the_merges_do(library):
@@ -136,5 +138,7 @@ def test_very_long_texts(spark, library):
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN).withColumn("held", F.col("ids")), RANKS, "held").collect()}
     for i, t in enumerate(texts):
         assert got[i].ids == np.array(enc.encode_ordinary(t), "<u4").tobytes() and got[i].decoded == t.encode()
+    both = bpe.encode(df, RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in both.collect()} == {i: (r.n_tokens, r.ids, r.decoded) for i, r in got.items()}
     counts = token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert [r.n_bytes for r in sorted(counts)] == [len(t) for t in texts]
