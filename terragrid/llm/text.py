@@ -37,6 +37,31 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return before[bounds].astype(np.int64), flat.filter(pa.array(filled, pa.bool_()))
 
 
+#: What a byte is in lowered words: A-Z lowered, other ASCII than letters and digits a space, the rest as it is.
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[:0x80] = [ord(c.lower()) if (c := chr(i)).isalnum() else 0x20 for i in range(0x80)]
+
+
+def lowered_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets of each text's words, all words), of words that are runs of letters, digits and non-ASCII, A-Z lowered."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    if n == 0 or off[-1] == off[0]:
+        return np.zeros(n + 1, np.int64), pa.array([], pa.large_string())
+    data = _LOWERED[np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]]
+    filled = data != 0x20
+    starts = filled.copy()
+    starts[1:] &= ~filled[:-1]
+    bounds = off - off[0]
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    starts[heads] |= filled[heads]  # a word ends with its text
+    at = np.flatnonzero(starts)
+    ends = np.append(np.cumsum(filled, dtype=np.int64)[at] - 1, np.count_nonzero(filled))
+    flat = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[filled])])
+    return np.searchsorted(at, bounds).astype(np.int64), flat
+
+
 def word_hashes(flat: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; each distinct word of the batch is hashed once."""
     coded = flat.dictionary_encode()
