@@ -7,9 +7,9 @@ all windows meet, are counted and hashed once, and only sums by bucket leave a p
 window, however often it occurs. The same is done with the target's texts, and a bucket's gain is the logarithm of its
 share in the target over its share in the corpus.
 
-The gains (one number a bucket, a stated bound) then join each document's feature counts: a task hashes each distinct
-feature of its window of words once more, as sending the dictionary's buckets back to the documents would shuffle
-all texts and two bytes for each distinct feature of a window, and sums the gains over the document's features.
+The gains (one number a bucket, a stated bound) then join each document's feature counts. The buckets of a document's
+features are told from the CRCs of its distinct words, as the CRC of a joined string follows from those of its parts: no
+feature is spelled or hashed again, and neither texts nor buckets are shuffled.
 
 Documents are drawn without replacement by the Gumbel trick: the highest of weight plus noise, where the noise depends on
 seed and id alone. Ranks come from a range sort whose last key is the row's place, so that equal rows need not meet.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,32 @@ from terragrid.llm.text import U, column, lowered_words, mix, word_hashes
 
 #: Words of a window whose distinct features are counted together (below 2^21, as three word codes share 63 bits), bytes of
 #: text that a slice holds, characters of the corpus for each part of the dictionary, and the most buckets whose gains are sent.
-WINDOW, SLICE, PART_CHARS, MAX_BUCKETS = 1 << 20, 8 << 20, 4 << 20, 1 << 20
+WINDOW, SLICE, PART_CHARS, MAX_BUCKETS = 2_000_000, 8 << 20, 12 << 20, 1 << 20
+#: Strings that are hashed at a time.
+SPELLED = 1 << 16
+
+
+def _apply(tables: np.ndarray, x: np.ndarray, which: np.ndarray | int = 0) -> np.ndarray:
+    """The linear maps of 32 bits in `tables` (maps, 4, 256), one for each byte's value, of `x`."""
+    base = np.asarray(which, np.int64) * 1024
+    flat = tables.reshape(-1)
+    out = flat[base + (x & 255)]
+    for i in range(1, 4):
+        out = out ^ flat[base + i * 256 + ((x >> (8 * i)) & 255)]
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _shift(n: int) -> np.ndarray:
+    """(1, 4, 256): what n more bytes make of the CRC-32 of what precedes them; their own CRC is then added by exclusive or."""
+    if n == 0:
+        return np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * i) for i in range(4)])[None]
+    half = _shift(n // 2)
+    out = _apply(half, half)
+    if n % 2:
+        byte = np.array([~zlib.crc32(bytes([i ^ 255])) & 0xFFFFFFFF ^ 0xFFFFFF for i in range(256)], np.uint32)
+        out = (out >> np.uint32(8)) ^ byte[out & 255]
+    return out
 
 
 def _text(x: str) -> pa.Scalar:
@@ -75,10 +101,31 @@ class _Window:
             out.append(last)
         return out[::-1]
 
-    def strings(self, code: np.ndarray, n: int) -> pa.Array:
-        parts = [self.vocabulary.take(pa.array(w)) for w in self.words(code, n)]
+    def lines(self, code: np.ndarray, n: int) -> pa.Array:
+        """The runs as strings, each with a line's end."""
+        *words, last = self.words(code, n)
+        ended = pc.binary_join_element_wise(self.vocabulary, _text(""), _text("\n"))
+        parts = [*(self.vocabulary.take(pa.array(w)) for w in words), ended.take(pa.array(last))]
         return pc.binary_join_element_wise(*parts, _text(" ")) if n > 1 else parts[0]
 
+    def digests(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, CRC-32) of each run of 1, 2, ... n words."""
+        words = self.vocabulary.cast(pa.large_binary()).to_pylist()
+        alone = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        after = np.fromiter((zlib.crc32(b" " + w) for w in words), np.uint32, len(words))
+        sizes, which = np.unique(np.fromiter(map(len, words), np.int64, len(words)) + 1, return_inverse=True)
+        tables = np.concatenate([_shift(int(k)) for k in sizes]) if len(sizes) else np.zeros((0, 4, 256), np.uint32)
+        crc = alone[self.codes]
+        for size in range(1, n + 1):
+            m = min(self.starts, len(self.codes) - size + 1)
+            if m <= 0:
+                return
+            if size > 1:
+                last = self.codes[size - 1 : m + size - 1]
+                crc = _apply(tables, crc[:m], which[last]) ^ after[last]
+            inside = self.text[:m] == self.text[size - 1 : m + size - 1]
+            yield self.text[:m][inside], crc[:m][inside]
+
 
 def _windows(texts: pa.Array, n: int) -> Iterator[_Window]:
     off, flat = lowered_words(texts)
@@ -93,45 +140,54 @@ def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(w: _Window, n: int, parts: int) -> pa.RecordBatch:
-    """One row for each part of the dictionary that the window has features of."""
+    """One row for each part of the dictionary that the window has features of: zstd of their lines, sorted, and of their counts."""
     hashes = word_hashes(w.vocabulary)
-    strings, counts, part = [], [], []
+    blobs: dict[int, tuple[list[memoryview], list[bytes]]] = {}
     for size in range(1, n + 1):
         code, count = _distinct(w.runs(size)[1])
         total = np.full(len(code), size, U)
         for x in w.words(code, size):
             total = mix(total ^ hashes[x])
-        strings.append(w.strings(code, size))
-        counts.append(count)
-        part.append((total % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64))
-    order = np.argsort(np.concatenate(part), kind="stable")  # sorted strings stay sorted in their part, which packs them well
-    part, count = np.concatenate(part)[order].astype(np.int64), np.concatenate(counts)[order].astype("<i4")
-    flat = pa.chunked_array(strings).combine_chunks().take(pa.array(order))
-    cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)] if len(part) else [0]
+        part = (total % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")  # runs stay sorted in their part, which packs them well
+        part, count, lines = part[order], count[order].astype("<i4"), w.lines(code[order], size)
+        if not len(part):
+            continue
+        off, data = np.frombuffer(lines.buffers()[1], np.int64), memoryview(lines.buffers()[2])
+        cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            blob = blobs.setdefault(int(part[lo]), ([], []))
+            blob[0].append(data[off[lo] : off[hi]])
+            blob[1].append(count[lo:hi].tobytes())
     zip_ = zstandard.ZstdCompressor(level=3).compress
-    off = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else None
-    ended = pc.binary_join_element_wise(flat, _text(""), _text("\n")) if len(flat) else flat
-    data, off = (memoryview(ended.buffers()[2]), off + np.arange(len(off))) if len(flat) else (b"", off)
-    rows = [(int(part[a]), zip_(data[off[a] : off[b]]), zip_(count[a:b].tobytes())) for a, b in zip(cuts, cuts[1:])]
-    kinds = (pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "features", "counts"])
+    packed = [[zip_(b"".join(x)) for x in blob] for blob in blobs.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int64()), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))], ["part", "features", "counts"])
 
 
 def _merged(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
     """(distinct features of a part, their counts)."""
     unzip = zstandard.ZstdDecompressor().decompress
-    data = np.frombuffer(b"".join(unzip(x) for x in t["features"].to_pylist()), np.uint8)
-    counts = np.frombuffer(b"".join(unzip(x) for x in t["counts"].to_pylist()), "<i4")
+    counts = np.frombuffer(b"".join(unzip(x.as_py()) for x in t["counts"]), "<i4")
+    data = np.frombuffer(b"".join(unzip(x.as_py()) for x in t["features"]), np.uint8)
     ends = data == 0x0A
     upto = np.concatenate([[0], np.flatnonzero(ends) + 1]) - np.arange(len(counts) + 1)
-    flat = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(upto), pa.py_buffer(data[~ends])])
-    coded = flat.dictionary_encode()
+    data = data[~ends]
+    coded = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(upto), pa.py_buffer(data)]).dictionary_encode()
     n = np.bincount(np.asarray(coded.indices), counts, len(coded.dictionary)).astype(np.int64)
     return coded.dictionary, n
 
 
 def _hashed(features: pa.Array, buckets: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, features.cast(pa.large_binary()).to_pylist()), np.int64, len(features)) % buckets
+    if not len(features):
+        return np.zeros(0, np.int64)
+    off = np.frombuffer(features.buffers()[1], np.int64)[features.offset : features.offset + len(features) + 1]
+    data, crc = memoryview(features.buffers()[2]), zlib.crc32
+    out = np.empty(len(features), np.int64)
+    for lo in range(0, len(features), SPELLED):
+        ends = (off[lo : lo + SPELLED + 1] - off[lo]).tolist()
+        some = bytes(data[off[lo] : off[lo] + ends[-1]])
+        out[lo : lo + SPELLED] = [crc(some[x:y]) for x, y in zip(ends, ends[1:])]
+    return out % buckets
 
 
 def _parts(df: DataFrame, n: int, text_col: str) -> DataFrame:
@@ -196,12 +252,9 @@ def weighed(df: DataFrame, gain: DataFrame, n: int = 3, buckets: int = 10_000, i
                 n_words, n_features, weight = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
                 for w in _windows(texts, n):
                     n_words += np.bincount(w.text[: w.starts], minlength=m)
-                    for size in range(1, n + 1):
-                        text, code = w.runs(size)
-                        coded = pa.array(code).dictionary_encode()
-                        each = sent.value[_hashed(w.strings(np.asarray(coded.dictionary), size), buckets)]
+                    for text, crc in w.digests(n):
                         n_features += np.bincount(text, minlength=m)
-                        weight += np.bincount(text, each[np.asarray(coded.indices)] if len(text) else None, m).astype(np.int64)
+                        weight += np.bincount(text, sent.value[crc % np.uint32(buckets)], m).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array(n_words), pa.array(n_features), pa.array(weight)], [id_col, "n_words", "n_features", "weight"])
 
     return df.select(id_col, text_col).mapInArrow(freeing(run), f"`{id_col}` {id_type}, n_words long, n_features long, weight long")
