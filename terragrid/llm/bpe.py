@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import os
 import struct
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +30,11 @@ from pyspark.sql import types as T
 from terragrid.llm.shared import freeing, slices
 from terragrid.llm.text import column, spread, units
 
-#: Bytes of units, pieces and ids that a worker keeps during a task, pairs whose compatibility it keeps, bytes of a window of a
+#: Bytes of pieces and their ids that a worker keeps during a task, pairs whose compatibility it keeps, bytes of a window of a
 #: piece's matches, and the largest rank file sent to executors.
-KEPT_BYTES, PAIRS, WINDOW, MAX_VOCABULARY = 48 << 20, 1 << 16, 1 << 13, 64 << 20
-#: Bytes that an entry of the kept units takes beside its text and ids.
-ENTRY_BYTES = 200
+KEPT_BYTES, PAIRS, WINDOW, MAX_VOCABULARY = 24 << 20, 1 << 15, 1 << 13, 64 << 20
+#: Bytes of a dictionary's table for each entry, at its emptiest.
+ENTRY_BYTES = 160
 #: White space as Unicode defines it; what \s means in the patterns.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -60,14 +61,13 @@ class Encoder:
         self.automaton.make_automaton()
         self.may_follow = lru_cache(maxsize=PAIRS)(self._may_follow)
         self.longest = max(map(len, ranks), default=0)
-        self.units: dict[str, bytes] = {}
-        self.short: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.held = 0
 
     def release(self) -> None:
         """Drops what was kept during a task."""
-        self.units.clear()
-        self.short.clear()
+        self.pieces.clear()
+        self.may_follow.cache_clear()
         self.held = 0
 
     def merge(self, piece: bytes) -> list[int]:
@@ -150,29 +150,23 @@ class Encoder:
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         out = []
-        known = self.short
+        known = self.pieces
         for piece in self.pattern.findall(text) if len(text) <= WINDOW else (m[0] for m in self.pattern.finditer(text)):
             ids = known.get(piece)
             if ids is None:
                 found = self.piece(piece.encode())
                 ids = struct.pack(f"<{len(found)}I", *found) if len(found) < WINDOW else np.asarray(found, "<u4").tobytes()
-                self._keep(known, piece, ids)
+                size = sys.getsizeof(piece) + sys.getsizeof(ids) + ENTRY_BYTES
+                if self.held + size <= KEPT_BYTES:  # while there is room: the commonest come first
+                    known[piece] = ids
+                    self.held += size
             out.append(ids)
         return b"".join(out)
 
-    def _keep(self, known: dict[str, bytes], text: str, ids: bytes) -> None:
-        """While there is room: the commonest come first."""
-        size = len(text) + len(ids) + ENTRY_BYTES
-        if self.held + size <= KEPT_BYTES:
-            known[text] = ids
-            self.held += size
-
     def unit(self, text: str) -> bytes:
-        ids = self.units.get(text)
-        if ids is None:
-            ids = self.packed(text)
-            self._keep(self.units, text, ids)
-        return ids
+        """Ids of a unit; most are one piece. White space alone may be cut otherwise than where it was a piece."""
+        ids = self.pieces.get(text)
+        return self.packed(text) if ids is None or text.isspace() else ids
 
     def text(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()

@@ -38,7 +38,7 @@ from terragrid.llm.text import U, column, lowered_words, mix, word_hashes
 
 #: Words of a window whose distinct features are counted together (below 2^21, as three word codes share 63 bits), bytes of
 #: text that a slice holds, characters of the corpus for each part of the dictionary, and the most buckets whose gains are sent.
-WINDOW, SLICE, PART_CHARS, MAX_BUCKETS = 2_000_000, 8 << 20, 12 << 20, 1 << 20
+WINDOW, SLICE, PART_CHARS, MAX_BUCKETS = 2_000_000, 7 << 20, 12 << 20, 1 << 20
 #: Strings that are hashed at a time.
 SPELLED = 1 << 16
 
@@ -159,25 +159,26 @@ def _counted(w: _Window, n: int, parts: int) -> pa.RecordBatch:
             blob = blobs.setdefault(int(part[lo]), ([], []))
             blob[0].append(data[off[lo] : off[hi]])
             blob[1].append(count[lo:hi].tobytes())
-    zip_ = zstandard.ZstdCompressor(level=3).compress
+    zip_ = zstandard.ZstdCompressor(level=6).compress
     packed = [[zip_(b"".join(x)) for x in blob] for blob in blobs.values()]
     return pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int64()), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))], ["part", "features", "counts"])
 
 
 def _merged(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    """(distinct features of a part, their counts)."""
+    """(distinct features of a part as lines, their counts)."""
     unzip = zstandard.ZstdDecompressor().decompress
     counts = np.frombuffer(b"".join(unzip(x.as_py()) for x in t["counts"]), "<i4")
-    data = np.frombuffer(b"".join(unzip(x.as_py()) for x in t["features"]), np.uint8)
-    ends = data == 0x0A
-    upto = np.concatenate([[0], np.flatnonzero(ends) + 1]) - np.arange(len(counts) + 1)
-    data = data[~ends]
-    coded = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(upto), pa.py_buffer(data)]).dictionary_encode()
+    data = bytearray()
+    for x in t["features"]:
+        data += unzip(x.as_py())
+    ends = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A) + 1)
+    coded = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
     n = np.bincount(np.asarray(coded.indices), counts, len(coded.dictionary)).astype(np.int64)
     return coded.dictionary, n
 
 
 def _hashed(features: pa.Array, buckets: int) -> np.ndarray:
+    """Buckets of features, given as lines."""
     if not len(features):
         return np.zeros(0, np.int64)
     off = np.frombuffer(features.buffers()[1], np.int64)[features.offset : features.offset + len(features) + 1]
@@ -186,7 +187,7 @@ def _hashed(features: pa.Array, buckets: int) -> np.ndarray:
     for lo in range(0, len(features), SPELLED):
         ends = (off[lo : lo + SPELLED + 1] - off[lo]).tolist()
         some = bytes(data[off[lo] : off[lo] + ends[-1]])
-        out[lo : lo + SPELLED] = [crc(some[x:y]) for x, y in zip(ends, ends[1:])]
+        out[lo : lo + SPELLED] = [crc(some[x : y - 1]) for x, y in zip(ends, ends[1:])]
     return out % buckets
 
 
@@ -207,7 +208,7 @@ def feature_dictionary(df: DataFrame, n: int = 3, buckets: int = 10_000, text_co
 
     def run(t: pa.Table) -> pa.Table:
         features, count = _merged(t)
-        return pa.table({"feature": features.cast(pa.string()), "n": count, "bucket": _hashed(features, buckets)})
+        return pa.table({"feature": pc.utf8_rtrim(features, "\n").cast(pa.string()), "n": count, "bucket": _hashed(features, buckets)})
 
     return _parts(df, n, text_col).groupBy("part").applyInArrow(freed(run), "feature string, n long, bucket long")
 

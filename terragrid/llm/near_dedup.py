@@ -18,8 +18,9 @@ place. Only links leave a block, fewer than it has members. A link within the th
 band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 6 standard deviations off (1e-9).
 
 Nulls: null texts and texts without words have no shingles and are linked to nothing; a null id is left alone. A text of
-fewer words than a shingle has one shingle, all its words. Rows that repeat an id are one document. Empty tables give
-empty results. Other columns are not read.
+fewer words than a shingle has one shingle, all its words. Rows that repeat an id with another text are documents of their
+own; rows that repeat id and text are one. Where texts of one id lead a class, the row of one of them is kept. Empty tables
+give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Members of a bucket that are compared with one another at a time, and shingles that they have together.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Tasks that the members of one class are dealt to when they are given its id.
+SALTS = 8
 #: Leaders (smallest members of its buckets) that a text is held against before blocks are compared.
 LEADERS = 2
 
@@ -113,7 +116,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles (the sum of weights), set_a and set_b (a 128-bit hash of the weighted set), bands array<long>, sig binary (16 bits a coordinate:
+    """id, tkey (the text's xxhash64), n_shingles (the sum of weights), set_a and set_b (a 128-bit hash of the weighted set), bands array<long>, sig binary (16 bits a coordinate:
     chance agreements add candidates, they take none away)."""
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -131,10 +134,11 @@ def fingerprints(df: DataFrame, n: int = 5, bands: int = 24, rows: int = 4, weig
                 full = size > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)), pa.array(keys[full].reshape(-1)))
                 blobs = [s.tobytes() if f else b"" for s, f in zip((sig & U(0xFFFF)).astype("<u2"), full)]
-                cols = [column(part, id_col), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+                cols = [column(part, id_col), column(part, "tkey"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "tkey", "n_shingles", "set_a", "set_b", "bands", "sig"])
 
-    return df.select(id_col, text_col).mapInArrow(freeing(run), f"id {id_type}, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
+    keyed = df.select(id_col, text_col, F.xxhash64(text_col).alias("tkey"))
+    return keyed.mapInArrow(freeing(run), f"id {id_type}, tkey long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
 def shingle_sets(df: DataFrame, n: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
@@ -274,16 +278,22 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
 
     Ids are integers. `keep` marks the one document of each class that has the class's id.
     """
+    return _classified(df, n, threshold, bands, rows, weighted, id_col, text_col).drop("tkey")
+
+
+def _classified(df: DataFrame, n: int, threshold: float, bands: int, rows: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
     prints = cut_lineage(fingerprints(df, n, bands, rows, weighted, id_col, text_col))
     named = ["set_a", "set_b", "n_shingles"]
-    sets = prints.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*named).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    sets = cut_lineage(sets)
+    sets = prints.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("id", "tkey")).alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    sets = cut_lineage(sets.withColumn("rep", F.monotonically_increasing_id()))  # an id may hold several sets, so they have numbers of their own
     members = sets.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
     members = cut_lineage(members.drop("n_shingles").join(buckets, "bucket"))
-    ids = members.select(F.col("rep").alias(id_col)).distinct()
-    texts = cut_lineage(shingle_sets(df.select(id_col, text_col).join(ids, id_col, "left_semi"), n, weighted, id_col, text_col))
+    compared = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("first.id").alias("f_id"), F.col("first.tkey").alias("f_key"))
+    rows_ = df.select(F.col(id_col).alias("r_id"), F.xxhash64(text_col).alias("r_key"), F.col(text_col).alias("text"))
+    firsts = rows_.join(compared, (F.col("r_id") == F.col("f_id")) & (F.col("r_key") == F.col("f_key"))).select("rep", "text")
+    texts = cut_lineage(shingle_sets(firsts, n, weighted, "rep", "text"))
     star = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = labels = tried = None
     for _ in range(LEADERS):  # one leader each time; those already connected need no other
@@ -307,20 +317,30 @@ def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: in
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     prints_ = sets.select("rep", "sig")
     dealt = left.join(prints_, "rep").select(*place, "sig").repartition(*PLACE).sortWithinPartitions(*PLACE)
-    likely = dealt.mapInArrow(freeing(_likely(least, bands * rows)), f"bucket long, i int, j int, own int, rep {sets.schema['rep'].dataType.simpleString()}, id long, label long")
+    likely = dealt.mapInArrow(freeing(_likely(least, bands * rows)), f"bucket long, i int, j int, own int, rep long, id long, label long")
     likely = cut_lineage(likely)
     dealt = likely.join(prints_, "rep").join(texts.withColumnRenamed("id", "rep"), "rep").drop("rep").repartition(*PLACE).sortWithinPartitions(*PLACE)
     more = cut_lineage(dealt.mapInArrow(freeing(_compare_blocks(least, threshold, bands * rows)), "a long, b long").distinct())
     if not more.isEmpty():
         links = cut_lineage(links.unionByName(more))
         labels = components(links)
-    classes = sets.select(*named, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*named, F.coalesce("label", "rep").alias("class_id"))
-    out = prints.select("id", *named).join(classes, named, "left")
+    labelled = sets.select(*named, "rep", F.col("first.id").alias("first")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    leads = labelled.groupBy("label").agg(F.min(F.struct("first", "rep")).alias("lead")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = labelled.withColumn("salt", F.pmod("rep", F.lit(SALTS)).cast("int")).join(leads, ["label", "salt"])
+    classes = classes.select(*named, F.col("lead.first").alias("class_id"), (F.col("rep") == F.col("lead.rep")).alias("leads"))
+    out = prints.select("id", "tkey", *named).join(classes, named, "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", class_id.alias("class_id"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("keep"))
+    keep = F.coalesce((class_id == F.col("id")) & F.coalesce("leads", F.lit(True)), F.lit(True))
+    return out.select(F.col("id").alias(id_col), "tkey", "n_shingles", class_id.alias("class_id"), keep.alias("keep"))
 
 
-def deduplicated(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `df` without near-duplicates: of each class the document with the smallest id stays."""
-    gone = near_duplicates(df, n, threshold, id_col=id_col).where("NOT keep").select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+def deduplicated(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` without near-duplicates: of each class the document with the smallest id stays.
+
+    Rows are told by id and text: where an id has several texts, each stays or goes with its own class. Rows that repeat a
+    kept row's id and text stay with it.
+    """
+    out = _classified(df, n, threshold, bands, rows, weighted, id_col, text_col)
+    gone = out.where("NOT keep").select(F.col(id_col).alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct()
+    same = (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_key"))
+    return df.join(gone, same, "left_anti")

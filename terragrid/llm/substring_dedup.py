@@ -14,8 +14,8 @@ within the block, so a window that all documents hold is sent once a block. No t
 
 Nulls: a null text has no words; a null id is no source, but its repeats of others are removed. Texts of fewer than n
 words lose nothing. Rows with the same id are one document: they are no sources for each other. Empty tables give empty
-results. A wrong removal needs two spans of one digest, which is out of reach. A repeat can be missed where two words
-beside its ends have an equal 31-bit hash, or two windows an equal 64-bit hash, so that a path runs on too far.
+results. A wrong removal needs two spans of one digest, which is out of reach. A repeat can be missed only where two
+windows, or two words beside a path's ends, have an equal 64-bit hash, so that the path runs on too far.
 """
 
 from __future__ import annotations
@@ -69,11 +69,10 @@ class _Block:
         return low, at
 
     def context(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Odd 32-bit hashes of the words before and after each window; 0 at a text's ends."""
+        """64-bit hashes of the words before and after each window, not 0; 0 at a text's ends."""
         doc = self.doc_at(at)
-        small = (mix(self.hash) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-        small = np.append(small, np.uint32(0))
-        return np.where(at > self.off[doc], small[at - 1], 0).astype(np.uint32), np.where(at + n < self.off[doc + 1], small[np.minimum(at + n, len(self.hash))], 0).astype(np.uint32)
+        word = np.append(np.maximum(mix(self.hash), U(1)), U(0))
+        return np.where(at > self.off[doc], word[at - 1], U(0)), np.where(at + n < self.off[doc + 1], word[np.minimum(at + n, len(self.hash))], U(0))
 
 
 def _groups(keys: np.ndarray) -> np.ndarray:
@@ -94,7 +93,7 @@ def _merged(key: np.ndarray, doc: np.ndarray, *context: np.ndarray) -> list[np.n
     out = [key[at], many.astype(np.uint8)]
     for c in context:
         low = np.minimum.reduceat(c[order], at)
-        out.append(np.where(low == np.maximum.reduceat(c[order], at), low, 0).astype(np.uint32))
+        out.append(np.where(low == np.maximum.reduceat(c[order], at), low, U(0)))
     return out
 
 
@@ -173,7 +172,7 @@ def paths(docs: DataFrame, n: int, parts: int) -> DataFrame:
 
     def shared_edges(t: pa.Table) -> pa.Table:
         t = _ranked(t)
-        (key, many, left, right), sizes = _read(t["data"].to_pylist(), [U, np.uint8, np.uint32, np.uint32])
+        (key, many, left, right), sizes = _read(t["data"].to_pylist(), [U, np.uint8, U, U])
         order = np.argsort(key, kind="stable")
         at = _groups(key[order])
         if not len(at):
@@ -244,8 +243,8 @@ def _dealt_documents(df: DataFrame, id_col: str, text_col: str, carried: list[st
     """(block, id, tkey, text, c0, c1, ... of `df`, number of parts); tkey puts texts with the same id in order."""
     chars = text_chars(df, text_col)
     blocks, parts = max(12, math.ceil(chars / BLOCK_CHARS)), max(8, math.ceil(chars / PART_CHARS))
-    # rows of one id, null too, are dealt by their texts: they are no sources for each other, so they need not meet
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block")
+    # rows of one id, null too, are dealt by their texts, equal rows by where they were read: no sources for each other, they need not meet
+    block = F.pmod(F.xxhash64(id_col, text_col, F.spark_partition_id()), F.lit(blocks)).cast("int").alias("block")
     docs = df.select(block, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     return docs, parts
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from terragrid.llm.shared import freeing, slices
 from terragrid.llm.text import column, units
 
-#: Bytes of one batch that a library gets, and pieces whose counts a worker keeps.
-BATCH_BYTES, KEPT = 1 << 20, 400_000
+#: Bytes of one batch that a library gets, bytes of pieces and counts that a worker keeps, and of a dictionary's entry beside its piece.
+BATCH_BYTES, KEPT_BYTES, ENTRY_BYTES = 1 << 20, 32 << 20, 192
 #: Largest vocabulary file that is sent to the executors.
 MAX_VOCABULARY = 64 << 20
 
@@ -69,20 +70,36 @@ def _by_bytes(texts: list[str]) -> Iterator[list[str]]:
         yield batch
 
 
-def _count(texts: pa.Array, count: Callable[[list[str]], list[int]], cut: bool, known: dict[str, int]) -> np.ndarray:
+class _Known:
+    """Counts of pieces, kept while there is room: the commonest come first."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.held = 0
+
+    def of(self, pieces: list[str], count: Callable[[list[str]], list[int]]) -> np.ndarray:
+        out = np.fromiter((self.counts.get(x, -1) for x in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(out < 0)
+        done = 0
+        for batch in _by_bytes([pieces[i] for i in new]):
+            found = count(batch)
+            out[new[done : done + len(batch)]] = found
+            done += len(batch)
+            for x, n in zip(batch, found):
+                size = sys.getsizeof(x) + ENTRY_BYTES
+                if self.held + size <= KEPT_BYTES:
+                    self.counts[x] = n
+                    self.held += size
+        return out
+
+
+def _count(texts: pa.Array, count: Callable[[list[str]], list[int]], cut: bool, known: _Known) -> np.ndarray:
     if not cut:
         plain = texts.fill_null("").to_pylist()
         return np.fromiter((n for b in _by_bytes(plain) for n in count(b)), np.int64, len(plain))
     off, flat = units(texts)
     coded = flat.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    new = [x for x in distinct if x not in known]
-    if len(known) + len(new) > KEPT:
-        known.clear()
-        new = distinct
-    for batch in _by_bytes(new):
-        known.update(zip(batch, count(batch)))
-    each = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+    each = known.of(coded.dictionary.to_pylist(), count)
     upto = np.concatenate([[0], np.cumsum(each[np.asarray(coded.indices)])]) if len(flat) else np.zeros(1, np.int64)
     return upto[off[1:]] - upto[off[:-1]]
 
@@ -101,7 +118,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cut = _counter(kind, sent.value)
-        known: dict[str, int] = {}
+        known = _Known()
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = column(part, text_col)

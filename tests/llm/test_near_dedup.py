@@ -150,3 +150,34 @@ def weighted_classes(docs, threshold=0.8):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {i: find(i) for i in bags}
+
+
+def by_row(rows, threshold=0.8):
+    """Which rows stay: classes over distinct texts, of which the one with the smallest id (of the rows that hold it) stays."""
+    least = {}
+    for i, t in rows:
+        least[t] = min(least.get(t, i), i)
+    texts = sorted(least, key=lambda t: (least[t], t))
+    classes = brute_classes(list(enumerate(texts)), threshold)
+    root = {t: texts[classes[k]] for k, t in enumerate(texts)}
+    return Counter((i, t) for i, t in rows if i == least[root[t]])
+
+
+def test_ids_that_repeat_over_different_and_equal_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    t1, t2 = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    near = t2 + " more"
+    rows = [(2, t1), (5, t1), (5, t2), (7, near), (7, near), (9, t1 + " x"), (9, "something else that nobody else has said"), (11, near), (11, near)]
+    df = spark.createDataFrame([(i, t, "x", None, None) for i, t in rows], SCHEMA)
+    left = near_dedup.deduplicated(df)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == by_row(rows)
+    assert {r.text for r in left.collect()} == {t1, t2, rows[6][1]}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-50], *map(str, range(50))])), (3, " ".join(reversed(long))), (4, "short text of five words")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    assert got_classes(near_dedup.near_duplicates(df)) == {1: 1, 2: 1, 3: 3, 4: 4}

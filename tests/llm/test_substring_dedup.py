@@ -92,3 +92,13 @@ def test_equal_hashes_of_words_do_not_pass(spark, monkeypatch):
     assert x[0] == x[1] and y[0] == y[1] and x[0] != x[2]
     a, _ = substring_dedup._digests(pa.array(["ab", "c", "a", "bc"]), np.array([0, 2]), np.array([2, 2]))
     assert a[0] != a[1]
+
+
+def test_equal_rows_are_split_over_blocks(spark):
+    """Rows without an id, and of one text, are dealt by where they were read."""
+    text = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(None, text)] * 4000 + [(None, None)] * 4000 + [(7, text)], "doc_id long, text string").repartition(8)
+    docs, _ = substring_dedup._dealt_documents(df, "doc_id", "text", [])
+    assert docs.groupBy("block").count().agg({"count": "max"}).first()[0] < 3000
+    out = substring_dedup.deduplicate(df)
+    assert out.groupBy("n_words", "n_removed").count().orderBy("n_words", "n_removed").collect() == [(0, 0, 4000), (20, 0, 1), (20, 20, 4000)]  # a null id is no source

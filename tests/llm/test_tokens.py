@@ -142,3 +142,12 @@ def test_very_long_texts(spark, library):
     assert {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in both.collect()} == {i: (r.n_tokens, r.ids, r.decoded) for i, r in got.items()}
     counts = token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert [r.n_bytes for r in sorted(counts)] == [len(t) for t in texts]
+
+
+def test_kept_counts_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_BYTES", 50_000)
+    known = token_counts._Known()
+    pieces = [f"{i:0{i % 9000 + 1}d}" for i in range(300)]
+    for _ in range(2):
+        assert known.of(pieces, lambda b: [len(x) for x in b]).tolist() == list(map(len, pieces))
+    assert 0 < known.held <= 50_000 and 0 < len(known.counts) < len(pieces)
