@@ -217,6 +217,33 @@ def box_metres(b: Column) -> Column:
     return F.struct(w.alias("width_m"), h.alias("height_m"), (w * h).alias("area_m2"))
 
 
+def box_metres_in(b: Column, srid: Column) -> Column:
+    """struct<width_m, height_m, area_m2> of bounds in the EPSG code `srid` (null: degrees): three corners are moved to degrees,
+    the width runs along the lower left corner's latitude, the height along its longitude. Codes without support give null."""
+
+    @F.pandas_udf("width_m double, height_m double, area_m2 double")
+    def run(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, srid: pd.Series) -> pd.DataFrame:
+        out = np.full((len(x0), 3), np.nan)
+        box = np.stack([v.to_numpy(float) for v in (x0, y0, x1, y1)])
+        codes = srid.fillna(4326).astype(int).to_numpy()
+        for code in np.unique(codes):
+            at = codes == code
+            if not supported(int(code)):
+                continue
+            (a, c, d), (e, f, g) = zip(*(_unproject(box[i, at], box[j, at], int(code)) for i, j in ((0, 1), (2, 1), (0, 3))))
+            w, h = np.abs(_geodesic(a, e, c, e)), np.abs(_geodesic(a, e, a, g))
+            out[at] = np.stack([w, h, w * h], axis=1)
+        return pd.DataFrame(out, columns=["width_m", "height_m", "area_m2"])
+
+    m = run(b["minx"], b["miny"], b["maxx"], b["maxy"], srid.cast("int"))
+    return F.when(F.isnan(m["width_m"]), None).otherwise(m)
+
+
+def supported(srid: int) -> bool:
+    """Whether coordinates of an EPSG code can be moved: 4326, 3857 and the WGS84 UTM zones."""
+    return srid in (4326, 3857) or 32601 <= srid <= 32660 or 32701 <= srid <= 32760
+
+
 def _utm(srid: int) -> tuple[float, float]:
     """(central meridian in degrees, false northing) of a UTM zone."""
     if not (32601 <= srid <= 32660 or 32701 <= srid <= 32760):
@@ -298,3 +325,39 @@ def reproject_ring(ring: Column, source: int, target: int | Column) -> Column:
         return pd.Series([one(r, to) for r, to in zip(rings, targets)], dtype=object)
 
     return move(ring, F.lit(target) if isinstance(target, int) else target.cast("int"))
+
+
+PARTS = "array<struct<exterior: array<array<double>>, interiors: array<array<array<double>>>>>"
+
+
+def reproject_parts(parts: Column, source: Column, target: Column) -> Column:
+    """Polygon parts in the EPSG code `target`; as they are where a code is null or both are equal, null without support.
+
+    All points of a batch are moved together, code by code.
+    """
+
+    @F.pandas_udf(PARTS)
+    def move(parts: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+        rings, pair = [], []
+        for row, a, b in zip(parts, source, target):
+            if row is None:
+                continue
+            for p in row:
+                for r in (p["exterior"], *(p["interiors"] if p["interiors"] is not None else ())):
+                    rings.append(np.array([list(q)[:2] for q in r], float).reshape(-1, 2) if r is not None else np.zeros((0, 2)))
+                    pair.append((0, 0) if pd.isna(a) or pd.isna(b) or a == b else (int(a), int(b)))
+        ends = np.cumsum([0, *map(len, rings)])
+        points = np.concatenate(rings) if rings else np.zeros((0, 2))
+        of = np.repeat(np.arange(len(rings)), np.diff(ends))
+        for a, b in set(pair) - {(0, 0)}:
+            at = np.array([x == (a, b) for x in pair])[of]
+            points[at] = np.stack(_project(*_unproject(points[at, 0], points[at, 1], a), b), axis=1) if supported(a) and supported(b) else np.nan
+        moved = iter([points[lo:hi] for lo, hi in zip(ends, ends[1:])])
+        out = []
+        for row in parts:
+            new = None if row is None else [{"exterior": next(moved).tolist(), "interiors": [next(moved).tolist() for _ in (p["interiors"] if p["interiors"] is not None else ())]} for p in row]
+            lost = new is not None and any(np.isnan(q).any() for p in new for r in (p["exterior"], *p["interiors"]) for q in r)
+            out.append(None if lost else new)
+        return pd.Series(out, dtype=object)
+
+    return move(parts, source.cast("int"), target.cast("int"))

@@ -122,13 +122,17 @@ def zoom_on_scaled(df: DataFrame, scaled_w: str, scaled_h: str, w: str = "w", h:
     return out
 
 
-def config_grid(spark, windows: Sequence[int], strides: Sequence[object], noises: Sequence[str], levels: Sequence[float]) -> DataFrame:
-    """window, stride (a label), noise_type, noise_level: every combination of a few options, made of literals."""
+def with_configs(df: DataFrame, windows: Sequence[int], strides: Sequence[object], noises: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """`df` with window, stride (a label), noise_type, noise_level: each row once for every combination of a few options."""
     axes = {"window": F.array(*map(F.lit, windows)), "stride": F.array(*[F.lit(stride_label(s)) for s in strides]), "noise_type": F.array(*map(F.lit, noises)), "noise_level": F.array(*[F.lit(float(x)) for x in levels])}
-    out = spark.range(1)
     for name, values in axes.items():
-        out = out.withColumn(name, F.explode(values))
-    return out.drop("id")
+        df = df.withColumn(name, F.explode(values))
+    return df
+
+
+def config_grid(spark, windows: Sequence[int], strides: Sequence[object], noises: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """window, stride (a label), noise_type, noise_level: every combination of a few options, made of literals."""
+    return with_configs(spark.range(1), windows, strides, noises, levels).drop("id")
 
 
 def stride_label(stride: float | Sequence[float] | None) -> str:

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.functions import geometry, labels, pixels, texture
+from terragrid.functions import geometry, labels, packed, pixels, texture
 from terragrid.operators import grids, lookups, stats
+from terragrid.plans import extraction
 from terragrid.plans.surrogates import DIMS, FILES, HP, PX, RECTS, RP, SCALES, SIZES, dims, files, images, rects, sizes, table
+from terragrid.sources import geotiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,10 +275,12 @@ def rescale_metadata(s: SparkSession, d: str) -> DataFrame:
     return lookups.rescaled_metadata(meta, F.lit(0.218)).select("image_id", "image_shape.height", "image_shape.width", "resized", "scale_factor", "file_size_mb")
 
 
-@query("SELECT m AS metric FROM (VALUES ('moran'), ('sharpness'), ('hog'), ('blur')) t(m) WHERE m NOT IN ('moran', 'entropy', 'contrast', 'homogeneity', 'energy', 'correlation', 'humoments', 'hog', 'lbp_entropy')")
+@query("""WITH asked AS (SELECT ['moran', 'sharpness', 'hog', 'blur', 'energy'][event_id % 5 + 1] AS metric FROM events)
+SELECT metric, count(*) AS n FROM asked WHERE metric NOT IN ('moran', 'entropy', 'contrast', 'homogeneity', 'energy', 'correlation', 'humoments', 'hog', 'lbp_entropy') GROUP BY metric""")
 def set_difference(s: SparkSession, d: str) -> DataFrame:
-    asked = s.createDataFrame([(x,) for x in ("moran", "sharpness", "hog", "blur")], "metric string")
-    return asked.exceptAll(s.createDataFrame([(x,) for x in texture.METRICS], "metric string"))
+    asked = F.element_at(F.array(*map(F.lit, ("moran", "sharpness", "hog", "blur", "energy"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(s, d, "events").select(asked.alias("metric"))
+    return rows.where(~F.col("metric").isin(list(texture.METRICS))).groupBy("metric").agg(F.count("*").alias("n"))
 
 
 # Grids, crops and patches --------------------------------------------------------------------------------------------
@@ -363,9 +367,10 @@ def polygon_threshold_crops(s: SparkSession, d: str) -> DataFrame:
     return cells.where(geometry.crop_overlaps(F.col("ring"), F.col("cx"), F.col("cy"), 256, 0.1)).select("image_id", "ord")
 
 
-@query("SELECT window_::INT AS \"window\", stride, noise_type, noise_level FROM (VALUES (128), (256)) a(window_), (VALUES ('auto'), ('64'), ('64x32')) b(stride), (VALUES ('gaussian'), ('uniform')) c(noise_type), (VALUES (0.0::DOUBLE), (0.1), (0.5)) e(noise_level)")
+@query(f"""WITH {DIMS} SELECT image_id, window_::INT AS "window", stride, noise_type, noise_level FROM dims, (VALUES (128), (256)) a(window_), (VALUES ('auto'), ('64'), ('64x32')) b(stride), (VALUES ('gaussian'), ('uniform')) c(noise_type),
+(VALUES (0.0::DOUBLE), (0.1), (0.5)) e(noise_level)""")
 def config_cross(s: SparkSession, d: str) -> DataFrame:
-    return grids.config_grid(s, [128, 256], [None, 64, (64, 32)], ["gaussian", "uniform"], [0, 0.1, 0.5])
+    return grids.with_configs(dims(s, d).select("image_id"), [128, 256], [None, 64, (64, 32)], ["gaussian", "uniform"], [0, 0.1, 0.5])
 
 
 @query(f"""WITH {DIMS}, c AS (SELECT 'random' AS strategy, image_id FROM dims, range(3) UNION ALL SELECT 'fixed', image_id FROM dims, range(4)) SELECT strategy, image_id, count(*) AS crops FROM c GROUP BY ALL""")
@@ -536,6 +541,64 @@ def geodesic_bbox(s: SparkSession, d: str) -> DataFrame:
     return rects(s, d).select("image_id", geometry.box_metres(b).alias("m")).select("image_id", "m.*")
 
 
+# Packed colour images and extraction from mosaics ----------------------------------------------------------------------
+
+#: Three bands of each image: its levels, 255 less them, and its levels from the last to the first.
+_RGB = """px AS (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS r, ((i - 1) % 8)::INT AS c, b::INT AS band,
+  CASE b WHEN 0 THEN floor((embedding[i]::DOUBLE + 1) * 127.5) WHEN 1 THEN 255 - floor((embedding[i]::DOUBLE + 1) * 127.5) ELSE floor((embedding[65 - i]::DOUBLE + 1) * 127.5) END AS v
+  FROM embeddings, range(1, 65) t(i), range(3) u(b))"""
+
+
+def _colour(s: SparkSession, d: str) -> DataFrame:
+    """image_id, data, h, w, bands: 8 x 8 packed pixels of three bands."""
+    mixed = F.flatten(F.transform("v", lambda x, i: F.array(x, 255 - x, F.get("v", 63 - i))))
+    return images(s, d).select("image_id", packed.from_array(mixed).alias("data"), "h", "w", F.lit(3).alias("bands"))
+
+
+def _samples(df: DataFrame, w: int) -> DataFrame:
+    """image_id, r, c, band, v of packed pixels of three bands."""
+    flat = df.select("image_id", F.posexplode(packed.to_array(F.col("data"))).alias("i", "v"))
+    at = F.floor(F.col("i") / 3).cast("int")
+    return flat.select("image_id", F.floor(at / w).cast("int").alias("r"), (at % w).alias("c"), (F.col("i") % 3).alias("band"), "v")
+
+
+@query(f"""WITH {_RGB}, {_W.format(n="wr", m=5)}, {_W.format(n="wc", m=6)} SELECT image_id, wr.j::INT AS r, wc.j::INT AS c, band, greatest(0, least(255, round_even(sum(wr.x * wc.x * v), 0)))::INT AS v
+FROM px JOIN wr ON wr.i = r JOIN wc ON wc.i = c GROUP BY ALL""")
+def lci_resize_rgb(s: SparkSession, d: str) -> DataFrame:
+    data = packed.resized(F.col("data"), F.col("h"), F.col("w"), F.col("bands"), F.lit(5), F.lit(6))
+    return _samples(_colour(s, d).withColumn("data", data), 6)
+
+
+@query(f"WITH {_RGB}, m AS (SELECT image_id, band, trunc(avg(v) FILTER (r < 6) + 1e-9) AS m FROM px GROUP BY ALL) SELECT px.image_id, r, c, px.band, (CASE WHEN r < 6 THEN v ELSE m END)::INT AS v FROM px JOIN m ON px.image_id = m.image_id AND px.band = m.band")
+def noise_fill_rgb(s: SparkSession, d: str) -> DataFrame:
+    mask = F.unhex(F.lit("01" * 48 + "00" * 16))
+    data = packed.noise_fill(F.col("data"), F.col("h"), F.col("w"), F.col("bands"), mask, F.col("image_id"), level=0.0)
+    return _samples(_colour(s, d).withColumn("data", data), 8)
+
+
+@query(f"""WITH {_RGB}, mosaic AS (SELECT (image_id // 20 * 8 + r) AS r, (image_id % 20 * 8 + c) AS c, string_agg(v::INT::VARCHAR, ',' ORDER BY band) AS v FROM px GROUP BY ALL),
+p AS (SELECT p_partkey AS polygon_index, (1 + p_size % 3)::INT AS class, 100.0 + p_partkey % 60 AS minx, 102.0 + p_partkey % 60 + p_size % 17 AS maxx, 900.0 - p_partkey % 80 AS maxy, 899.0 - p_partkey % 80 - p_size % 10 AS miny FROM part)
+SELECT polygon_index, class, 'geoglif_' || lpad(polygon_index::VARCHAR, greatest(4, len(polygon_index::VARCHAR))::INT, '0') || '_ortho.tif' AS ortho_tif, minx::DOUBLE AS minx, miny::DOUBLE AS miny, maxx::DOUBLE AS maxx, maxy::DOUBLE AS maxy,
+  ((maxy - miny) * 2)::INT AS height, ((maxx - minx) * 2)::INT AS width, 3 AS channels, md5(string_agg(v, ',' ORDER BY r, c)) AS pixels_md5
+FROM p JOIN mosaic ON r >= (900 - maxy) * 2 AND r < (900 - miny) * 2 AND c >= (minx - 100) * 2 AND c < (maxx - 100) * 2 GROUP BY ALL""")
+def extraction_record(s: SparkSession, d: str) -> DataFrame:
+    """Windows of polygons, cut out of a mosaic whose blocks are the images, and put together."""
+    size, x0, y0 = F.col("p_size"), 100 + F.col("p_partkey") % 60, 900 - F.col("p_partkey") % 80
+    corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    x1, y1 = x0 + 2 + size % 17, y0 - 1 - size % 10
+    parts = F.array(F.struct(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("exterior"), F.array().cast("array<array<array<double>>>").alias("interiors")))
+    polygons = table(s, d, "part").select(F.col("p_partkey").alias("fid"), (1 + size % 3).alias("class"), parts.alias("polygon_points"), F.lit(32719).alias("srid"), F.lit("mosaic").alias("raster"))
+    raster = s.createDataFrame([("mosaic", (0.5, 100.0, -0.5, 900.0), 32719)], "path string, affine struct<a: double, c: double, e: double, f: double>, srid int")
+    at = extraction.placed(polygons, raster)
+    ty, tx = F.floor(F.col("image_id") / 20), F.col("image_id") % 20
+    blocks = _colour(s, d).select(F.lit("mosaic").alias("path"), ty.alias("ty"), tx.alias("tx"), (ty * 8).alias("row0"), (tx * 8).alias("col0"), "h", "w", "bands", F.lit("uint8").alias("dtype"), "data", F.lit(None).cast("string").alias("error"))
+    windows = at.select("polygon_index", F.col("raster").alias("path"), "window.*", F.lit(8).alias("block_h"), F.lit(8).alias("block_w"))
+    found = geotiff.windows_of_blocks(geotiff.touched(windows), blocks, "polygon_index")
+    rows = at.join(found, "polygon_index")
+    shown = rows.select(extraction.record(rows).alias("r"), F.md5(F.array_join(packed.to_array(F.col("data")), ",")).alias("pixels_md5"))
+    return shown.select("r.polygon_index", "r.class", "r.files.ortho_tif", "r.bounds.*", "r.image_shape.*", "pixels_md5")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean texture per class."""
     return QUERIES["texture_by_class"](spark, sf_dir)

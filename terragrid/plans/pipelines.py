@@ -49,9 +49,10 @@ def crops(images: DataFrame, strategy: str, n: int = 10, window: int = 256, stri
     elif strategy == "fixed" or ring is None:
         at = grids.fixed_grid(images, window, n, stride)
     else:
-        cells = grids.fixed_grid(images, window, n, stride, whole=True)  # n of those that pass are chosen below
-        hit = F.col(ring).isNull() | geometry.crop_overlaps(F.col(ring), F.col("cx"), F.col("cy"), window, threshold)
-        at = grids.uniform_subsample(cells.where(hit), "image_id", ["ord"], n)
+        plain = grids.fixed_grid(images.where(F.col(ring).isNull()), window, n, stride)  # the first n, as without rings
+        cells = grids.fixed_grid(images.where(F.col(ring).isNotNull()), window, n, stride, whole=True)  # n of those that pass are chosen below
+        hit = geometry.crop_overlaps(F.col(ring), F.col("cx"), F.col("cy"), window, threshold)
+        at = grids.uniform_subsample(cells.where(hit), "image_id", ["ord"], n).unionByName(plain)
     out = grids.crop_windows(at, window).withColumn("crop_id", F.concat(F.col("image_id").cast("string"), F.format_string("_%04d", "ord")))
     return out.select("crop_id", F.col("image_id").alias("source_image_id"), F.col("ord").alias("crop_index"), F.lit(window).alias("window_size"), "x0", "y0", "x1", "y1", F.col("coverage").alias("mask_coverage"), F.lit(grids.stride_label(stride)).alias("stride"))
 
