@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import cut_lineage, freed, text_chars
+from terragrid.llm.shared import cut_lineage, freed, release_shuffles, text_chars
 from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Characters of a block of documents, and of text whose hashes meet in one part.
@@ -101,18 +102,25 @@ def _merged(key: np.ndarray, doc: np.ndarray, *context: np.ndarray) -> list[np.n
     return out
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns' bytes, one after the other, compressed; of the first one, ascending keys, the differences."""
+    keys = np.diff(columns[0], prepend=U(0))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in (keys, *columns[1:])))
+
+
 def _dealt(block: int, parts: int, columns: list[np.ndarray]) -> pa.Table:
-    """One row for each part that holds keys of the block: all columns' bytes, one after the other."""
+    """One row for each part that holds keys of the block; keys ascend."""
     part = (columns[0] % U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     at = [*_groups(part), len(part)]
-    data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at[:-1], at[1:])]
+    data = [_packed([c[a:b] for c in columns]) for a, b in zip(at[:-1], at[1:])]
     return pa.table({"part": pa.array(part[at[:-1]].astype(np.int32)), "block": pa.array(np.full(len(data), block, np.int32)), "data": pa.array(data, pa.binary())})
 
 
 def _read(data: list[bytes], kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns that _dealt wrote, and how many keys each row has."""
+    """The columns that _dealt or _answers wrote, and how many keys each row has."""
+    data = [zstandard.ZstdDecompressor().decompress(d) for d in data]
     width = sum(np.dtype(k).itemsize for k in kinds)
     sizes = np.array([len(d) // width for d in data], np.int64)
     out = []
@@ -121,16 +129,18 @@ def _read(data: list[bytes], kinds: list[type]) -> tuple[list[np.ndarray], np.nd
         item = np.dtype(k).itemsize
         out.append(np.concatenate([np.frombuffer(d, k, n, s) for d, n, s in zip(data, sizes, shift)] or [np.zeros(0, k)]))
         shift = shift + sizes * item
+    ends = np.cumsum(sizes)
+    out[0] = np.concatenate([np.cumsum(x, dtype=U) for x in np.split(out[0], ends[:-1])]) if len(data) else out[0]
     return out, sizes
 
 
 def _answers(blocks: list[int], sizes: np.ndarray, keep: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
-    """To each block the kept rows of its part, as bytes."""
+    """To each block the kept rows of its part."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
     data = []
     for a, b in zip(ends[:-1], ends[1:]):
         k = keep[a:b]
-        data.append(b"".join(c[a:b][k].tobytes() for c in columns))
+        data.append(_packed([c[a:b][k] for c in columns]) if k.any() else b"")
     full = [i for i, d in enumerate(data) if d]
     return pa.table({"block": pa.array([blocks[i] for i in full], pa.int32()), "data": pa.array([data[i] for i in full], pa.binary())})
 
@@ -261,6 +271,7 @@ def deduplicate(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: st
     docs, parts = _dealt_documents(df, id_col, text_col, list(carried))
     # a path's smallest id, added up before the shuffle; one row a block and path is then joined with one row a path
     found = cut_lineage(paths(docs, n, parts))
+    release_shuffles(df.sparkSession)  # those of the passes before, which took the most room
     least = found.where("source IS NOT NULL").groupBy("a", "b").agg(F.min("source").alias("least"))
     found = found.join(least, ["a", "b"]).select("block", "n_words", F.col("least").alias("source"), "places")
     fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
