@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import re
 import tempfile
 import uuid
@@ -44,12 +43,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files that no plan refers to any more: it learns of them when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_chars(df: DataFrame, text_col: str = "text") -> int:
     """Sum of text lengths; sizes blocks and partitions. One number reaches the driver."""
     return df.agg(F.sum(F.length(text_col))).first()[0] or 0

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import cut_lineage, freed, release_shuffles, text_chars
+from terragrid.llm.shared import freed, text_chars
 from terragrid.llm.text import U, column, grams, mix, word_hashes, words
 
 #: Characters of a block of documents, and of text whose hashes meet in one part.
@@ -270,8 +270,7 @@ def deduplicate(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: st
     """
     docs, parts = _dealt_documents(df, id_col, text_col, list(carried))
     # a path's smallest id, added up before the shuffle; one row a block and path is then joined with one row a path
-    found = cut_lineage(paths(docs, n, parts))
-    release_shuffles(df.sparkSession)  # those of the passes before, which took the most room
+    found = paths(docs, n, parts)  # not written: in one plan the exchange of texts is reused, and takes room once
     least = found.where("source IS NOT NULL").groupBy("a", "b").agg(F.min("source").alias("least"))
     found = found.join(least, ["a", "b"]).select("block", "n_words", F.col("least").alias("source"), "places")
     fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
