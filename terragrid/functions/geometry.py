@@ -6,6 +6,7 @@ looked at by the overlap tests.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -333,18 +334,17 @@ PARTS = "array<struct<exterior: array<array<double>>, interiors: array<array<arr
 def reproject_parts(parts: Column, source: Column, target: Column) -> Column:
     """Polygon parts in the EPSG code `target`; as they are where a code is null or both are equal, null without support.
 
-    All points of a batch are moved together, code by code.
+    All points of a batch are moved together, code by code. Parts go to Python and back as JSON, which keeps doubles exactly.
     """
 
-    @F.pandas_udf(PARTS)
+    @F.pandas_udf("string")
     def move(parts: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+        rows = [None if p is None else json.loads(p) for p in parts]
         rings, pair = [], []
-        for row, a, b in zip(parts, source, target):
-            if row is None:
-                continue
-            for p in row:
-                for r in (p["exterior"], *(p["interiors"] if p["interiors"] is not None else ())):
-                    rings.append(np.array([list(q)[:2] for q in r], float).reshape(-1, 2) if r is not None else np.zeros((0, 2)))
+        for row, a, b in zip(rows, source, target):
+            for p in row or ():
+                for r in (p.get("exterior"), *(p.get("interiors") or ())):
+                    rings.append(np.array([q[:2] for q in r or ()], float).reshape(-1, 2))
                     pair.append((0, 0) if pd.isna(a) or pd.isna(b) or a == b else (int(a), int(b)))
         ends = np.cumsum([0, *map(len, rings)])
         points = np.concatenate(rings) if rings else np.zeros((0, 2))
@@ -354,10 +354,10 @@ def reproject_parts(parts: Column, source: Column, target: Column) -> Column:
             points[at] = np.stack(_project(*_unproject(points[at, 0], points[at, 1], a), b), axis=1) if supported(a) and supported(b) else np.nan
         moved = iter([points[lo:hi] for lo, hi in zip(ends, ends[1:])])
         out = []
-        for row in parts:
-            new = None if row is None else [{"exterior": next(moved).tolist(), "interiors": [next(moved).tolist() for _ in (p["interiors"] if p["interiors"] is not None else ())]} for p in row]
+        for row in rows:
+            new = None if row is None else [{"exterior": next(moved).tolist(), "interiors": [next(moved).tolist() for _ in p.get("interiors") or ()]} for p in row]
             lost = new is not None and any(np.isnan(q).any() for p in new for r in (p["exterior"], *p["interiors"]) for q in r)
-            out.append(None if lost else new)
+            out.append(None if new is None or lost else json.dumps(new))
         return pd.Series(out, dtype=object)
 
-    return move(parts, source.cast("int"), target.cast("int"))
+    return F.from_json(move(F.to_json(parts), source.cast("int"), target.cast("int")), PARTS)
