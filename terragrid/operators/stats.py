@@ -13,42 +13,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts that a group's values are dealt to when exact ranks are looked up.
-PARTS = 64
+#: Accuracy of the first look at a group: the bracket of a quantile holds some 8 / ACCURACY of the group's rows.
+ACCURACY = 2_000
+#: Equal steps that a bracket is cut into.
+STEPS = 256
+#: Rows that a table of bounds may have to be sent to all executors.
+SMALL = 10_000
 
 
 def _same(left: str, right: str, by: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in by))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, worked out at once and marked for broadcasting if it has at most SMALL rows; as it is beyond that."""
+    rows = df.take(SMALL + 1)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL else df
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
     """by..., n, q array<double>: exact quantiles with linear interpolation.
 
-    Distinct values are counted (partial sums before the shuffle), dealt to ranges of their group, and only the ranges
-    that hold a wanted rank are ordered; running sums go over ranges first and values of one range second.
+    A first scan brackets each quantile by approximate ones. A second scan counts what lies below each bracket and the
+    distinct values inside (partial sums before the shuffle), by equal steps of the bracket; only the steps that hold a wanted
+    rank are ordered. Groups of at most ACCURACY rows lie in one bracket. A bracket that missed its rank is an error.
     """
-    by = list(by)
-    keyed = df.select(*by, F.col(col).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
-    counts = keyed.groupBy(*by, "_x").agg(F.count("*").alias("_n")) if by else keyed.groupBy("_x").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_all", F.lit(1))
-    by_ = [*by, "_all"]
-    cuts = counts.groupBy(*by_).agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts"))
-    rows = counts.alias("a").join(cuts.alias("b"), _same("a", "b", by_)).select("a.*", F.size(F.filter("_cuts", lambda c: c <= F.col("_x"))).alias("_part"))
-    order = W.partitionBy(*by_).orderBy("_part")  # at most PARTS rows a group
-    sums = rows.groupBy(*by_, "_part").agg(F.sum("_n").alias("_m"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_m").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_m").over(W.partitionBy(*by_)))
+    by, points = list(by), sorted({float(p) for p in probs})
+    keys = [f"k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.lit(1).alias("every"), F.col(col).cast("double").alias("x"))
+    rows, keys = rows.where("x IS NOT NULL AND NOT isnan(x)"), [*keys, "every"]
+    near = [min(1.0, max(0.0, p + d / ACCURACY)) for p in points for d in (-3, 3)]
+    looks = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", near, ACCURACY).alias("near"))
+    few = F.col("n") <= ACCURACY
+    low = lambda i: F.when(few | F.lit(near[2 * i] == 0), F.col("least")).otherwise(F.col("near")[2 * i])
+    high = lambda i: F.when(few | F.lit(near[2 * i + 1] == 1), F.col("most")).otherwise(F.col("near")[2 * i + 1])
+    looks = looks.select(*keys, "n", *[f(i).alias(f"{c}{i}") for i in range(len(points)) for f, c in ((low, "low"), (high, "high"))])
+
+    x, part, inside = F.col("x"), F.lit(len(points) * (STEPS + 2)), F.lit(False)
+    for i in reversed(range(len(points))):
+        lo, hi, first = F.col(f"low{i}"), F.col(f"high{i}"), i * (STEPS + 2)
+        step = F.coalesce(F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * STEPS), F.lit(0)).cast("int")
+        part = F.when(x < lo, F.lit(first)).when(x <= hi, first + 1 + step).otherwise(part)
+        inside = inside | x.between(lo, hi)
+    placed = rows.alias("a").join(_small(looks).alias("b"), _same("a", "b", keys))
+    placed = placed.select(*[F.col(f"a.{k}") for k in keys], "n", part.alias("part"), F.when(inside, x).alias("x"))
+    counts = placed.groupBy(*keys, "n", "part", "x").agg(F.count("*").alias("m"))
+
+    before = F.sum("held").over(W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # some STEPS rows a quantile
+    sums = counts.groupBy(*keys, "n", "part").agg(F.sum("m").alias("held")).withColumn("before", F.coalesce(before, F.lit(0)))
     place = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-    ranks = F.array(*[F.struct(F.lit(2 * i + j).alias("i"), f(x).cast("bigint").alias("k")) for i, x in enumerate(place) for j, f in enumerate((F.floor, F.ceil))])
-    sums = sums.withColumn("_wanted", F.filter(ranks, lambda r: (r["k"] >= F.col("_before")) & (r["k"] < F.col("_before") + F.col("_m")))).where(F.size("_wanted") > 0)
-    near = rows.alias("a").join(sums.alias("b"), _same("a", "b", [*by_, "_part"])).select("a.*", "_before", "_wanted", "n")
-    run = W.partitionBy(*by_, "_part").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = near.withColumn("_end", F.col("_before") + F.sum("_n").over(run))
-    hit = F.filter("_wanted", lambda r: (r["k"] >= F.col("_end") - F.col("_n")) & (r["k"] < F.col("_end")))
-    near = near.select(*by_, "n", "_x", F.explode(hit).alias("_r"))
-    found = near.groupBy(*by_, "n").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_r.i").alias("i"), F.col("_x").alias("x")))).alias("_v"))  # two entries a quantile
-    at = lambda i: F.element_at("_v", F.lit(i))
-    q = [at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (x - F.floor(x)) for i, x in enumerate(place)]
-    return found.select(*by, "n", F.array(*q).alias("q"))
+    ranks = F.array(*[F.struct(F.lit(2 * i + j).alias("i"), f(y).cast("bigint").alias("k")) for i, y in enumerate(place) for j, f in enumerate((F.floor, F.ceil))])
+    sums = sums.withColumn("wanted", F.filter(ranks, lambda r: (r["k"] >= F.col("before")) & (r["k"] < F.col("before") + F.col("held")))).where(F.size("wanted") > 0)
+    held = counts.alias("a").join(sums.alias("b"), _same("a", "b", [*keys, "part"])).select("a.*", "before", "wanted")
+    run = W.partitionBy(*keys, "part").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = held.withColumn("end", F.col("before") + F.sum("m").over(run))
+    hit = F.filter("wanted", lambda r: (r["k"] >= F.col("end") - F.col("m")) & (r["k"] < F.col("end")))
+    value = F.coalesce("x", F.raise_error(F.lit("a bracket missed its rank")).cast("double"))
+    held = held.select(*keys, "n", "x", F.explode(hit).alias("r")).withColumn("x", value)
+    found = held.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct(F.col("r.i").alias("i"), F.col("x").alias("x")))).alias("v"))  # two entries a quantile
+    at = lambda i: F.element_at("v", F.lit(i))
+    q = [at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (y - F.floor(y)) for i, y in enumerate(place)]
+    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", F.array(*q).alias("q"))
 
 
 def iqr_bounds(df: DataFrame, by: Sequence[str], col: str, factor: float = 1.5) -> DataFrame:
@@ -61,7 +86,7 @@ def iqr_bounds(df: DataFrame, by: Sequence[str], col: str, factor: float = 1.5)
 def remove_outliers(df: DataFrame, by: Sequence[str], col: str, factor: float = 1.5) -> DataFrame:
     """The rows whose `col` lies within the bounds of its group, ends included."""
     b = iqr_bounds(df, by, col, factor)
-    return df.alias("d").join(b.alias("b"), _same("d", "b", by)).where(F.col(f"d.{col}").between(F.col("low"), F.col("high"))).select("d.*")
+    return df.alias("d").join(_small(b).alias("b"), _same("d", "b", by)).where(F.col(f"d.{col}").between(F.col("low"), F.col("high"))).select("d.*")
 
 
 def size_statistics(df: DataFrame, by: str, factor: float = 1.5, width: str = "width_m", height: str = "height_m", area: str = "area_m2", px: tuple[str, str] = ("w_px", "h_px")) -> DataFrame:
@@ -73,7 +98,7 @@ def size_statistics(df: DataFrame, by: str, factor: float = 1.5, width: str = "w
     ends = iqr_bounds(long, ["g", "k"], "x", factor)  # all three columns in one pass
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}_{c}")
     ends = ends.groupBy("g").agg(*[pick(k, c) for k in keys for c in ("low", "high")])
-    out = held.alias("d").join(ends.alias("e"), _same("d", "e", ["g"]), "left")  # a row an area; broadcast by Spark where small
+    out = held.alias("d").join(_small(ends).alias("e"), _same("d", "e", ["g"]), "left")
     side = lambda m, p: F.when(F.col(p) > 0, F.col(m) / F.nullif(F.col(p), F.lit(0))).otherwise(0.0)
     scale = (side("w", "pw") + side("h", "ph")) / 2
     aggs = [F.count("*").alias("n"), F.coalesce(F.avg(scale), F.lit(0.0)).alias("m_per_px")]
@@ -99,7 +124,7 @@ def box_plot(df: DataFrame, by: str, col: str, factor: float = 1.5) -> DataFrame
     q = exact_quantiles(df, [by], col, (0.25, 0.5, 0.75)).select(F.col(by).alias("_g"), "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     x, wide = F.col(col), factor * (F.col("q3") - F.col("q1"))
     inside = x.between(F.col("q1") - wide, F.col("q3") + wide)
-    rows = df.where(x.isNotNull() & ~F.isnan(x.cast("double"))).join(q, F.col(by).eqNullSafe(F.col("_g")))
+    rows = df.where(x.isNotNull() & ~F.isnan(x.cast("double"))).join(_small(q), F.col(by).eqNullSafe(F.col("_g")))
     return rows.groupBy(by, "n", "q1", "median", "q3").agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"), F.count_if(~inside).alias("fliers"))
 
 

@@ -85,6 +85,25 @@ def test_quantiles_are_exact(spark):
     assert stats.exact_quantiles(df, [], "x", (0.5,)).first().n == 501 + 303 + 1 + 77
 
 
+def test_quantiles_of_large_groups(spark, monkeypatch):
+    """Groups beyond one bracket: ties at the quartiles, skewed values, infinities, and columns named like inner ones."""
+    rng = np.random.default_rng(3)
+    data = {"even": rng.random(9_000), "tied": np.repeat([1.0, 2.0, 3.0], [2_000, 3_000, 2_000]), "long": np.exp(rng.normal(0, 9, 8_000)), "same": np.full(5_000, 7.0), "ends": np.concatenate([np.full(2_500, -np.inf), rng.random(4_000), np.full(2_500, np.inf)])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in rng.permutation(xs)], "part string, x double").repartition(5)
+    probs = (0.0, 0.3, 0.5, 0.501, 0.75, 1.0)
+    for small in (stats.SMALL, 2):  # bounds sent to all, and joined by key
+        monkeypatch.setattr(stats, "SMALL", small)
+        got = {r.part: r for r in stats.exact_quantiles(df, ["part"], "x", probs).collect()}
+        assert got.keys() == data.keys()
+        for k, xs in data.items():
+            assert got[k].n == len(xs)
+            inner = [i for i, p in enumerate(probs) if k != "ends" or 0.3 <= p < 0.7]  # between equal infinities lies no number
+            assert np.array(got[k].q)[inner] == pytest.approx(np.quantile(xs, probs)[inner], rel=1e-12)
+    kept = stats.remove_outliers(df.where("part = 'long'"), ["part"], "x")
+    q1, q3 = np.quantile(data["long"], (0.25, 0.75))
+    assert kept.count() == int(((data["long"] >= q1 - 1.5 * (q3 - q1)) & (data["long"] <= q3 + 1.5 * (q3 - q1))).sum())
+
+
 def test_geometry(spark):
     ell = [[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [2.0, 2.0], [2.0, 4.0], [0.0, 4.0]]
     bow = [[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 2.0]]
