@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terragrid.functions.arrays import let, total, upto
+from terragrid.functions.validity import valid_polygon
 
 RING = "array<array<double>>"
 
@@ -68,22 +69,6 @@ def ring_bounds(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
-def is_simple(ring: Column) -> Column:
-    """Whether no two sides that aren't neighbours cross. The cost is the square of the ring's points, not of rows."""
-
-    def turn(a: Column, b: Column, c: Column) -> Column:
-        return F.signum((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
-
-    def of(r: Column) -> Column:
-        n = F.size(r)
-        at = lambda i: F.get(r, i % n)
-        cross = lambda i, j: (turn(at(i), at(i + 1), at(j)) * turn(at(i), at(i + 1), at(j + 1)) < 0) & (turn(at(j), at(j + 1), at(i)) * turn(at(j), at(j + 1), at(i + 1)) < 0)
-        hits = F.transform(upto(n), lambda i: F.exists(upto(n), lambda j: (j > i) & cross(i, j)))
-        return (n >= 3) & ~F.exists(hits, lambda x: x)
-
-    return let(_open(ring), of)
-
-
 def _open(ring: Column) -> Column:
     """The ring without a last point that repeats the first."""
     return F.when((F.size(ring) > 1) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
@@ -111,13 +96,33 @@ def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
 
 
 def overlap_area(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return let(clip_to_box(ring, x0, y0, x1, y1), ring_area)
+    """Area that a ring and a box share: the signed areas between the box's lower side and each side of the ring, cut by the
+    box, add up to it. One pass over the points; nothing is clipped."""
+    left, low, right, high = (c.cast("double") for c in (x0, y0, x1, y1))
+    within = lambda v, a, b: F.least(F.greatest(v, a), b)
+
+    def strip(i: Column) -> Column:
+        p, q = F.get(ring, i), F.coalesce(F.get(ring, i + 1), F.get(ring, F.lit(0)))
+        slope = (q[1] - p[1]) / F.nullif(q[0] - p[0], F.lit(0.0))
+        a, b = within(p[0], left, right), within(q[0], left, right)
+        return F.when(a == b, 0.0).otherwise((b - a) * let(F.array(p[1] + slope * (a - p[0]), q[1] + slope * (b - q[0])), height))
+
+    def height(y: Column) -> Column:  # mean height of a side over the box's lower side, cut by the box
+        a, b, rise = within(y[0], low, high), within(y[1], low, high), F.abs(y[1] - y[0])
+        above = F.greatest(F.greatest(y[0], y[1]) - high, F.lit(0.0)) - F.greatest(F.least(y[0], y[1]) - high, F.lit(0.0))
+        cut = (F.abs(b - a) * ((a + b) / 2 - low) + above * (high - low)) / F.nullif(rise, F.lit(0.0))
+        return F.when((a == y[0]) & (b == y[1]), (a + b) / 2 - low).otherwise(F.coalesce(cut, a - low))
+
+    area = F.abs(total(F.transform(upto(F.size(ring)), strip)))
+    return F.when((right <= left) | (high <= low), 0.0).otherwise(area)
 
 
-def overlaps_at_least(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column, threshold: float) -> Column:
-    """overlap / window >= threshold; false for invalid rings and windows without area."""
-    size = (x1 - x0) * (y1 - y0)
-    return F.coalesce(is_simple(ring) & (size > 0) & (overlap_area(ring, x0, y0, x1, y1) / F.nullif(size.cast("double"), F.lit(0.0)) >= threshold), F.lit(False))
+def overlaps_at_least(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column, threshold: float, valid: Column | None = None) -> Column:
+    """overlap / window >= threshold; false for invalid rings and windows without area. `valid` may be given where it is
+    known, so that a ring with many windows is judged once."""
+    size = ((x1 - x0) * (y1 - y0)).cast("double")
+    enough = overlap_area(ring, x0, y0, x1, y1) / F.nullif(size, F.lit(0.0)) >= threshold
+    return F.coalesce((size > 0) & enough & (valid_polygon(ring) if valid is None else valid), F.lit(False))
 
 
 def crop_overlaps(ring: Column, cx: Column, cy: Column, window: int, threshold: float) -> Column:
@@ -134,7 +139,7 @@ def crop_overlaps(ring: Column, cx: Column, cy: Column, window: int, threshold:
 
 def coverage_percent(ring: Column, width: Column, height: Column) -> Column:
     """Share of the image that the ring covers, in percent; null for invalid rings."""
-    return F.when(is_simple(ring), ring_area(ring) / F.nullif((width * height).cast("double"), F.lit(0.0)) * 100)
+    return F.when(valid_polygon(ring), ring_area(ring) / F.nullif((width * height).cast("double"), F.lit(0.0)) * 100)
 
 
 def padded(b: Column, pad: float = 0.05) -> Column:

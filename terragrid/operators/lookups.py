@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terragrid.functions import geometry, labels
+from terragrid.operators import grids
 
 
 def with_class_names(df: DataFrame, classes: DataFrame, code: str = "class", default: str = "unknown") -> DataFrame:
@@ -73,12 +74,33 @@ def tile_join(polygons: DataFrame, tiles: DataFrame, bounds: str, size: float) -
     return polygons.withColumn("_t", F.explode(geometry.tile_ids(F.col(bounds), size))).select("*", F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty")).drop("_t").join(tiles, ["tx", "ty"])
 
 
-def judged_patches(patches: DataFrame, ring: str, threshold: float = 0.8) -> DataFrame:
-    """Adds accepted: whether the window overlaps the ring enough; images without a ring accept all their patches."""
-    hit = geometry.overlaps_at_least(F.col(ring), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), threshold)
+def judged_patches(patches: DataFrame, ring: str, threshold: float = 0.8, valid: str | None = None) -> DataFrame:
+    """Adds accepted: whether the window overlaps the ring enough; images without a ring accept all their patches. `valid`
+    names a column that tells whether the ring is valid; without it each patch's ring is judged anew."""
+    hit = geometry.overlaps_at_least(F.col(ring), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), threshold, None if valid is None else F.col(valid))
     return patches.withColumn("accepted", F.when(F.col(ring).isNull(), True).otherwise(hit))
 
 
+def judged_windows(images: DataFrame, ring: str, size: int, step: int, threshold: float = 0.8, w: str = "w", h: str = "h") -> DataFrame:
+    """The sliding patches of images with accepted: a ring is judged once an image, before its windows are made, and windows
+    beside the ring's bounds are turned down without a look at its points."""
+    judged = images.withColumn(_free(images, "valid"), geometry.valid_polygon(F.col(ring))).withColumn(_free(images, "bounds"), geometry.ring_bounds(F.col(ring)))
+    valid, b = _free(images, "valid"), F.col(_free(images, "bounds"))
+    out = grids.sliding_patches(judged, size, step, w, h)
+    meets = (b["minx"] < F.col("x1")) & (b["maxx"] > F.col("x0")) & (b["miny"] < F.col("y1")) & (b["maxy"] > F.col("y0"))
+    covers = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"]) >= threshold * float(size) ** 2  # bounds too small for any window
+    hit = F.coalesce(F.when(F.col(valid) & meets & covers, geometry.overlaps_at_least(F.col(ring), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), threshold, F.lit(True))), F.lit(threshold <= 0) & F.col(valid))
+    return out.withColumn("accepted", F.when(F.col(ring).isNull(), True).otherwise(F.coalesce(hit, F.lit(False)))).drop(valid, _free(images, "bounds"))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def rectangle_overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Area that two boxes (x0, y0, x1, y1) share, by plain arithmetic."""
     side = lambda i: F.greatest(F.lit(0), F.least(a[i + 2], b[i + 2]) - F.greatest(a[i], b[i]))

@@ -357,7 +357,23 @@ def polygon_clip_area(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_OVER} SELECT image_id, i, j, area / (224 * 224) >= 0.8 AS accepted FROM ov")
 def patch_accept_reject(s: SparkSession, d: str) -> DataFrame:
-    return lookups.judged_patches(_patches(s, d), "ring").select("image_id", "i", "j", "accepted")
+    return lookups.judged_windows(dims(s, d).join(rects(s, d), "image_id"), "ring", grids.PATCH, grids.STEP).select("image_id", "i", "j", "accepted")
+
+
+# Ten shapes, one after the other: a box, a bow tie, a spike, a corner on a side, a fold into a line, repeated points, a hole, a
+# hole that touches in one point, a hole that touches in two, and a hole that reaches out.
+@query("""SELECT p_partkey AS image_id, CASE p_partkey % 10 WHEN 0 THEN true WHEN 5 THEN true WHEN 6 THEN true WHEN 7 THEN true ELSE false END AS valid FROM part""")
+def ring_validity(s: SparkSession, d: str) -> DataFrame:
+    size = F.lit(10.0) + F.col("p_size")
+    at = lambda *points: F.array(*[F.array(size * F.lit(float(x)), F.lit(3.0) + size * F.lit(float(y))) for x, y in points])
+    box = ((0, 0), (1, 0), (1, 1), (0, 1))
+    shells = [box, ((0, 0), (1, 1), (1, 0), (0, 1)), ((0, 0), (1, 0), (1, 1), (1, 2), (1, 1), (0, 1)), ((0, 0), (1, 0), (1, 1), (0.5, 0), (0, 1)), ((0, 0), (1, 0), (0.5, 0)), ((0, 0), (0, 0), (1, 0), (1, 1), (1, 1), (0, 1), (0, 0)), box, box, box, box]
+    inner = ((0.25, 0.25), (0.75, 0.25), (0.5, 0.75))
+    holes = [*[()] * 6, inner, ((0.5, 0), *inner[1:]), ((0.5, 0), (0.75, 0.5), (0.5, 1)), ((0.5, 0.5), (1.5, 0.5), (0.5, 0.75))]
+    kind = (F.col("p_partkey") % 10 + 1).cast("int")
+    ring = F.element_at(F.array(*[at(*x) for x in shells]), kind)
+    hole = F.element_at(F.array(*[F.array(at(*x)) if x else F.array().cast("array<array<array<double>>>") for x in holes]), kind)
+    return table(s, d, "part").select(F.col("p_partkey").alias("image_id"), geometry.valid_polygon(ring, hole).alias("valid"))
 
 
 @query(f"""WITH {_STRIDE}, {RECTS} SELECT g.image_id, ord FROM grid g JOIN rects r ON g.image_id = r.image_id

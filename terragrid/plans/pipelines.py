@@ -88,7 +88,7 @@ def resize(images: DataFrame, scales: DataFrame, done: DataFrame | None = None,
 
 def patches(images: DataFrame, ring: str = "ring", size: int = grids.PATCH, step: int = grids.STEP, threshold: float = grids.OVERLAP) -> DataFrame:
     """Training patches with accepted, their pixels, and a name; write with partitionBy("accepted")."""
-    cut = lookups.judged_patches(grids.sliding_patches(images, size, step), ring, threshold)
+    cut = lookups.judged_windows(images, ring, size, step, threshold)
     name = F.concat(F.col("image_id").cast("string"), F.format_string("_%03d_%03d", "i", "j"))
     return cut.withColumn("patch", pixels.crop(F.col("v"), F.col("h"), F.col("w"), F.col("x0"), F.col("y0"), size)["v"]).withColumn("name", name).drop("v")
 

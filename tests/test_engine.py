@@ -110,7 +110,7 @@ def test_geometry(spark):
     df = spark.createDataFrame([("ell", ell), ("bow", bow), ("none", None)], "k string, ring array<array<double>>")
     L = lambda *x: [F.lit(v) for v in x]
     g = F.col("ring")
-    rows = {r.k: r for r in df.select("k", geometry.ring_area(g).alias("area"), geometry.is_simple(g).alias("ok"), geometry.overlap_area(g, *L(1, 1, 3, 3)).alias("cut"), geometry.overlap_area(g, *L(9, 9, 10, 10)).alias("off"), geometry.overlaps_at_least(g, *L(1, 1, 3, 3), 0.7).alias("hit")).collect()}
+    rows = {r.k: r for r in df.select("k", geometry.ring_area(g).alias("area"), geometry.valid_polygon(g).alias("ok"), geometry.overlap_area(g, *L(1, 1, 3, 3)).alias("cut"), geometry.overlap_area(g, *L(9, 9, 10, 10)).alias("off"), geometry.overlaps_at_least(g, *L(1, 1, 3, 3), 0.7).alias("hit")).collect()}
     assert (rows["ell"].area, rows["ell"].ok, rows["ell"].cut, rows["ell"].off, rows["ell"].hit) == (12, True, 3, 0, True)
     assert rows["bow"].ok is False and rows["bow"].hit is False and rows["none"].area is None and rows["none"].hit is False
     pts = spark.createDataFrame([(-75.1, -14.7)], "x double, y double")
