@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terragrid.functions import measures
 from terragrid.functions.arrays import let, mean, run_lengths, total, upto
 
 POLICIES = ("omit", "propagate")
@@ -255,9 +256,16 @@ def known_metrics(names: list[str]) -> tuple[list[str], list[str]]:
 
 
 def with_metrics(images: DataFrame, names: list[str], v: str = "v", h: str = "h", w: str = "w") -> DataFrame:
-    """`images` with one double column for each registered name; others are left out (see `known_metrics`)."""
-    cols = F.col(v).cast("array<double>"), F.col(h).cast("int"), F.col(w).cast("int")
-    return images.withColumns({n: METRICS[n].build(*cols) for n in known_metrics(names)[0]})
+    """`images` with one double column for each registered name, all from one look at the pixels (array or packed grey bytes,
+    see `measures`); others are left out (see `known_metrics`)."""
+    known = known_metrics(names)[0]
+    if not known:
+        return images
+    data = F.col(v) if dict(images.dtypes)[v] == "binary" else F.col(v).cast("array<double>")
+    all_of = measures.measured(data, F.col(h).cast("int"), F.col(w).cast("int"), list(dict.fromkeys(known)))
+    spare = next(c for c in ("metrics" + "_" * k for k in range(len(images.columns) + 1)) if c not in images.columns)
+    rest = [c for c in images.columns if c not in known]
+    return images.withColumn(spare, all_of).select(*rest, *[F.col(f"{spare}.{n}").alias(n) for n in dict.fromkeys(known)])
 
 
 def pixels(images: DataFrame, v: str = "v", w: str = "w") -> DataFrame:

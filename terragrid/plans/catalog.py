@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrid.functions import geometry, labels, packed, pixels, texture
+from terragrid.functions import geometry, labels, measures, packed, pixels, texture
 from terragrid.operators import grids, lookups, stats
 from terragrid.plans import extraction
 from terragrid.plans.surrogates import DIMS, FILES, HP, PX, RECTS, RP, SCALES, SIZES, dims, files, images, rects, sizes, table
@@ -72,8 +72,20 @@ _metric("glcm_homogeneity", f"WITH {PX}, {HP}, {_GLCM} SELECT image_id, {R('homo
 _metric("glcm_energy", f"WITH {PX}, {HP}, {_ENERGY} SELECT image_id, {R('energy')} AS value FROM energy", texture.energy)
 _metric("glcm_correlation", f"WITH {PX}, {HP}, {_GLCM} SELECT image_id, {R('correlation')} AS value FROM glcm", texture.correlation)
 _metric("hu_log", f"WITH {PX}, {_HU} SELECT image_id, {R('hu')} AS value FROM hu", texture.hu_log)
-_metric("hog_energy", None, lambda v, h, w: texture.hog_energy(v, h, w, cell=4))
-_metric("lbp_entropy", None, texture.lbp_entropy)
+_HOG = """g AS (SELECT p.image_id, p.r // 4 * 2 + p.c // 4 AS cell, CASE WHEN p.r BETWEEN 1 AND 6 THEN d.v - u.v ELSE 0 END AS gy, CASE WHEN p.c BETWEEN 1 AND 6 THEN n.v - m.v ELSE 0 END AS gx FROM px p
+  LEFT JOIN px u ON u.image_id = p.image_id AND u.r = p.r - 1 AND u.c = p.c LEFT JOIN px d ON d.image_id = p.image_id AND d.r = p.r + 1 AND d.c = p.c
+  LEFT JOIN px m ON m.image_id = p.image_id AND m.r = p.r AND m.c = p.c - 1 LEFT JOIN px n ON n.image_id = p.image_id AND n.r = p.r AND n.c = p.c + 1),
+hist AS (SELECT image_id, cell, least(8, floor((degrees(atan2(gy, gx)) % 180 + 180) % 180 / 20)) AS o, sum(sqrt(gx * gx + gy * gy)) / 16 AS m FROM g GROUP BY ALL),
+cut AS (SELECT image_id, cell, least(0.2, m / sqrt(sum(m * m) OVER (PARTITION BY image_id, cell) + 1e-10)) AS m FROM hist),
+hog AS (SELECT image_id, sum(k) / 36 AS hog FROM (SELECT image_id, m * m / (sum(m * m) OVER (PARTITION BY image_id, cell) + 1e-10) AS k FROM cut) GROUP BY 1)"""
+_LBP = """b AS (SELECT p.image_id, p.r, p.c, k, (CASE WHEN (CASE WHEN dr = 0 OR dc = 0 THEN coalesce(e.v, 0) ELSE 0.29289 * 0.29289 * p.v + 0.29289 * 0.70711 * (coalesce(a.v, 0) + coalesce(z.v, 0)) + 0.70711 * 0.70711 * coalesce(e.v, 0) END) - p.v >= -1e-9 THEN 1 ELSE 0 END) AS bit
+  FROM px p CROSS JOIN (VALUES (0, 0, 1), (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) t(k, dr, dc) LEFT JOIN px e ON e.image_id = p.image_id AND e.r = p.r + dr AND e.c = p.c + dc
+  LEFT JOIN px a ON a.image_id = p.image_id AND a.r = p.r + dr AND a.c = p.c LEFT JOIN px z ON z.image_id = p.image_id AND z.r = p.r AND z.c = p.c + dc),
+codes AS (SELECT image_id, CASE WHEN count(*) FILTER (bit <> after) <= 2 THEN sum(bit) ELSE 9 END AS code FROM (SELECT *, coalesce(lead(bit) OVER w, first_value(bit) OVER w) AS after FROM b WINDOW w AS (PARTITION BY image_id, r, c ORDER BY k)) GROUP BY image_id, r, c),
+lbp AS (SELECT image_id, -sum(n / 64.0 * ln(n / 64.0)) AS lbp FROM (SELECT image_id, code, count(*) AS n FROM codes GROUP BY ALL) GROUP BY 1)"""
+
+_metric("hog_energy", f"WITH {PX}, {_HOG} SELECT image_id, {R('hog')} AS value FROM hog", lambda v, h, w: measures.measured(v, h, w, ["hog"], cell=4)["hog"])
+_metric("lbp_entropy", f"WITH {PX}, {_LBP} SELECT image_id, {R('lbp')} AS value FROM lbp", lambda v, h, w: measures.measured(v, h, w, ["lbp_entropy"])["lbp_entropy"])
 
 _WIDE = ["moran", "entropy", "contrast", "homogeneity", "energy", "correlation", "humoments"]
 _SOME = ["moran", "contrast", "homogeneity"]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terragrid.functions import texture
+from terragrid.functions import measures, texture
 
 
 def cols():
@@ -138,3 +138,37 @@ def test_local_patterns(frame):
 def test_registry(frame):
     assert texture.known_metrics(["hog", "blur", "moran"]) == (["hog", "moran"], ["blur"])
     assert texture.with_metrics(frame, ["contrast", "blur"]).columns == ["name", "v", "h", "w", "contrast"]
+
+
+def same(a, b):
+    return a is b or (a is not None and b is not None and (a == pytest.approx(b, abs=1e-9) or math.isnan(a) and math.isnan(b)))
+
+
+def test_batch_equals_expressions(spark, frame, monkeypatch):
+    """Every metric of the batch is that of its expression, image by image, whatever the slices; missing pixels as documented."""
+    rng = np.random.default_rng(8)
+    more = [(f"r{k}", rng.integers(0, rng.integers(2, 400), (h, w)).astype(float).ravel().tolist(), h, w) for k, (h, w) in enumerate(rng.integers(1, 40, (40, 2)).tolist())]
+    df = frame.unionByName(spark.createDataFrame([*more, ("empty", [], 0, 0), ("misfit", [1.0, 2.0], 2, 2), ("no size", [1.0], None, 1)], frame.schema)).repartition(3)
+    names = list(texture.METRICS)
+    for pixels in (measures.PIXELS, 50):
+        monkeypatch.setattr(measures, "PIXELS", pixels)
+        got = {r.name: r.m for r in df.select("name", measures.measured(*cols(), names, cell=8).alias("m")).collect()}
+        want = {r.name: r for r in df.where("name NOT IN ('misfit', 'no size')").select("name", *[(texture.hog_energy(*cols(), cell=8) if n == "hog" else texture.METRICS[n].build(*cols())).alias(n) for n in names]).collect()}
+        for k, row in want.items():
+            for n in names:
+                if k in ("hole", "lost") and n in ("hog", "lbp_entropy", "humoments"):
+                    assert got[k][n] is None
+                else:
+                    assert same(got[k][n], row[n]), (k, n, got[k][n], row[n])
+        assert set(got["misfit"]) == set(got["no size"]) == {None}
+
+
+def test_batch_of_packed_images(spark):
+    x = np.random.default_rng(2).integers(0, 256, (3, 20, 30))
+    df = spark.createDataFrame([(k, bytearray(p.astype(np.uint8).tobytes()), p.astype(float).ravel().tolist(), 20, 30, 1.5) for k, p in enumerate(x)] + [(3, None, None, 20, 30, 1.5)], "k int, data binary, v array<double>, h int, w int, metrics double")
+    names = list(texture.METRICS)
+    packed = texture.with_metrics(df, names, v="data").drop("data", "v")
+    assert packed.columns == ["k", "h", "w", "metrics", *names]
+    assert sorted(packed.collect()) == sorted(texture.with_metrics(df, names).drop("data", "v").collect())
+    with pytest.raises(ValueError):
+        measures.measured(*cols(), ["blur"])
