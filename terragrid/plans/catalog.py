@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terragrid.functions import geometry, labels, measures, packed, pixels, texture
 from terragrid.operators import grids, lookups, stats
-from terragrid.plans import extraction
+from terragrid.plans import extraction, pipelines
 from terragrid.plans.surrogates import DIMS, FILES, HP, PX, RECTS, RP, SCALES, SIZES, dims, files, images, rects, sizes, table
 from terragrid.sources import geotiff
 
@@ -395,6 +395,18 @@ def polygon_threshold_crops(s: SparkSession, d: str) -> DataFrame:
     return cells.where(geometry.crop_overlaps(F.col("ring"), F.col("cx"), F.col("cy"), 256, 0.1)).select("image_id", "ord")
 
 
+@query(f"""WITH {_STRIDE}, {RECTS}, hits AS (SELECT g.*, row_number() OVER (PARTITION BY g.image_id ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY g.image_id) AS n FROM grid g JOIN rects r ON g.image_id = r.image_id
+  WHERE g.image_id % 4 <> 0 AND greatest(0, least(cx + 128, r.x1) - greatest(cx - 128, r.x0)) * greatest(0, least(cy + 128, r.y1) - greatest(cy - 128, r.y0)) / 65536.0 > 0.1 - 1e-9),
+kept AS (SELECT DISTINCT image_id, class, cx, cy, ord FROM hits JOIN range(5) t(i) ON pos = floor(i * n / 5) OR n <= 5 UNION ALL SELECT image_id, class, cx, cy, ord FROM grid WHERE image_id % 4 = 0 AND ord < 5),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY ord) - 1)::INT AS crop_index FROM kept)
+SELECT class || '_' || lpad(image_id::VARCHAR, greatest(4, len(image_id::VARCHAR))::INT, '0') || '_' || lpad(crop_index::VARCHAR, 3, '0') AS crop_id, image_id, crop_index, cx - 128 AS x0, cy - 128 AS y0 FROM numbered""")
+def crops_polygon(s: SparkSession, d: str) -> DataFrame:
+    """Crops of images with a ring, and of those without one (each fourth): the whole strategy with its numbering."""
+    ringed = rects(s, d).where("image_id % 4 <> 0").select("image_id", "ring")
+    out = pipelines.crops(dims(s, d).join(ringed, "image_id", "left"), "polygon", n=5, window=256, stride=(120, 90), threshold=0.1, ring="ring", area="class")
+    return out.select("crop_id", F.col("source_image_id").alias("image_id"), "crop_index", "x0", "y0")
+
+
 @query(f"""WITH {DIMS} SELECT image_id, window_::INT AS "window", stride, noise_type, noise_level FROM dims, (VALUES (128), (256)) a(window_), (VALUES ('auto'), ('64'), ('64x32')) b(stride), (VALUES ('gaussian'), ('uniform')) c(noise_type),
 (VALUES (0.0::DOUBLE), (0.1), (0.5)) e(noise_level)""")
 def config_cross(s: SparkSession, d: str) -> DataFrame:

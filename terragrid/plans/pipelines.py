@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terragrid.functions import geometry, labels, pixels, texture
@@ -37,10 +38,11 @@ def metrics(summary: DataFrame, images: DataFrame, names: Sequence[str], size: t
     return texture.with_metrics(small, list(names)).select("id", "class", *texture.known_metrics(list(names))[0])
 
 
-def crops(images: DataFrame, strategy: str, n: int = 10, window: int = 256, stride: object = None, threshold: float = 0.1, seed: int = 0, ring: str | None = None) -> DataFrame:
+def crops(images: DataFrame, strategy: str, n: int = 10, window: int = 256, stride: object = None, threshold: float = 0.1, seed: int = 0, ring: str | None = None, area: str | None = None) -> DataFrame:
     """The crop manifest of a strategy: crop_id, source_image_id, crop_index, window_size, x0.., mask_coverage.
 
-    `polygon` keeps windows that overlap the ring column and falls back to the grid for images without a ring.
+    `polygon` keeps windows that overlap the ring column and falls back to the grid for images without a ring. crop_index
+    counts an image's crops from 0; crop_id is the `area` column where one is given, the image (four digits) and the index (three).
     """
     if strategy not in grids.STRATEGIES:
         raise ValueError(f"strategies are {sorted(grids.STRATEGIES)}")
@@ -52,8 +54,12 @@ def crops(images: DataFrame, strategy: str, n: int = 10, window: int = 256, stri
         plain = grids.fixed_grid(images.where(F.col(ring).isNull()), window, n, stride)  # the first n, as without rings
         cells = grids.fixed_grid(images.where(F.col(ring).isNotNull()), window, n, stride, whole=True)  # n of those that pass are chosen below
         hit = geometry.crop_overlaps(F.col(ring), F.col("cx"), F.col("cy"), window, threshold)
-        at = grids.uniform_subsample(cells.where(hit), "image_id", ["ord"], n).unionByName(plain)
-    out = grids.crop_windows(at, window).withColumn("crop_id", F.concat(F.col("image_id").cast("string"), F.format_string("_%04d", "ord")))
+        chosen = grids.uniform_subsample(cells.where(hit), "image_id", ["ord"], n)
+        count = F.row_number().over(W.partitionBy("image_id").orderBy("ord")) - 1  # at most n rows an image
+        at = chosen.withColumn("ord", count).unionByName(plain)
+    image = F.format_string("%04d", "image_id") if dict(images.dtypes)["image_id"] in ("tinyint", "smallint", "int", "bigint") else F.col("image_id").cast("string")
+    out = grids.crop_windows(at, window)
+    out = out.withColumn("crop_id", F.concat_ws("_", *([] if area is None else [F.col(area)]), image, F.format_string("%03d", "ord")))
     return out.select("crop_id", F.col("image_id").alias("source_image_id"), F.col("ord").alias("crop_index"), F.lit(window).alias("window_size"), "x0", "y0", "x1", "y1", F.col("coverage").alias("mask_coverage"), F.lit(grids.stride_label(stride)).alias("stride"))
 
 
