@@ -97,7 +97,8 @@ def weights(kind: str, n: int, m: int) -> np.ndarray:
     """(m, n) matrix that resamples n values to m.
 
     chebyshev: Lagrange interpolation at Chebyshev nodes, as a product of cosine transforms. bilinear: triangle filter,
-    widened when shrinking. bicubic: Keys' kernel with a = -1/2, edges repeated.
+    widened when shrinking. bicubic: Keys' kernel with a = -1/2, edges repeated. spline: interpolating cubic B-spline, edges
+    mirrored, after a Gaussian blur of deviation (n / m - 1) / 2 when shrinking.
     """
     if kind == "chebyshev":
         k = np.arange(1, n)
@@ -119,11 +120,52 @@ def weights(kind: str, n: int, m: int) -> np.ndarray:
             a = np.where(x <= 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0))
             np.add.at(out, (np.arange(m), np.clip(first + j, 0, n - 1)), a)
         return out
-    raise ValueError("resampling is chebyshev, bilinear or bicubic")
+    if kind == "spline":
+        out = np.zeros((m, n))
+        first = np.floor(centre - 0.5).astype(int) - 1
+        for j in range(4):
+            x = np.abs(centre - 0.5 - (first + j))
+            np.add.at(out, (np.arange(m), _mirrored(first + j, n)), np.where(x < 1, 2 / 3 - x**2 + x**3 / 2, np.maximum(2 - x, 0) ** 3 / 6))
+        return out @ _spline_coefficients(_blur((scale - 1) / 2, n))
+    raise ValueError("resampling is chebyshev, bilinear, bicubic or spline")
+
+
+def _mirrored(i: np.ndarray, n: int) -> np.ndarray:
+    """Places on n values that go on beyond the ends as in mirrors on the first and the last one."""
+    return n - 1 - np.abs(i % (2 * n - 2) - (n - 1)) if n > 1 else np.zeros_like(i)
+
+
+def _blur(deviation: float, n: int) -> np.ndarray:
+    """(n, n) matrix of a Gaussian blur that reaches four deviations; the identity for none."""
+    out = np.zeros((n, n))
+    reach = int(4 * max(deviation, 0.0) + 0.5)
+    k = np.arange(-reach, reach + 1)
+    share = np.exp(-0.5 * (k / deviation) ** 2) if reach else np.ones(1)
+    for j, x in zip(k, share / share.sum()):
+        np.add.at(out, (np.arange(n), _mirrored(np.arange(n) + j, n)), x)
+    return out
+
+
+def _spline_coefficients(values: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic B-splines through the columns' values: a tridiagonal system, swept forth and back."""
+    n = len(values)
+    if n == 1:
+        return values
+    out = 6.0 * values
+    ratio = np.zeros(n)
+    ratio[0], out[0] = 0.5, out[0] / 4
+    for i in range(1, n):
+        below = 2.0 if i == n - 1 else 1.0
+        under = 4 - below * ratio[i - 1]
+        ratio[i], out[i] = 1 / under, (out[i] - below * out[i - 1]) / under
+    for i in range(n - 2, -1, -1):
+        out[i] -= ratio[i] * out[i + 1]
+    return out
 
 
 def resized(v: Column, h: Column, w: Column, new_h: Column, new_w: Column, kind: str = "chebyshev") -> Column:
-    """The image at new_h x new_w, rounded half to even (bicubic: truncated) and clipped to 0..255.
+    """The image at new_h x new_w, rounded half to even (bicubic, spline: truncated) and clipped to 0..255, spline also to the
+    image's own range.
 
     One image is two matrix products in an Arrow batch; matrices are kept per size. Sizes below 1 give null.
     """
@@ -137,7 +179,8 @@ def resized(v: Column, h: Column, w: Column, new_h: Column, new_w: Column, kind:
                 out.append(None)
                 continue
             y = weights(kind, int(a), int(c)) @ np.asarray(x, float).reshape(int(a), int(b)) @ weights(kind, int(b), int(d)).T
-            out.append(np.clip(np.trunc(y + 1e-9) if kind == "bicubic" else np.rint(y), 0, 255).ravel())
+            y = np.clip(y, np.min(x), np.max(x)) if kind == "spline" else y
+            out.append(np.clip(np.trunc(y + 1e-9) if kind in ("bicubic", "spline") else np.rint(y), 0, 255).ravel())
         return pd.Series(out)
 
     return run(v.cast("array<double>"), h, w, new_h, new_w)
@@ -173,5 +216,5 @@ def augment(v: Column, h: Column, w: Column, key: Column, copy: Column, seed: in
 
 #: Name -> resampling of the comparison of resizing methods.
 RESIZERS: dict[str, Callable[[Column, Column, Column, Column, Column], Column]] = {
-    kind: lambda v, h, w, mh, mw, kind=kind: resized(v, h, w, mh, mw, kind) for kind in ("chebyshev", "bilinear", "bicubic")
+    kind: lambda v, h, w, mh, mw, kind=kind: resized(v, h, w, mh, mw, kind) for kind in ("chebyshev", "bilinear", "bicubic", "spline")
 }

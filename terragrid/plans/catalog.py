@@ -559,6 +559,21 @@ def bicubic_resize(s: SparkSession, d: str) -> DataFrame:
     return _resized(s, d, "bicubic")
 
 
+#: Weights of the cubic B-spline from 8 to m values: blur with mirrored edges, the direct filter's response sqrt(3) z^|k|, the basis.
+_S = """{n} AS (SELECT e.j, g.i, sum(e.x * f.x * g.x) AS x
+FROM (SELECT j, 7 - abs((fl + k + 14) % 14 - 7) AS b, CASE WHEN abs(p - fl - k) < 1 THEN 2 / 3.0::DOUBLE - pow(p - fl - k, 2) + pow(abs(p - fl - k), 3) / 2 ELSE pow(greatest(0, 2 - abs(p - fl - k)), 3) / 6 END AS x
+  FROM (SELECT j, (j + 0.5) * 8.0::DOUBLE / {m} - 0.5 AS p, floor((j + 0.5) * 8.0::DOUBLE / {m} - 0.5)::INT AS fl FROM range({m}) a(j)), range(-1, 3) t(k)) e
+JOIN (SELECT b, 7 - abs((b + k + 140) % 14 - 7) AS a, sqrt(3.0::DOUBLE) * pow(sqrt(3.0::DOUBLE) - 2, abs(k)) AS x FROM range(8) u(b), range(-60, 61) t(k)) f ON f.b = e.b
+JOIN (SELECT a, 7 - abs((a + k + 14) % 14 - 7) AS i, exp(-0.5 * pow(k / ((8.0::DOUBLE / {m} - 1) / 2), 2)) / (1 + 2 * exp(-0.5 * pow(1 / ((8.0::DOUBLE / {m} - 1) / 2), 2))) AS x FROM range(8) u(a), range(-1, 2) t(k)) g ON g.a = f.a GROUP BY ALL)"""
+
+
+@query(f"""WITH {PX}, {_S.format(n="wr", m=5)}, {_S.format(n="wc", m=6)}, ends AS (SELECT image_id, min(v) AS low, max(v) AS high FROM px GROUP BY 1),
+y AS (SELECT image_id, wr.j::INT AS r, wc.j::INT AS c, sum(wr.x * wc.x * v) AS v FROM px JOIN wr ON wr.i = r JOIN wc ON wc.i = c GROUP BY ALL)
+SELECT y.image_id, r, c, trunc(greatest(low, least(high, v)) + 1e-9) + 0.0 AS v FROM y JOIN ends ON y.image_id = ends.image_id""")
+def spline_resize(s: SparkSession, d: str) -> DataFrame:
+    return _resized(s, d, "spline")
+
+
 @query()
 def noise_gaussian(s: SparkSession, d: str) -> DataFrame:
     valid = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i < 48).cast("int"))

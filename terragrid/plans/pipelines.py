@@ -112,9 +112,9 @@ def size_analysis(summary: DataFrame, by: Column) -> DataFrame:
 
 
 def comparison(images: DataFrame, scale: float, zoom: int = 200) -> DataFrame:
-    """Zoom regions of each image and its resized size, with pixels by two methods of resizing."""
+    """Zoom regions of each image and its resized size, with pixels by three methods of resizing."""
     h, w = (F.rint(F.col(c) * scale).cast("int") for c in ("h", "w"))
     out = grids.zoom_on_scaled(grids.zoom_region(images, zoom).withColumn("scaled_h", h).withColumn("scaled_w", w), "scaled_w", "scaled_h")
-    for kind in ("chebyshev", "bicubic"):
+    for kind in ("chebyshev", "bicubic", "spline"):
         out = out.withColumn(kind, pixels.resized(F.col("v"), F.col("h"), F.col("w"), F.col("scaled_h"), F.col("scaled_w"), kind))
     return out.drop("v")

@@ -166,6 +166,21 @@ def test_lookups(spark):
     assert [r.x for r in names.select(labels.area_of_file(F.col("n")).alias("x")).collect()] == ["unita", "unknown", "unknown"]
 
 
+def test_spline_weights():
+    """Splines reproduce their values, constants and, inside, cubics; the sweep solves the system; a blur keeps constants."""
+    for n in (1, 2, 3, 9, 40):
+        assert pixels.weights("spline", n, n) == pytest.approx(np.eye(n), abs=1e-12)
+        for m in (1, 2, 7, 53):
+            assert pixels.weights("spline", n, m).sum(axis=1) == pytest.approx(np.ones(m))
+    n, m = 60, 150
+    x, at = np.arange(n) / n, ((np.arange(m) + 0.5) * n / m - 0.5) / n
+    inner = slice(60, 90)  # far from the mirrored ends
+    assert (pixels.weights("spline", n, m) @ (x**3 - x))[inner] == pytest.approx((at**3 - at)[inner], abs=1e-9)
+    system = np.diag(np.full(9, 4 / 6)) + np.diag(np.full(8, 1 / 6), 1) + np.diag(np.full(8, 1 / 6), -1)
+    system[0, 1] = system[-1, -2] = 2 / 6
+    assert system @ pixels._spline_coefficients(np.eye(9)) == pytest.approx(np.eye(9), abs=1e-12)
+
+
 def test_pipelines(spark):
     rng = np.random.default_rng(2)
     imgs = spark.createDataFrame([(i, rng.integers(0, 256, 900).astype(float).tolist(), 30, 30, "Africa", [[0.0, 0.0], [20.0, 0.0], [20.0, 30.0], [0.0, 30.0]] if i else None) for i in range(2)], "image_id int, v array<double>, h int, w int, area string, ring array<array<double>>")
