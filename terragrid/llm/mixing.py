@@ -106,13 +106,17 @@ def _queued(df: DataFrame, weights: Sequence[int], max_epochs: int, seed: int, i
 
 
 def mix(df: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of `df`: id, source, size, source_size, target, taken (size times the copies that the mix takes)."""
+    """One row per row of `df`: id, source, size, source_size, target, taken (size times the copies that the mix takes), finish (the
+    virtual finish time of its first copy taken, null without one). Range-partitioned and sorted by finish, so in the mix's
+    order; what the mix does not take comes last.
+    """
     queued, taken = _queued(df, weights, max_epochs, seed, id_col, text_col, source_col)
-    q, t = queued.alias("q"), taken.groupBy("id", "source", "size").agg(F.count("*").alias("copies")).alias("t")
+    q, t = queued.alias("q"), taken.groupBy("id", "source", "size").agg(F.count("*").alias("copies"), F.min("finish").alias("finish")).alias("t")
     same = F.col("q.id").eqNullSafe(F.col("t.id")) & F.col("q.source").eqNullSafe(F.col("t.source")) & (F.col("q.size") == F.col("t.size"))
-    out = q.join(t, same, "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    order = [F.col("finish").asc_nulls_last(), F.col("q.source").asc_nulls_last(), F.col("key"), F.col("q.id"), F.col("q.size")]
+    out = q.join(t, same, "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).repartitionByRange(*order).sortWithinPartitions(*order)
     return out.select(
-        F.col("q.id").alias(id_col), F.col("q.source").alias(source_col), F.col("q.size").alias("size"), "source_size", "target", (F.col("q.size") * F.coalesce("copies", F.lit(0))).alias("taken")
+        F.col("q.id").alias(id_col), F.col("q.source").alias(source_col), F.col("q.size").alias("size"), "source_size", "target", (F.col("q.size") * F.coalesce("copies", F.lit(0))).alias("taken"), "finish"
     )
 
 

@@ -142,8 +142,8 @@ q AS (SELECT g.*, source_size, total, target, sum(size * n) OVER (PARTITION BY g
 e AS (SELECT *, unnest([1, 2, 3]) AS epoch FROM q WHERE size > 0 AND target > 0),
 f AS (SELECT *, ((epoch - 1) * source_size + upto)::DOUBLE / target AS finish FROM e WHERE epoch <= ceil(target / source_size)),
 r AS (SELECT *, sum(size * n) OVER (ORDER BY finish, source NULLS LAST, key, doc_id, size, epoch ROWS UNBOUNDED PRECEDING) AS run FROM f),
-k AS (SELECT doc_id, source, size, count(*)::BIGINT AS copies FROM r WHERE run <= total GROUP BY ALL)
-SELECT u.doc_id, u.size, t.source_size, t.target, u.size * coalesce(k.copies, 0) AS taken FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source
+k AS (SELECT doc_id, source, size, count(*)::BIGINT AS copies, min(finish) AS finish FROM r WHERE run <= total GROUP BY ALL)
+SELECT u.doc_id, u.size, t.source_size, t.target, u.size * coalesce(k.copies, 0) AS taken, k.finish FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source
 LEFT JOIN k ON u.doc_id IS NOT DISTINCT FROM k.doc_id AND u.source IS NOT DISTINCT FROM k.source AND u.size = k.size""",
     "op10_url_cascade": f"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

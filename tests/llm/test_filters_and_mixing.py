@@ -1,5 +1,6 @@
 """The native operators against their SQL on whole tables, and their corner cases."""
 
+import math
 import os
 
 import duckdb
@@ -51,6 +52,8 @@ def test_mix_of_skewed_null_and_repeated_documents(spark):
     again = mixing.mix(df.repartition(7)).drop("source")
     same(again, [r.asDict() for r in out.collect()])
     assert mixing.mix(df.limit(0)).count() == 0
+    finish = [math.inf if r.finish is None else r.finish for r in out.collect()]
+    assert finish == sorted(finish) and all((r.finish is None) == (r.taken == 0) for r in out.collect())
     assert mixing.mixed_documents(df).columns == df.columns
 
 
