@@ -34,7 +34,7 @@ def same(df, want):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_whole_tables(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf, t)}.parquet'")
     same(QUERIES[name](spark, sf), answers(con, name))
 
