@@ -6,9 +6,10 @@ from the likelihood of labelled chains; as documents carry one label, half the c
 that transitions are learned for code-switched text too. Forward-backward gives each word's label probabilities; a
 document's are the mean over its words.
 
-Learning uses a bounded sample: about SAMPLE_DOCS documents of each language, chosen by a hash of the id, and of each of
-them at most SAMPLE_WORDS words within its first SAMPLE_CHARS characters, in chains of CHAIN words. More than MAX_LANGUAGES
-labels are a ValueError. Prediction covers whole texts, each as one chain: it is worked off in runs of CHAIN words, whose
+Learning uses a bounded sample: about SAMPLE_DOCS documents of each language and SAMPLE_ALL in all (so fewer of each where
+there are over 16 languages), chosen by a hash of id and text, and of each of them at most SAMPLE_WORDS words within its
+first SAMPLE_CHARS characters, in chains of CHAIN words. The driver sums the gradients of slices of chains: what it holds
+at once is bounded by BATCH and by the weights, 1 MB a label. More than MAX_LANGUAGES labels are a ValueError. Prediction covers whole texts, each as one chain: it is worked off in runs of CHAIN words, whose
 transfer matrices carry the messages from run to run, so that where a run ends makes no difference. The matrices take 8
 bytes times the square of the number of labels for each run of the longest text.
 
@@ -29,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terragrid.llm.shared import freeing, slices
-from terragrid.llm.text import U, column, mix, words
+from terragrid.llm.shared import SLICE_BYTES, freeing, slices
+from terragrid.llm.text import U, column, mix, spread, words
 
 #: Documents of each language that are learned from, words and characters of each; words of a run; hashed features; languages.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_CHARS, CHAIN, FEATURES, MAX_LANGUAGES = 150, 1000, 20_000, 64, 1 << 16, 256
-#: Bytes of words whose features are made at once, and numbers of a batch of padded runs.
-FEATURE_BYTES, BATCH = 1 << 19, 1 << 19
+#: Documents that are learned from in all languages together.
+SAMPLE_ALL = 2400
+#: Bytes of words whose features are made at once, numbers of a batch of padded runs, and of a slice of learned chains.
+FEATURE_BYTES, BATCH, FIT_BATCH = 1 << 19, 1 << 19, 1 << 21
 STEPS, RATE, DECAY = 30, 0.1, 1e-3
 
 
@@ -116,9 +119,8 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarr
     gamma /= gamma.sum(axis=2, keepdims=True)
     pairs = np.zeros((k, k))
     for i in range(1, t):
-        joint = ahead[:, i - 1, :, None] * move[None] * (e[:, i] * back[:, i])[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        pairs += joint[mask[:, i]].sum(axis=0)
+        a, b = ahead[:, i - 1][mask[:, i]], (e[:, i] * back[:, i])[mask[:, i]]
+        pairs += move * ((a / ((a @ move) * b).sum(axis=1, keepdims=True)).T @ b)
     return gamma, pairs
 
 
@@ -155,27 +157,50 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     chains, distinct, gold = _training_chains(texts, [langs.index(x) for x in labels], seed)
     use = (chains >= 0).any(axis=1)
     chains, gold = chains[use], gold[use]
-    word, feature = (np.concatenate(x) for x in zip(*Words(distinct).features()))
-    mask = chains >= 0
-    safe = np.where(mask, chains, 0)
-    truth = np.zeros((*chains.shape, k))
-    truth[(*np.nonzero(mask), gold[mask])] = 1
-    seen_pairs = np.einsum("cti,ctj->ij", truth[:, :-1], truth[:, 1:])
-    params = [np.zeros((FEATURES, k)), np.zeros((k, k))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    total = max(int(mask.sum()), 1)
+    first, feature = _features_by_word(distinct)
+    few = max(1, FIT_BATCH // (CHAIN * k))
+    slices_ = []  # of each slice of chains: its distinct words, where its chains have them, and its labels
+    for low in range(0, len(chains), few):
+        mask = chains[low : low + few] >= 0
+        used, code = np.unique(chains[low : low + few][mask], return_inverse=True)
+        place = np.zeros(mask.shape, np.int32)
+        place[mask] = code
+        slices_.append((used, place, mask, gold[low : low + few]))
+    follow = (gold[:, :-1] >= 0) & (gold[:, 1:] >= 0)
+    seen_pairs = np.bincount(gold[:, :-1][follow] * k + gold[:, 1:][follow], minlength=k * k).reshape(k, k)
+    emissions, transitions = np.zeros((k, FEATURES), np.float32), np.zeros((k, k))
+    total = max(int((chains >= 0).sum()), 1)
+    moments = [tuple(np.zeros_like(p) for _ in range(2)) for p in (emissions, transitions)]
+
+    def climb(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, step: int) -> None:
+        g = g / total - DECAY * p / total * 100
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        p += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+
     for step in range(1, STEPS + 1):
-        scores = _scores([(word, feature)], len(distinct), params[0])
-        gamma, pairs = forward_backward(scores[safe] * mask[..., None], mask, params[1])
-        miss = (truth - gamma)[mask]
-        by_word = np.stack([np.bincount(chains[mask], miss[:, y], len(distinct)) for y in range(k)], axis=1)
-        grads = [np.stack([np.bincount(feature, by_word[word, y], FEATURES) for y in range(k)], axis=1), seen_pairs - pairs]
-        for p, g, m, v in zip(params, grads, first, second):
-            g = g / total - DECAY * p / total * 100
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return Model(langs, params[0].astype(np.float32), params[1])
+        up, pairs = np.zeros_like(emissions), seen_pairs.astype(float)
+        for used, place, mask, own in slices_:
+            size = first[used + 1] - first[used]
+            owner, features = np.repeat(np.arange(len(used)), size), feature[spread(first[used], size)]
+            scores = np.stack([np.bincount(owner, emissions[y][features], len(used)) for y in range(k)], axis=1)
+            gamma, expected = forward_backward(scores[place] * mask[..., None], mask, transitions)
+            pairs -= expected
+            miss = -gamma[mask]
+            miss[np.arange(len(miss)), own[mask]] += 1
+            for y in range(k):
+                up[y] += np.bincount(features, np.bincount(place[mask], miss[:, y], len(used))[owner], FEATURES)
+        for y in range(k):
+            climb(emissions[y], up[y], moments[0][0][y], moments[0][1][y], step)
+        climb(transitions, pairs, *moments[1], step)
+    return Model(langs, np.ascontiguousarray(emissions.T), transitions)
+
+
+def _features_by_word(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word's features start, and the end; features word by word)."""
+    parts = [(w.astype(np.int32), f.astype(np.uint16 if FEATURES <= 1 << 16 else np.int32)) for w, f in Words(distinct).features()]
+    word, feature = (np.concatenate(x) for x in zip(*parts))
+    return np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(distinct)))]), feature[np.argsort(word, kind="stable")]
 
 
 def held_out(id_col: Column, fold: int = 2, folds: int = 4) -> Column:
@@ -192,13 +217,14 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return fit([], [])
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.2 * SAMPLE_DOCS / r["count"]))]), F.col("lang"))
-    head = F.substring("text", 1, SAMPLE_CHARS)
-    rows = usable.withColumn("draw", draw).where(F.col("draw") < rate).select("lang", head.alias("text"), "draw", "id").orderBy("draw", "id").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    each = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(counts)))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.2 * each / r["count"]))]), F.col("lang"))
+    head = F.array_join(F.slice(F.split(F.substring("text", 1, SAMPLE_CHARS), r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS + 1), " ")  # a first separator gives an empty word
+    rows = usable.withColumn("draw", draw).where(F.col("draw") < rate).select("lang", head.alias("text"), "draw", "id").orderBy("draw", "id", "text").limit(2 * each * len(counts)).collect()
     by_lang: dict[str, list[str]] = {}
     for r in rows:
-        if len(mine := by_lang.setdefault(r.lang, [])) < SAMPLE_DOCS:
+        if len(mine := by_lang.setdefault(r.lang, [])) < each:
             mine.append(r.text)
     return fit([t for x in sorted(by_lang) for t in by_lang[x]], [x for x in sorted(by_lang) for _ in by_lang[x]], seed)
 
@@ -306,7 +332,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", pred_col: str =
     @freeing
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [document_labels(part, sent.value) for part in _steps(texts)]
+            found = [document_labels(part, sent.value) for part in _steps(texts, sent.value)]
             yield pa.StructArray.from_arrays([pa.array([x for label, _ in found for x in label], pa.string()), pa.array(np.concatenate([np.zeros(0), *(s for _, s in found)]))], ["label", "score"])
 
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (pred_col, score_col)]
@@ -314,8 +340,13 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", pred_col: str =
     return out.select("row.*", F.col("judged.label").alias(pred_col), F.col("judged.score").alias(score_col))
 
 
-def _steps(texts: pa.Array) -> Iterator[pa.Array]:
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+def _slice_bytes(model: Model) -> int:
+    """Bytes of text worked off at once: fewer where words have probabilities of over 16 languages."""
+    return SLICE_BYTES * 16 // max(16, len(model.langs))
+
+
+def _steps(texts: pa.Array, model: Model) -> Iterator[pa.Array]:
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", _slice_bytes(model)):
         yield part.column("text")
 
 
@@ -326,8 +357,8 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                m = sent.value
+            m = sent.value
+            for part in slices(batch, text_col, _slice_bytes(m)):
                 off, p, flat, letter = _word_probabilities(column(part, text_col), m)
                 names = np.array([*m.langs, "und"], object)
                 label = names[np.where(letter, p.argmax(axis=1), len(m.langs))] if m.langs else np.full(len(flat), "und", object)
@@ -354,7 +385,7 @@ def known_language(df: DataFrame, model: Model, least: float = 0.5, text_col: st
     @freeing
     def certainty(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(np.concatenate([np.zeros(0), *(certainties(part, sent.value) for part in _steps(texts))]))
+            yield pa.array(np.concatenate([np.zeros(0), *(certainties(part, sent.value) for part in _steps(texts, sent.value))]))
 
     sure = certainty(F.col(text_col)).alias("sure")
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), sure).where((F.col("sure") > 0) & (F.col("sure") >= least)).select("row.*")

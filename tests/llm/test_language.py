@@ -1,6 +1,8 @@
 """The field's forward-backward against enumeration, and held-out accuracy."""
 
 import itertools
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -119,3 +121,43 @@ def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
     with pytest.raises(ValueError):
         language.learn(spark.createDataFrame([(i, "a text", f"l{i % 3}", None, None) for i in range(40)], SCHEMA))
+
+
+def test_many_languages_are_learned_in_bounded_memory():
+    """40 labels of 60 documents of 1,000 words, in a process of its own: the peak of all memory stays below 1 GB."""
+    code = """
+import resource
+import numpy as np
+from terragrid.llm import language
+language.STEPS = 2
+rng = np.random.default_rng(0)
+letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+texts, labels = [], []
+for y in range(40):
+    vocabulary = ["".join(rng.choice(letters, rng.integers(3, 9))) + letters[y % 26] for _ in range(2000)]
+    texts += [" ".join(rng.choice(vocabulary, 1000)) for _ in range(60)]
+    labels += [f"l{y:02}"] * 60
+model = language.fit(texts, labels)
+assert model.emissions.shape == (language.FEATURES, 40)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 1000
+
+
+def test_slices_of_chains_give_the_gradient_of_all(monkeypatch):
+    texts, labels = ["the cat and the dog were here " * 30, "der hund und die katze waren hier " * 30, "le chat et le chien sont la " * 30], ["en", "de", "fr"]
+    whole = language.fit(texts, labels)
+    monkeypatch.setattr(language, "FIT_BATCH", 600)  # three chains a slice
+    parts = language.fit(texts, labels)
+    assert np.allclose(whole.transitions, parts.transitions, atol=1e-6) and np.allclose(whole.emissions, parts.emissions, atol=1e-3)
+
+
+def test_rows_of_one_id_do_not_fill_the_sample(spark):
+    """Half of all rows have one id; every language is learned from all the same, and reruns agree."""
+    rows = [(1, f"der hund {i} und die katze", "de", None, None) for i in range(900)] + [(100 + i, f"the cat {i} and the dog", "en", None, None) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = language.learn(df), language.learn(df.repartition(5))
+    assert a.langs == ("de", "en") and (a.emissions == b.emissions).all()
+    assert language.document_labels(pa.array(["die katze und der hund", "the dog and the cat"]), a)[0] == ["de", "en"]
