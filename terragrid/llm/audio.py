@@ -7,9 +7,11 @@ that each frame becomes a packed 32-bit integer, of which similar sounds differ
 The search finds, for every recording whose id is divisible by `every`, all recordings that align with it. Recordings
 with equal fingerprints are one class and are compared once. An alignment with a bit error rate of e at most has an integer
 with 32 e unequal bits at most (no mean is under its least term), and one half of that integer has half of them at most: so
-the integers are looked up by each half with up to so many bits turned. Every pair of integers this near proposes an
-alignment, all proposals are judged by the integers that overlap there, and the one with the lowest bit error rate stays.
-No admitted pair is missed, whatever its length or offset.
+the integers are looked up by each half with up to so many bits turned. Every pair of integers this near is a vote for
+its offset in the histogram of its two recordings. As each overlapping integer without a vote costs the bits it is apart at
+least, an offset's votes bound its bit errors from below: offsets with fewer votes than an admitted rate leaves room for are
+turned down unread, all others are judged by the integers that overlap there, and the one with the lowest bit error rate
+stays. No admitted pair is missed, whatever its length or offset.
 
 Queries and classes are dealt into packs of bounded size, and each pack of queries meets each pack of classes in one task:
 the work grows with queries times recordings, by a small factor (about 5 of 1,000 pairs of integers share a probed half).
@@ -37,8 +39,8 @@ from terragrid.llm.text import U, column, mix, spread
 WINDOW = 16
 #: Integers of a pack of queries and of a pack of classes; a longer recording is in a pack of its own or ends one.
 QUERY_PACK, CLASS_PACK = 1 << 17, 1 << 19
-#: Candidates, proposals or integers worked on at once.
-STEP = 1 << 21
+#: Candidates, proposals or integers worked on at once, and offsets of all histograms that a task holds.
+STEP, OFFSETS = 1 << 21, 1 << 22
 #: Frames of a batch of transforms, and levels of a pitch class's share.
 BATCH, LEVELS = 1 << 15, 1 << 20
 
@@ -202,7 +204,7 @@ def near(q: np.ndarray, d: np.ndarray, most: int) -> Iterator[tuple[np.ndarray,
 
 
 def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_errors: float, least_overlap: int) -> list[np.ndarray]:
-    """id, class_id, offset, overlap, errors of the best admitted alignment of each recording of `a` with each of `b` (ids, ends, ints)."""
+    """id, class_id, offset, overlap, errors, votes of the best admitted alignment of each recording of `a` with each of `b` (ids, ends, ints)."""
     (ids_a, ends_a, ints_a), (ids_b, ends_b, ints_b) = a, b
     len_a, len_b = np.diff(ends_a), np.diff(ends_b)
     rec_a, rec_b = np.repeat(np.arange(len(len_a)), len_a), np.repeat(np.arange(len(len_b)), len_b)
@@ -210,10 +212,11 @@ def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_e
     q, first_a, n_a = np.unique(ints_a[order_a], return_index=True, return_counts=True)
     d, first_b, n_b = np.unique(ints_b[order_b], return_index=True, return_counts=True)
     span = int(len_a.max(initial=0) + len_b.max(initial=0)) + 1
-    kept = [[np.zeros(0, np.int64) for _ in range(4)] + [np.zeros(0)]]
+    most = int(32 * most_errors + 1e-9)
+    kept = [np.zeros(0, np.int64)] * 4 + [np.zeros(0), np.zeros(0, np.int64)]
 
-    def judge(x: np.ndarray, y: np.ndarray) -> None:
-        """The alignments that the near integers q[x], d[y] propose, at all places that have them."""
+    def proposals(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+        """A key of recordings and offset for each vote of the near integers q[x], d[y], at all places that have them."""
         upto = np.concatenate([[0], np.cumsum(n_a[x] * n_b[y])])
         for low in range(0, int(upto[-1]), STEP):
             nth = np.arange(low, min(low + STEP, upto[-1]))
@@ -222,36 +225,66 @@ def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_e
             i = order_a[first_a[x[hit]] + nth // n_b[y[hit]]]
             j = order_b[first_b[y[hit]] + nth % n_b[y[hit]]]
             r, s = rec_a[i], rec_b[j]
-            key = np.unique((r * len(len_b) + s) * (2 * span) + (i - ends_a[r]) - (j - ends_b[s]) + span)
-            pair, offset = key // (2 * span), key % (2 * span) - span
-            r, s = pair // len(len_b), pair % len(len_b)
-            start = np.maximum(0, offset)
-            overlap = np.minimum(len_a[r], len_b[s] + offset) - start
-            use = (ids_a[r] != ids_b[s]) & (overlap >= np.minimum(least_overlap, np.maximum(len_a[r], len_b[s]) // 4))
-            for share in (2, 1):  # what exceeds the errors of the whole in its first half is not read to the end
-                r, s, offset, start, overlap = (v[use] for v in (r, s, offset, start, overlap))
-                n, errors = -(-overlap // share), np.zeros(len(r), np.int64)
-                for part in cuts(n):
-                    unequal = ints_a[spread((ends_a[r] + start)[part], n[part])] ^ ints_b[spread((ends_b[s] + start - offset)[part], n[part])]
-                    errors[part] = np.add.reduceat(np.bitwise_count(unequal), np.cumsum(n[part]) - n[part], dtype=np.int64)
-                use = errors / (32 * overlap) <= most_errors
-            kept.append([v[use] for v in (r, s, offset, overlap, errors / (32 * overlap))])
-
-    held, proposals = [], 0
-    for x, y in near(q, d, int(32 * most_errors + 1e-9)):
-        held.append((x, y))
-        proposals += int((n_a[x] * n_b[y]).sum())
-        if proposals >= STEP:
-            judge(*map(np.concatenate, zip(*held)))
-            held, proposals = [], 0
-    if held:
-        judge(*map(np.concatenate, zip(*held)))
-    r, s, offset, overlap, errors = map(np.concatenate, zip(*kept))
-    order = np.lexsort((offset, np.abs(offset), -overlap, errors, s, r))
-    r, s, offset, overlap, errors = (v[order] for v in (r, s, offset, overlap, errors))
-    first = np.ones(len(r), bool)
-    first[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
-    return [ids_a[r[first]], ids_b[s[first]], offset[first].astype(np.int32), overlap[first].astype(np.int32), errors[first]]
+            apart = ids_a[r] != ids_b[s]
+            yield ((r * len(len_b) + s) * (2 * span) + (i - ends_a[r]) - (j - ends_b[s]) + span)[apart]
+
+    def best(found: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each two recordings the alignment of the lowest rate, then the longest overlap, then the least shift."""
+        r, s, offset, overlap, errors, _ = found
+        order = np.lexsort((offset, np.abs(offset), -overlap, errors, s, r))
+        found = [v[order] for v in found]
+        first = np.ones(len(r), bool)
+        first[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
+        return [v[first] for v in found]
+
+    def judge(key: np.ndarray, votes: np.ndarray | None) -> list[np.ndarray]:
+        """The admitted alignments among `key`. Given all votes of each, those with too few are not read."""
+        pair, offset = key // (2 * span), key % (2 * span) - span
+        r, s = pair // len(len_b), pair % len(len_b)
+        start = np.maximum(0, offset)
+        overlap = np.minimum(len_a[r], len_b[s] + offset) - start
+        use = overlap >= np.minimum(least_overlap, np.maximum(len_a[r], len_b[s]) // 4)
+        if votes is not None:
+            use &= (most + 1) * (overlap - votes) <= 32 * most_errors * overlap + 1e-6
+        for share in (2, 1):  # what exceeds the errors of the whole in its first half is not read to the end
+            r, s, offset, start, overlap = (v[use] for v in (r, s, offset, start, overlap))
+            n, errors, near_ones = -(-overlap // share), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+            for part in cuts(n):
+                unequal = np.bitwise_count(ints_a[spread((ends_a[r] + start)[part], n[part])] ^ ints_b[spread((ends_b[s] + start - offset)[part], n[part])])
+                at = np.cumsum(n[part]) - n[part]
+                errors[part] = np.add.reduceat(unequal, at, dtype=np.int64)
+                near_ones[part] = np.add.reduceat(unequal <= most, at, dtype=np.int64)
+            use = errors / (32 * overlap) <= most_errors
+        return [v[use] for v in (r, s, offset, overlap, errors / (32 * overlap), near_ones)]
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, votes) of histograms that are added up."""
+        key, votes = (np.concatenate(v) for v in zip(*parts))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return key[first], np.add.reduceat(votes[order], first) if len(first) else votes
+
+    def counted() -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for x, y in near(q, d, most):
+            held.append((x, y))
+            size += int((n_a[x] * n_b[y]).sum())
+            if size >= STEP:
+                yield from proposals(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from proposals(*map(np.concatenate, zip(*held)))
+
+    histogram = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for keys in counted():
+        histogram = [merged([*histogram, np.unique(keys, return_counts=True)])]
+        if len(histogram[0][0]) > OFFSETS:  # judged without the bound: more votes of these offsets may be to come
+            kept = best([np.concatenate(v) for v in zip(kept, judge(histogram[0][0], None))])
+            histogram = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    # what has votes from before a judgement was judged then: turning it down by the rest of them changes nothing
+    r, s, offset, overlap, errors, votes = best([np.concatenate(v) for v in zip(kept, judge(*histogram[0]))])
+    return [ids_a[r], ids_b[s], offset.astype(np.int32), overlap.astype(np.int32), errors, votes.astype(np.int32)]
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -268,7 +301,8 @@ def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, f
     `member`: id and its class_id (the smallest id with the same integers), n_ints. `match`: id is the class of a
     recording whose id is divisible by `every`, class_id a class that aligns with it, offset the frame of the query
     where the other starts, overlap the integers compared, errors their bit error rate (at most `most_errors`; the
-    overlap is at least `least_overlap` integers, or a quarter of the longer recording where that is less). Of all admitted offsets of two classes the
+    overlap is at least `least_overlap` integers, or a quarter of the longer recording where that is less), votes the
+    histogram's height there: the overlapping integers with 32 `most_errors` unequal bits at most. Of all admitted offsets of two classes the
     one with the lowest rate is given, then the longest overlap, then the least shift.
     """
     prints = cut_lineage(fingerprints(df, media_col, kind, rate, frame, hop, id_col).withColumn("id", F.col("id").cast("long")))
@@ -286,9 +320,9 @@ def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, f
             for i in range(batch.num_rows):
                 x, y = (tuple(np.frombuffer(column(batch, c + side)[i].as_py(), k) for c, k in kinds.items()) for side in ("_a", ""))
                 got = best_alignments(x, y, most_errors, least_overlap)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["id", "class_id", "offset", "overlap", "errors"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["id", "class_id", "offset", "overlap", "errors", "votes"])
 
     none = lambda t: F.lit(None).cast(t)
-    matches = pairs.mapInArrow(freeing(judge), "id long, class_id long, offset int, overlap int, errors double")
-    members = prints.join(classes.select(*key, "class_id"), key, "left").select(F.lit("member").alias("kind"), "id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), "n_ints", none("int").alias("offset"), none("int").alias("overlap"), none("double").alias("errors"))
-    return members.unionAll(matches.select(F.lit("match"), "id", "class_id", none("int"), "offset", "overlap", "errors"))
+    matches = pairs.mapInArrow(freeing(judge), "id long, class_id long, offset int, overlap int, errors double, votes int")
+    members = prints.join(classes.select(*key, "class_id"), key, "left").select(F.lit("member").alias("kind"), "id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), "n_ints", none("int").alias("offset"), none("int").alias("overlap"), none("double").alias("errors"), none("int").alias("votes"))
+    return members.unionAll(matches.select(F.lit("match"), "id", "class_id", none("int"), "offset", "overlap", "errors", "votes"))
