@@ -40,7 +40,7 @@ WINDOW = 16
 #: Integers of a pack of queries and of a pack of classes; a longer recording is in a pack of its own or ends one.
 QUERY_PACK, CLASS_PACK = 1 << 17, 1 << 19
 #: Candidates, proposals or integers worked on at once, and offsets of all histograms that a task holds.
-STEP, OFFSETS = 1 << 21, 1 << 22
+STEP, OFFSETS = 1 << 20, 1 << 20
 #: Frames of a batch of transforms, and levels of a pitch class's share.
 BATCH, LEVELS = 1 << 15, 1 << 20
 
@@ -248,12 +248,13 @@ def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_e
             use &= (most + 1) * (overlap - votes) <= 32 * most_errors * overlap + 1e-6
         for share in (2, 1):  # what exceeds the errors of the whole in its first half is not read to the end
             r, s, offset, start, overlap = (v[use] for v in (r, s, offset, start, overlap))
-            n, errors, near_ones = -(-overlap // share), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+            n, errors, near_ones = -(-overlap // share), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)  # the latter of wholes only
             for part in cuts(n):
                 unequal = np.bitwise_count(ints_a[spread((ends_a[r] + start)[part], n[part])] ^ ints_b[spread((ends_b[s] + start - offset)[part], n[part])])
                 at = np.cumsum(n[part]) - n[part]
                 errors[part] = np.add.reduceat(unequal, at, dtype=np.int64)
-                near_ones[part] = np.add.reduceat(unequal <= most, at, dtype=np.int64)
+                if share == 1:
+                    near_ones[part] = np.add.reduceat(unequal <= most, at, dtype=np.int64)
             use = errors / (32 * overlap) <= most_errors
         return [v[use] for v in (r, s, offset, overlap, errors / (32 * overlap), near_ones)]
 
