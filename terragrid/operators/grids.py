@@ -6,7 +6,7 @@ rows. Images keep their other columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,13 +28,23 @@ def parse_stride(stride: float | Sequence[float]) -> tuple[float, float]:
     return float(pair[0]), float(pair[1])
 
 
-def _centres(df: DataFrame, cols: Column, rows: Column, x: Column, y: Column, n: int | None) -> DataFrame:
-    """One row per grid cell in row-major order: ord, gx, gy, cx, cy. x and y are in terms of gx and gy."""
-    cells = df.withColumn("_cols", cols.cast("int")).withColumn("_rows", rows.cast("int"))
-    count = F.col("_cols") * F.col("_rows")
+def free(name: str, *dfs: DataFrame) -> str:
+    """`name`, with as many underscores before it as make it no column of `dfs`: for columns that are dropped again."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _centres(df: DataFrame, cols: Column, rows: Column, x: Callable[[Column, Column], Column], y: Callable[[Column, Column], Column], n: int | None) -> DataFrame:
+    """One row per grid cell in row-major order: ord, gx, gy, cx, cy. x and y make centres of a cell's number along an axis and the number of cells there."""
+    across, down = free("_cols", df), free("_rows", df)
+    cells = df.withColumn(across, cols.cast("int")).withColumn(down, rows.cast("int"))
+    count = F.col(across) * F.col(down)
     cells = cells.withColumn("ord", F.explode(upto(count if n is None else F.least(count, F.lit(max(n, 0))))))
-    cells = cells.withColumn("gx", F.col("ord") % F.col("_cols")).withColumn("gy", F.floor(F.col("ord") / F.col("_cols")).cast("int"))
-    return cells.withColumn("cx", F.rint(x).cast("int")).withColumn("cy", F.rint(y).cast("int")).drop("_cols", "_rows")
+    cells = cells.withColumn("gx", F.col("ord") % F.col(across)).withColumn("gy", F.floor(F.col("ord") / F.col(across)).cast("int"))
+    cells = cells.withColumn("cx", F.rint(x(F.col("gx"), F.col(across))).cast("int")).withColumn("cy", F.rint(y(F.col("gy"), F.col(down))).cast("int"))
+    return cells.drop(across, down)
 
 
 def fixed_grid(df: DataFrame, window: int, n: int | None, stride: float | Sequence[float] | None = None, w: str = "w", h: str = "h", whole: bool = False) -> DataFrame:
@@ -47,14 +57,15 @@ def fixed_grid(df: DataFrame, window: int, n: int | None, stride: float | Sequen
         if n is None:
             raise ValueError("a grid without a stride needs n")
         if n <= 0:
-            return _centres(df, F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), 0)
+            nowhere = lambda g, k: F.lit(0.0)
+            return _centres(df, F.lit(0), F.lit(0), nowhere, nowhere, 0)
         cols = F.greatest(F.lit(1), F.ceil(F.sqrt(F.lit(n) * F.coalesce(W_ / F.nullif(H_, F.lit(0)), F.lit(1.0)))))
         rows = F.greatest(F.lit(1), F.ceil(F.lit(n) / cols))
-        at = lambda g, size, k: half + F.col(g) * (F.greatest(F.lit(half), size - half) - half) / F.greatest(F.lit(1), k - 1)
-        return _centres(df, cols, rows, at("gx", W_, F.col("_cols")), at("gy", H_, F.col("_rows")), None if whole else n)
+        at = lambda size: lambda g, k: half + g * (F.greatest(F.lit(half), size - half) - half) / F.greatest(F.lit(1), k - 1)
+        return _centres(df, cols, rows, at(W_), at(H_), None if whole else n)
     sx, sy = parse_stride(stride)
     count = lambda size, s: F.ceil((F.greatest(size, F.lit(half)) + s - half) / s)
-    return _centres(df, count(W_, sx), count(H_, sy), half + F.col("gx") * sx, half + F.col("gy") * sy, None if whole else n)
+    return _centres(df, count(W_, sx), count(H_, sy), lambda g, k: half + g * sx, lambda g, k: half + g * sy, None if whole else n)
 
 
 def random_centres(df: DataFrame, key: str, n: int, seed: int = 0, w: str = "w", h: str = "h") -> DataFrame:
@@ -84,15 +95,18 @@ def uniform_subsample(df: DataFrame, key: str, order: Sequence[str], n: int) ->
     The window runs over one image's crops. `order` has to be total.
     """
     of = W.partitionBy(key)
-    at = df.withColumn("_p", F.row_number().over(of.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(of))
-    i = F.ceil(F.col("_p") * n / F.col("_n"))  # the one number whose position may be _p
-    return at.where((F.col("_n") <= n) | ((i < n) & (F.floor(i * F.col("_n") / n) == F.col("_p")))).drop("_p", "_n")
+    place, size = free("_p", df), free("_n", df)
+    at = df.withColumn(place, F.row_number().over(of.orderBy(*order)) - 1).withColumn(size, F.count("*").over(of))
+    p, count = F.col(place), F.col(size)
+    i = F.ceil(p * n / count)  # the one number whose position may be p
+    return at.where((count <= n) | ((i < n) & (F.floor(i * count / n) == p))).drop(place, size)
 
 
 def random_subset(df: DataFrame, key: str, ids: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """n rows a key without replacement, drawn by a seeded hash of `ids` (ties by `ids`)."""
     draw = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in ids], F.lit(seed)), *ids)
-    return df.withColumn("_p", F.row_number().over(draw)).where(F.col("_p") <= n).drop("_p")
+    place = free("_p", df)
+    return df.withColumn(place, F.row_number().over(draw)).where(F.col(place) <= n).drop(place)
 
 
 def montage(df: DataFrame, key: str, order: Sequence[str], side: int, across: int = 5, cap: int = 20) -> DataFrame:

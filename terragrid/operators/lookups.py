@@ -13,24 +13,28 @@ from pyspark.sql import functions as F
 
 from terragrid.functions import geometry, labels
 from terragrid.operators import grids
+from terragrid.operators.grids import free
 
 
 def with_class_names(df: DataFrame, classes: DataFrame, code: str = "class", default: str = "unknown") -> DataFrame:
     """`df` and class_name, from (code, name); codes that are not listed get the default."""
-    named = classes.select(F.col("code").alias("_code"), F.col("name").alias("class_name"))
-    return df.join(named, F.col(code) == F.col("_code"), "left").drop("_code").withColumn("class_name", F.coalesce("class_name", F.lit(default)))
+    key, name = free("_code", df), free("_name", df)
+    named = classes.select(F.col("code").alias(key), F.col("name").alias(name))
+    return df.join(named, F.col(code) == F.col(key), "left").withColumn("class_name", F.coalesce(name, F.lit(default))).drop(key, name)
 
 
 def with_scale(df: DataFrame, scales: DataFrame, area: str = "area") -> DataFrame:
     """The rows whose area (in any case) has a scale, with it."""
-    named = scales.select(F.lower("area").alias("_area"), "scale")
-    return df.join(named, F.lower(area) == F.col("_area")).drop("_area")
+    key, value = free("_area", df), free("_scale", df)
+    named = scales.select(F.lower("area").alias(key), F.col("scale").alias(value))
+    return df.join(named, F.lower(area) == F.col(key)).withColumn("scale", F.col(value)).drop(key, value)
 
 
 def with_metadata(images: DataFrame, metadata: DataFrame, path: str = "path", file: str = "file") -> DataFrame:
     """Images left-joined with the metadata whose file is `<stem>_metadata.json`, `_ortho` being dropped from the stem."""
-    keyed = metadata.withColumn("_key", F.regexp_replace(labels.stem(F.col(file)), "_metadata$", "")).drop(file)
-    return images.withColumn("_key", labels.metadata_key(F.col(path))).join(keyed, "_key", "left").drop("_key")
+    key = free("_key", images, metadata)
+    keyed = metadata.withColumn(key, F.regexp_replace(labels.stem(F.col(file)), "_metadata$", "")).drop(file)
+    return images.withColumn(key, labels.metadata_key(F.col(path))).join(keyed, key, "left").drop(key)
 
 
 def present(df: DataFrame, listing: DataFrame, key: str) -> DataFrame:
@@ -45,10 +49,11 @@ def not_done(df: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
 
 def paired(originals: DataFrame, resized: DataFrame, keys: Sequence[str] = ("area", "file")) -> DataFrame:
     """Originals with their resized image (columns prefixed by resized_); an original without one is an error."""
-    other = resized.select(*keys, *[F.col(c).alias(f"resized_{c}") for c in resized.columns if c not in keys], F.lit(True).alias("_found"))
+    found = free("_found", originals)
+    other = resized.select(*keys, *[F.col(c).alias(f"resized_{c}") for c in resized.columns if c not in keys], F.lit(True).alias(found))
     out = originals.join(other, list(keys), "left")
-    check = F.assert_true(F.col("_found").isNotNull(), F.concat(F.lit("no resized image for "), F.concat_ws("/", *keys)))
-    return out.where(check.isNull()).drop("_found")
+    check = F.assert_true(F.col(found).isNotNull(), F.concat(F.lit("no resized image for "), F.concat_ws("/", *keys)))
+    return out.where(check.isNull()).drop(found)
 
 
 def look_up(catalog: DataFrame, name: str, col: str = "name") -> DataFrame:
@@ -71,7 +76,8 @@ def image_path(files: Column, kind: str) -> Column:
 
 def tile_join(polygons: DataFrame, tiles: DataFrame, bounds: str, size: float) -> DataFrame:
     """Polygons with the raster tiles (tx, ty, ...) that their bounds touch: an equi-join on tile ids, not a range join."""
-    return polygons.withColumn("_t", F.explode(geometry.tile_ids(F.col(bounds), size))).select("*", F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty")).drop("_t").join(tiles, ["tx", "ty"])
+    tile = free("_t", polygons)
+    return polygons.withColumn(tile, F.explode(geometry.tile_ids(F.col(bounds), size))).select("*", f"{tile}.tx", f"{tile}.ty").drop(tile).join(tiles, ["tx", "ty"])
 
 
 def judged_patches(patches: DataFrame, ring: str, threshold: float = 0.8, valid: str | None = None) -> DataFrame:
@@ -84,21 +90,14 @@ def judged_patches(patches: DataFrame, ring: str, threshold: float = 0.8, valid:
 def judged_windows(images: DataFrame, ring: str, size: int, step: int, threshold: float = 0.8, w: str = "w", h: str = "h") -> DataFrame:
     """The sliding patches of images with accepted: a ring is judged once an image, before its windows are made, and windows
     beside the ring's bounds are turned down without a look at its points."""
-    judged = images.withColumn(_free(images, "valid"), geometry.valid_polygon(F.col(ring))).withColumn(_free(images, "bounds"), geometry.ring_bounds(F.col(ring)))
-    valid, b = _free(images, "valid"), F.col(_free(images, "bounds"))
+    valid, bounds = free("valid", images), free("bounds", images)
+    judged = images.withColumn(valid, geometry.valid_polygon(F.col(ring))).withColumn(bounds, geometry.ring_bounds(F.col(ring)))
+    b = F.col(bounds)
     out = grids.sliding_patches(judged, size, step, w, h)
     meets = (b["minx"] < F.col("x1")) & (b["maxx"] > F.col("x0")) & (b["miny"] < F.col("y1")) & (b["maxy"] > F.col("y0"))
     covers = (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"]) >= threshold * float(size) ** 2  # bounds too small for any window
     hit = F.coalesce(F.when(F.col(valid) & meets & covers, geometry.overlaps_at_least(F.col(ring), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), threshold, F.lit(True))), F.lit(threshold <= 0) & F.col(valid))
-    return out.withColumn("accepted", F.when(F.col(ring).isNull(), True).otherwise(F.coalesce(hit, F.lit(False)))).drop(valid, _free(images, "bounds"))
-
-
-def _free(df: DataFrame, name: str) -> str:
-    """`name`, with as many underscores before it as make it no column of `df`."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
+    return out.withColumn("accepted", F.when(F.col(ring).isNull(), True).otherwise(F.coalesce(hit, F.lit(False)))).drop(valid, bounds)
 
 
 def rectangle_overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:

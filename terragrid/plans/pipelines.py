@@ -33,8 +33,9 @@ def extraction(polygons: DataFrame, rasters: DataFrame, srid: int | None = None,
 def metrics(summary: DataFrame, images: DataFrame, names: Sequence[str], size: tuple[int, int] = (100, 100)) -> DataFrame:
     """id, class and a column a metric of every record whose image exists, at a common size (w, h)."""
     w, h = size
-    seen = summary.withColumn("_k", labels.stem(F.col("file"))).join(images.withColumn("_k", labels.stem(F.col("path"))).select("_k", "v", "h", "w"), "_k")
-    small = seen.select("id", F.col("class_text").alias("class"), pixels.resized(F.col("v"), F.col("h"), F.col("w"), F.lit(h), F.lit(w), "bilinear").alias("v"), F.lit(h).alias("h"), F.lit(w).alias("w"))
+    records = summary.select("id", F.col("class_text").alias("class"), labels.stem(F.col("file")).alias("stem"))
+    seen = records.join(images.select(labels.stem(F.col("path")).alias("stem"), "v", "h", "w"), "stem")
+    small = seen.select("id", "class", pixels.resized(F.col("v"), F.col("h"), F.col("w"), F.lit(h), F.lit(w), "bilinear").alias("v"), F.lit(h).alias("h"), F.lit(w).alias("w"))
     return texture.with_metrics(small, list(names)).select("id", "class", *texture.known_metrics(list(names))[0])
 
 
@@ -76,9 +77,10 @@ def crop_batch(images: DataFrame, strategy: str, windows: Sequence[int] = (256,)
 
 def crop_pixels(manifest: DataFrame, images: DataFrame, window: int, level: float | None = None, kind: str = "gaussian", seed: int = 0) -> DataFrame:
     """The manifest with v and mask of each crop; pixels off the image are filled where `level` is given."""
-    src = images.select(F.col("image_id").alias("source_image_id"), F.col("v").alias("_v"), F.col("h").alias("_h"), F.col("w").alias("_w"))
-    out = manifest.join(src, "source_image_id").withColumn("_c", pixels.crop(F.col("_v"), F.col("_h"), F.col("_w"), F.col("x0"), F.col("y0"), window))
-    out = out.withColumn("v", F.col("_c.v")).withColumn("mask", F.col("_c.mask")).drop("_v", "_h", "_w", "_c")
+    image, cut = grids.free("_image", manifest), grids.free("_cut", manifest)
+    src = images.select(F.col("image_id").alias("source_image_id"), F.struct("v", "h", "w").alias(image))
+    out = manifest.join(src, "source_image_id").withColumn(cut, pixels.crop(F.col(image)["v"], F.col(image)["h"], F.col(image)["w"], F.col("x0"), F.col("y0"), window))
+    out = out.withColumn("v", F.col(cut)["v"]).withColumn("mask", F.col(cut)["mask"]).drop(image, cut)
     if level is None:
         return out
     return out.withColumn("v", pixels.noise_fill(F.col("v"), F.col("mask"), F.col("crop_id"), level, kind, seed, F.lit(window)))
@@ -87,9 +89,10 @@ def crop_pixels(manifest: DataFrame, images: DataFrame, window: int, level: floa
 def resize(images: DataFrame, scales: DataFrame, done: DataFrame | None = None, kind: str = "chebyshev") -> DataFrame:
     """Images of areas with a scale, resized by it (half-even sizes); those in `done` are skipped."""
     todo = images if done is None else lookups.not_done(images, done, "image_id")
-    out = lookups.with_scale(todo, scales).withColumn("_h", F.rint(F.col("h") * F.col("scale")).cast("int")).withColumn("_w", F.rint(F.col("w") * F.col("scale")).cast("int"))
-    out = out.withColumn("v", pixels.resized(F.col("v"), F.col("h"), F.col("w"), F.col("_h"), F.col("_w"), kind))
-    return out.withColumn("h", F.col("_h")).withColumn("w", F.col("_w")).drop("_h", "_w")
+    high, wide = grids.free("_h", todo), grids.free("_w", todo)
+    out = lookups.with_scale(todo, scales).withColumn(high, F.rint(F.col("h") * F.col("scale")).cast("int")).withColumn(wide, F.rint(F.col("w") * F.col("scale")).cast("int"))
+    out = out.withColumn("v", pixels.resized(F.col("v"), F.col("h"), F.col("w"), F.col(high), F.col(wide), kind))
+    return out.withColumn("h", F.col(high)).withColumn("w", F.col(wide)).drop(high, wide)
 
 
 def patches(images: DataFrame, ring: str = "ring", size: int = grids.PATCH, step: int = grids.STEP, threshold: float = grids.OVERLAP) -> DataFrame:

@@ -224,3 +224,24 @@ def test_polygon_crops_test_the_whole_grid(spark):
     df = spark.createDataFrame([(1, 1000, 1000, ring)], "image_id long, h int, w int, ring array<array<double>>")
     got = pipelines.crops(df.withColumn("area", F.lit("unita")), "polygon", n=5, window=200, ring="ring", threshold=0.3, area="area").collect()
     assert [(r.crop_id, r.crop_index, r.x0, r.y0) for r in got] == [("unita_0001_000", 0, 800, 800)]
+
+
+def test_columns_named_like_inner_ones_pass_through(spark):
+    """Operators that add and drop columns of their own leave a user's columns of any name alone."""
+    inner = ("_cols", "_rows", "_p", "_n", "_code", "_name", "_area", "_scale", "_key", "_found", "_t", "__p")
+    df = spark.range(3).selectExpr("id", "1 AS class", "'Area' AS area", "id AS k", "'a/x_ortho.png' AS path", "800 AS w", "600 AS h", *[f"'{c}' AS {c}" for c in inner])
+
+    def intact(out, kept=inner):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in kept)
+        return rows
+
+    assert len(intact(grids.fixed_grid(df, 256, 6))) == 18
+    assert len(intact(grids.fixed_grid(df, 256, 6, 100))) == 18
+    assert len(intact(grids.uniform_subsample(df, "class", ["id"], 2))) == 2
+    assert len(intact(grids.random_subset(df, "class", ["id"], 2))) == 2
+    assert {r.class_name for r in intact(lookups.with_class_names(df, spark.createDataFrame([(1, "one")], "code int, name string")))} == {"one"}
+    assert {r.scale for r in intact(lookups.with_scale(df, spark.createDataFrame([("AREA", 0.5)], "area string, scale double")))} == {0.5}
+    meta = spark.createDataFrame([("x_metadata.json", 7)], "file string, found int")
+    assert {r.found for r in intact(lookups.with_metadata(df, meta))} == {7}
+    assert len(intact(lookups.paired(df, df.select("id", "w"), ["id"]))) == 3
