@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terragrid.llm.shared import cut_lineage
+from terragrid.llm.shared import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     dropped; no edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
-    edges = cut_lineage(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    edges = stored(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(b.alias("a"), a.alias("b")))
-        roots = cut_lineage(both.groupBy(a.alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("root")))
+        roots = stored(both.groupBy(a.alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("root")))
         while True:
             onto = roots.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            step = cut_lineage(roots.join(onto, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            step = stored(roots.join(onto, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             roots = step.select("id", "root")
             if step.where("moved").isEmpty():
                 break
         to = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         edges = edges.join(to, "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").where("ra != rb")
-        edges = cut_lineage(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = stored(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if labels is None:
             labels = roots.select("id", F.col("root").alias("label"))
         else:
@@ -37,4 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
             labels = old.join(roots.select(F.col("id").alias("at"), "root"), "at", "left").select("id", F.coalesce("root", "at").alias("label"))
     if labels is None:
         return edges.select(a.alias("id"), b.alias("label"))
-    return cut_lineage(labels)
+    return stored(labels)

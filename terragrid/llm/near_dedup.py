@@ -14,7 +14,8 @@ Bands of `rows` coordinates are joined. No bucket's pairs are written out: each
 smallest one of a bucket or two, by the exact similarity of the shingles. Members that are connected then need no more
 comparisons. Where a bucket still falls into several components, its members are compared in blocks of bounded size: first
 by signatures alone, which tells the members that have a likely partner in the block, then only these by their shingles, in
-place. Only links leave a block, fewer than it has members. A link within the threshold is missed only if the pair shares no
+place. Each member meets its own block first. What then is not in a bucket's largest component meets all its blocks; the
+largest component's blocks don't meet each other. Only links leave a block, fewer than it has members. A link within the threshold is missed only if the pair shares no
 band (3e-6 at a similarity of exactly 0.8 with 24 bands of 4) or its signature is over 6 standard deviations off (1e-9).
 
 Nulls: null texts and texts without words have no shingles and are linked to nothing; a null id is left alone. A text of
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terragrid.llm.components import components
@@ -273,6 +274,35 @@ def _compare_blocks(least: float, threshold: float, k: int):
     return run
 
 
+def _blocks(members: Column, n_shingles: Column) -> Column:
+    """Blocks that so many members with so many shingles are dealt to."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(n_shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def within_blocks(placed: DataFrame) -> DataFrame:
+    """bucket, i, j, own, rep, label: each member of a bucket of several components once, in its block, which meets itself."""
+    open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return placed.join(open_, "bucket").select("bucket", own.alias("i"), own.alias("j"), own.alias("own"), "rep", "label")
+
+
+def across_blocks(placed: DataFrame) -> DataFrame:
+    """The same columns for buckets of several blocks: all members of different components meet.
+
+    The bucket's largest component is dealt to blocks of its own, and so are the others' members, the stragglers. Each
+    block of stragglers meets all blocks; the largest component's blocks don't meet each other, as its members need no link.
+    """
+    parts = placed.where("blocks > 1").groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = parts.groupBy("bucket").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.select("bucket", F.col("top.label").alias("main"), _blocks(F.col("top.n"), F.col("top.w")).alias("mains"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("others"))
+    held, hashed = placed.join(sizes, "bucket"), F.xxhash64("rep")
+    strays = F.col("label") != F.col("main")
+    own = F.when(strays, F.col("mains") + F.pmod(hashed, F.col("others"))).otherwise(F.pmod(hashed, F.col("mains"))).cast("int")
+    other = F.explode(F.sequence(F.when(strays, 0).otherwise(F.col("mains")), F.col("mains") + F.col("others") - 1))
+    met = held.withColumn("own", own).withColumn("other", other)
+    return met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
+
+
 def near_duplicates(df: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id, keep: class_id is the smallest id of the texts that links of `threshold` or more connect.
 
@@ -287,9 +317,8 @@ def _classified(df: DataFrame, n: int, threshold: float, bands: int, rows: int,
     sets = prints.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*named).agg(F.min(F.struct("id", "tkey")).alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     sets = cut_lineage(sets.withColumn("rep", F.monotonically_increasing_id()))  # an id may hold several sets, so they have numbers of their own
     members = sets.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
-    members = cut_lineage(members.drop("n_shingles").join(buckets, "bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size"), _blocks(F.count("*"), F.sum("n_shingles")).alias("blocks")).where("size > 1")
+    members = cut_lineage(members.join(buckets, "bucket"))
     compared = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("first.id").alias("f_id"), F.col("first.tkey").alias("f_key"))
     rows_ = df.select(F.col(id_col).alias("r_id"), F.xxhash64(text_col).alias("r_key"), F.col(text_col).alias("text"))
     firsts = rows_.join(compared, (F.col("r_id") == F.col("f_id")) & (F.col("r_key") == F.col("f_key"))).select("rep", "text")
@@ -308,22 +337,18 @@ def _classified(df: DataFrame, n: int, threshold: float, bands: int, rows: int,
         tried = new if tried is None else tried.unionByName(new)
         labels = components(links)
     # buckets that still fall into several components
-    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "blocks", F.coalesce("label", "rep").alias("label"))
-    open_ = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    left = placed.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = [*PLACE, "own", "rep", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label")]
-    left = left.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     prints_ = sets.select("rep", "sig")
-    dealt = left.join(prints_, "rep").select(*place, "sig").repartition(*PLACE).sortWithinPartitions(*PLACE)
-    likely = dealt.mapInArrow(freeing(_likely(least, bands * rows)), f"bucket long, i int, j int, own int, rep long, id long, label long")
-    likely = cut_lineage(likely)
-    dealt = likely.join(prints_, "rep").join(texts.withColumnRenamed("id", "rep"), "rep").drop("rep").repartition(*PLACE).sortWithinPartitions(*PLACE)
-    more = cut_lineage(dealt.mapInArrow(freeing(_compare_blocks(least, threshold, bands * rows)), "a long, b long").distinct())
-    if not more.isEmpty():
-        links = cut_lineage(links.unionByName(more))
-        labels = components(links)
+    for deal in (within_blocks, across_blocks):
+        placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", "blocks", F.coalesce("label", "rep").alias("label"))
+        place = [*PLACE, "own", "rep", F.col("rep").cast("long").alias("id"), F.col("label").cast("long").alias("label")]
+        dealt = deal(placed).join(prints_, "rep").select(*place, "sig").repartition(*PLACE).sortWithinPartitions(*PLACE)
+        likely = cut_lineage(dealt.mapInArrow(freeing(_likely(least, bands * rows)), "bucket long, i int, j int, own int, rep long, id long, label long"))
+        dealt = likely.join(prints_, "rep").join(texts.withColumnRenamed("id", "rep"), "rep").drop("rep").repartition(*PLACE).sortWithinPartitions(*PLACE)
+        more = cut_lineage(dealt.mapInArrow(freeing(_compare_blocks(least, threshold, bands * rows)), "a long, b long").distinct())
+        if not more.isEmpty():
+            links = cut_lineage(links.unionByName(more))
+            labels = components(links)
     labelled = sets.select(*named, "rep", F.col("first.id").alias("first")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     leads = labelled.groupBy("label").agg(F.min(F.struct("first", "rep")).alias("lead")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     classes = labelled.withColumn("salt", F.pmod("rep", F.lit(SALTS)).cast("int")).join(leads, ["label", "salt"])

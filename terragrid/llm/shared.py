@@ -43,6 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again, for loops of joins: a checkpoint keeps its plan's estimated
+    size, joins multiply it, and the digits of that number double with each round until planning takes for ever."""
+    path = new_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_chars(df: DataFrame, text_col: str = "text") -> int:
     """Sum of text lengths; sizes blocks and partitions. One number reaches the driver."""
     return df.agg(F.sum(F.length(text_col))).first()[0] or 0

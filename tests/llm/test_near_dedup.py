@@ -181,3 +181,40 @@ def test_very_long_texts(spark):
     rows = [(1, " ".join(long)), (2, " ".join([*long[:-50], *map(str, range(50))])), (3, " ".join(reversed(long))), (4, "short text of five words")]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
     assert got_classes(near_dedup.near_duplicates(df)) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_the_largest_component_of_a_bucket_is_not_sent_to_all_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    schema = "bucket long, rep long, n_shingles long, blocks int, label long"
+    counts = {}
+    for m in (1000, 4000):  # a component of m, 60 members of small components; a bucket of one component, a small bucket
+        rows = [(1, i, 9, (m + 60) // 50 + 1, 0 if i < m else i - i % 2) for i in range(m + 60)]
+        rows += [(2, i, 9, m // 50, 0) for i in range(m)] + [(3, i, 9, 1, i) for i in range(20)]
+        placed = spark.createDataFrame(rows, schema)
+        got = near_dedup.across_blocks(placed).collect()
+        assert {r.bucket for r in got} == {1}
+        groups = {}
+        for r in got:
+            groups.setdefault((r.i, r.j), []).append(r)
+        met = {(x.rep, y.rep) for (i, j), g in groups.items() for x in g for y in g if x.own == i and y.own == j and x.label != y.label}
+        met |= {(b, a) for a, b in met}
+        label = {r[1]: r[4] for r in rows if r[0] == 1}
+        assert all((a, b) in met for a in range(m, m + 60) for b in label if label[a] != label[b])
+        counts[m] = len(got)
+        once = near_dedup.within_blocks(placed).collect()
+        assert len(once) == m + 80 and all(r.i == r.j == r.own for r in once)
+    assert counts[4000] <= 4.5 * counts[1000]  # each member to each block: 16 times
+
+
+def test_rows_compared_in_a_large_group_of_near_copies(spark, monkeypatch):
+    """Blocks of few members give the classes of brute force, with stragglers on both sides of the threshold."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = [t for edits in (1, 2, 3, 4) for t in variants(rng, words, base, 70, edits)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t, "x", None, "y") for i, t in enumerate(texts)], SCHEMA)
+    want = brute_classes(list(enumerate(texts)))
+    assert 1 < len(set(want.values())) < len(want)
+    assert got_classes(near_dedup.near_duplicates(df)) == want
