@@ -32,7 +32,7 @@ from terragrid.llm.text import column, spread, units
 
 #: Bytes of pieces and their ids that a worker keeps during a task, pairs whose compatibility it keeps, bytes of a window of a
 #: piece's matches, and the largest rank file sent to executors.
-KEPT_BYTES, PAIRS, WINDOW, MAX_VOCABULARY = 24 << 20, 1 << 15, 1 << 13, 64 << 20
+KEPT_BYTES, PAIRS, WINDOW, MAX_VOCABULARY = 64 << 20, 1 << 17, 1 << 13, 64 << 20
 #: Bytes of a dictionary's table for each entry, at its emptiest.
 ENTRY_BYTES = 160
 #: White space as Unicode defines it; what \s means in the patterns.

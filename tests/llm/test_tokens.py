@@ -151,3 +151,13 @@ def test_kept_counts_are_bounded_in_bytes(monkeypatch):
     for _ in range(2):
         assert known.of(pieces, lambda b: [len(x) for x in b]).tolist() == list(map(len, pieces))
     assert 0 < known.held <= 50_000 and 0 < len(known.counts) < len(pieces)
+
+
+def test_many_distinct_pieces_are_encoded_once_a_task(monkeypatch):
+    """A task's text has some hundred thousand distinct words; a few ten thousand kept ones left the others to be encoded in each slice."""
+    enc = bpe.Encoder({bytes([i]): i for i in range(256)}, public_tokenizers.PATTERN)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(150_000)]
+    first = [enc.unit(w) for w in words]
+    monkeypatch.setattr(enc, "piece", lambda piece: pytest.fail("encoded again"))
+    assert [enc.unit(w) for w in words] == first
+    assert enc.held <= bpe.KEPT_BYTES
