@@ -41,6 +41,8 @@ WINDOW = 16
 QUERY_PACK, CLASS_PACK = 1 << 17, 1 << 19
 #: Candidates, proposals or integers worked on at once, and offsets of all histograms that a task holds.
 STEP, OFFSETS = 1 << 20, 1 << 20
+#: Integers of queries whose histograms are filled together, so that they are whole before they are judged.
+TOGETHER = 1 << 13
 #: Frames of a batch of transforms, and levels of a pitch class's share.
 BATCH, LEVELS = 1 << 15, 1 << 20
 
@@ -181,16 +183,26 @@ def cuts(sizes: np.ndarray) -> Iterator[slice]:
         at = to
 
 
-def near(q: np.ndarray, d: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def half(x: np.ndarray, shift: int) -> np.ndarray:
+    return (x >> np.uint32(shift) & np.uint32(0xFFFF)).astype(np.int64)
+
+
+def by_halves(d: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shift, order, ordered integers, start of each half's run) of the upper and of the lower halves of d."""
+    out = []
+    for shift in (16, 0):
+        order = np.argsort(half(d, shift).astype(np.uint16), kind="stable")
+        out.append((shift, order, d[order], np.searchsorted(half(d, shift)[order], np.arange((1 << 16) + 1))))
+    return out
+
+
+def near(q: np.ndarray, d: np.ndarray, most: int, halves: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in q and d (distinct integers) of all pairs with up to `most` unequal bits, each once."""
     flips = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)) <= most // 2)
-    for shift in (16, 0):
-        half = lambda x: (x >> np.uint32(shift) & np.uint32(0xFFFF)).astype(np.int64)  # noqa: B023, E731
-        order = np.argsort(half(d).astype(np.uint16), kind="stable")
-        sought, starts = d[order], np.searchsorted(half(d)[order], np.arange((1 << 16) + 1))
+    for shift, order, sought, starts in halves or by_halves(d):
         few = max(1, STEP // len(flips))
         for low in range(0, len(q), few):
-            probe = (half(q[low : low + few])[:, None] ^ flips).ravel()
+            probe = (half(q[low : low + few], shift)[:, None] ^ flips).ravel()
             size = starts[probe + 1] - starts[probe]
             use = np.flatnonzero(size)
             who, first, size = low + use // len(flips), starts[probe[use]], size[use]
@@ -205,12 +217,26 @@ def near(q: np.ndarray, d: np.ndarray, most: int) -> Iterator[tuple[np.ndarray,
 
 def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_errors: float, least_overlap: int) -> list[np.ndarray]:
     """id, class_id, offset, overlap, errors, votes of the best admitted alignment of each recording of `a` with each of `b` (ids, ends, ints)."""
+    ids, ends, ints = a
+    order = np.argsort(b[2], kind="stable")
+    d, first, n = np.unique(b[2][order], return_index=True, return_counts=True)
+    looked_up = order, d, first, n, by_halves(d)
+    found, at = [], 0
+    while at < len(ids) or not found:  # a few recordings at a time: their histograms are whole where they are judged
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
+        part = ids[at:to], ends[at : to + 1] - ends[at], ints[ends[at] : ends[min(to, len(ids))]]
+        found.append(_best_alignments(part, b, looked_up, most_errors, least_overlap))
+        at = to
+    return [np.concatenate(v) for v in zip(*found)]
+
+
+def _best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], looked_up: tuple, most_errors: float, least_overlap: int) -> list[np.ndarray]:
     (ids_a, ends_a, ints_a), (ids_b, ends_b, ints_b) = a, b
     len_a, len_b = np.diff(ends_a), np.diff(ends_b)
     rec_a, rec_b = np.repeat(np.arange(len(len_a)), len_a), np.repeat(np.arange(len(len_b)), len_b)
-    order_a, order_b = np.argsort(ints_a, kind="stable"), np.argsort(ints_b, kind="stable")
+    order_a = np.argsort(ints_a, kind="stable")
     q, first_a, n_a = np.unique(ints_a[order_a], return_index=True, return_counts=True)
-    d, first_b, n_b = np.unique(ints_b[order_b], return_index=True, return_counts=True)
+    order_b, d, first_b, n_b, halves = looked_up
     span = int(len_a.max(initial=0) + len_b.max(initial=0)) + 1
     most = int(32 * most_errors + 1e-9)
     kept = [np.zeros(0, np.int64)] * 4 + [np.zeros(0), np.zeros(0, np.int64)]
@@ -268,7 +294,7 @@ def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_e
 
     def counted() -> Iterator[np.ndarray]:
         held, size = [], 0
-        for x, y in near(q, d, most):
+        for x, y in near(q, d, most, halves):
             held.append((x, y))
             size += int((n_a[x] * n_b[y]).sum())
             if size >= STEP:

@@ -266,3 +266,24 @@ def test_fingerprints_do_not_depend_on_the_batch():
     ends, together = audio.fingerprints_of([audio.samples(t, "u8") for t in texts * 3], 8000, 256, 64)
     for i, want in enumerate(alone * 3):
         assert (together[ends[i] : ends[i + 1]] == want).all()
+
+
+def test_histograms_are_whole_where_they_are_judged(monkeypatch):
+    """Where all queries' offsets outgrow a task's histograms, no more is read than with room for all of them."""
+    rng = np.random.default_rng(4)
+
+    def recordings(n, first):
+        return np.arange(first, first + n), np.arange(0, 40 * n + 1, 40), rng.integers(0, 1 << 32, 40 * n).astype(np.uint32) & np.uint32(0x03FF03FF)
+
+    a, b = recordings(60, 0), recordings(200, 1000)
+    b[2][400:430] = a[2][85:115]  # one alignment
+    cuts, read = audio.cuts, []
+    monkeypatch.setattr(audio, "cuts", lambda sizes: (read.append(int(sizes.sum())), cuts(sizes))[1])
+    want, most = audio.best_alignments(a, b, 0.1, 16), sum(read)
+    read.clear()
+    monkeypatch.setattr(audio, "OFFSETS", 10_000)
+    monkeypatch.setattr(audio, "TOGETHER", 400, raising=False)
+    got = audio.best_alignments(a, b, 0.1, 16)
+    assert (2, 1010) in set(zip(got[0].tolist(), got[1].tolist()))
+    assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(zip(*map(np.ndarray.tolist, want)))
+    assert sum(read) <= 1.1 * most
