@@ -352,7 +352,9 @@ _OVER = f"{_PATCH}, {RECTS}, ov AS (SELECT p.image_id, i, j, greatest(0, least(p
 
 
 def _patches(s: SparkSession, d: str) -> DataFrame:
-    return grids.sliding_patches(dims(s, d)).join(rects(s, d), "image_id")
+    """Patches with their image's rectangle. Images are joined before they are cut, and merged: Spark's sizes count neither the
+    rows an explode makes nor what a file's bytes hold once decoded, so that it would broadcast millions of rows."""
+    return grids.sliding_patches(dims(s, d).join(rects(s, d).hint("merge"), "image_id"))
 
 
 @query(f"WITH {_OVER} SELECT image_id, i, j, {R('area')} AS area FROM ov")
