@@ -6,15 +6,17 @@ that each frame becomes a packed 32-bit integer, of which similar sounds differ
 
 The search finds, for every recording whose id is divisible by `every`, all recordings that align with it. Recordings
 with equal fingerprints are one class and are compared once. An alignment with a bit error rate of e at most has an integer
-with 32 e unequal bits at most (no mean is under its least term), and one half of that integer has half of them at most: so
-the integers are looked up by each half with up to so many bits turned. Every pair of integers this near is a vote for
-its offset in the histogram of its two recordings. As each overlapping integer without a vote costs the bits it is apart at
-least, an offset's votes bound its bit errors from below: offsets with fewer votes than an admitted rate leaves room for are
-turned down unread, all others are judged by the integers that overlap there, and the one with the lowest bit error rate
-stays. No admitted pair is missed, whatever its length or offset.
+with 32 e unequal bits at most (no mean is under its least term), so the queries' integers are looked up with up to so many
+bits turned; every second one with a bit less, where the bits that this leaves unseen still exceed an admitted rate. Among
+many integers a lookup tries all turned bits of a key of up to 24 bits, among a few it tries each half with half of the bits.
+Every pair of integers found is a vote for its offset in the histogram of its two recordings. As each overlapping integer
+without a vote costs the bits it is apart at least, an offset's votes, weighed by their unequal bits, bound its bit errors
+from below: offsets with less weight than an admitted rate leaves room for are turned down unread, all others are judged by
+the integers that overlap there, and the one with the lowest bit error rate stays. No admitted pair is missed, whatever its
+length or offset.
 
 Queries and classes are dealt into packs of bounded size, and each pack of queries meets each pack of classes in one task:
-the work grows with queries times recordings, by a small factor (about 5 of 1,000 pairs of integers share a probed half).
+the work grows with queries times recordings, by a small factor (about 5 of 100,000 pairs of integers are votes).
 
 Nulls: null or empty media have no integers and belong to no class; null ids are in no class. Recordings shorter than a
 window are repeated up to it. Repeated rows are members of one class. Empty tables give empty results.
@@ -22,6 +24,7 @@ window are repeated up to it. Repeated rows are members of one class. Empty tabl
 
 from __future__ import annotations
 
+import functools
 import io
 import math
 import wave
@@ -38,11 +41,13 @@ from terragrid.llm.text import U, column, mix, spread
 #: Frames of a filter's window.
 WINDOW = 16
 #: Integers of a pack of queries and of a pack of classes; a longer recording is in a pack of its own or ends one.
-QUERY_PACK, CLASS_PACK = 1 << 17, 1 << 19
+QUERY_PACK, CLASS_PACK = 1 << 18, 1 << 20
 #: Candidates, proposals or integers worked on at once, and offsets of all histograms that a task holds.
 STEP, OFFSETS = 1 << 20, 1 << 20
 #: Integers of queries whose histograms are filled together, so that they are whole before they are judged.
-TOGETHER = 1 << 13
+TOGETHER = 1 << 12
+#: Keys looked up at once, and bits of a key at most.
+PROBES, KEY_BITS = 1 << 17, 24
 #: Frames of a batch of transforms, and levels of a pitch class's share.
 BATCH, LEVELS = 1 << 15, 1 << 20
 
@@ -183,76 +188,186 @@ def cuts(sizes: np.ndarray) -> Iterator[slice]:
         at = to
 
 
-def half(x: np.ndarray, shift: int) -> np.ndarray:
-    return (x >> np.uint32(shift) & np.uint32(0xFFFF)).astype(np.int64)
+@functools.cache
+def ball(bits: int, most: int) -> np.ndarray:
+    """All numbers of `bits` bits with up to `most` ones."""
+    out = np.zeros(1, np.int64)
+    for _ in range(min(most, bits)):
+        out = np.unique(out[:, None] | np.append(0, 1 << np.arange(bits)))
+    return out
+
+
+def keyed(x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """The keys of x: what the tables (one a byte) have for its bits, combined by exclusive or."""
+    out = np.zeros(len(x), np.int64)
+    for i, t in enumerate(tables):
+        out ^= t[(x >> np.uint32(8 * i)).astype(np.uint8)]
+    return out
+
 
+def looked_up(d: np.ndarray, most: int, whole: bool | None = None) -> list[tuple]:
+    """Indexes of d (distinct integers) for lookups with up to `most` unequal bits: (mask of the part, bits of its key, tables
+    of keys and of hashes, order, ordered integers, start of each key's run, whether a key is there, and a hash) of each part.
 
-def by_halves(d: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(shift, order, ordered integers, start of each half's run) of the upper and of the lower halves of d."""
+    One part, whose key are the bits that differ most among the integers, if that tries fewer keys than lookups by halves, of
+    which one has half of the unequal bits at most, would compare integers (or if so told). The hash is of all bits; bits of
+    the key turned in it are the same bits turned in the hash.
+    """
+    size = lambda bits, n: sum(math.comb(bits, k) for k in range(min(n, bits) + 1))
+    wide = min(KEY_BITS, len(d).bit_length() + 2)
+    runs = [np.bincount(x).astype(float) for x in (d >> np.uint32(16), d & np.uint32(0xFFFF))]
+    if whole or whole is None and size(wide, most) < size(16, most // 2) * sum((x * x).sum() for x in runs) / max(1, len(d)):
+        some = d[:: 1 + len(d) // 20_000]
+        ones = np.array([(some >> np.uint32(b) & np.uint32(1)).mean() for b in range(32)])
+        parts = [(0xFFFFFFFF, np.sort(np.argsort(np.abs(ones - 0.5), kind="stable")[:wide]))]
+    else:
+        parts = [(0xFFFF0000, np.arange(16, 32)), (0x0000FFFF, np.arange(16))]
     out = []
-    for shift in (16, 0):
-        order = np.argsort(half(d, shift).astype(np.uint16), kind="stable")
-        out.append((shift, order, d[order], np.searchsorted(half(d, shift)[order], np.arange((1 << 16) + 1))))
+    for mask, bits in parts:
+        n = 1 << len(bits)
+        chosen = np.zeros(32, np.int64)
+        chosen[bits] = 1 << np.arange(len(bits))
+        mixed = np.where(chosen, chosen, 0x9E3779B1 * np.arange(1, 33) % n)
+        of_bytes = np.arange(256)[:, None] >> np.arange(8) & 1
+        tables, hashes = ([np.bitwise_xor.reduce(of_bytes * x[i : i + 8], axis=1) for i in range(0, 32, 8)] for x in (chosen, mixed))
+        key = keyed(d, tables)
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        starts, there = np.zeros(n + 1, np.int32), np.zeros((2, n), bool)
+        last = np.flatnonzero(np.append(key[1:] != key[:-1], True)[: len(key)])
+        starts[key[last] + 1] = last + 1
+        np.maximum.accumulate(starts, out=starts)
+        there[0, key[last]] = there[1, keyed(d, hashes)] = True
+        out.append((np.uint32(mask), len(bits), tables, hashes, order, d[order], starts, *there))
     return out
 
 
-def near(q: np.ndarray, d: np.ndarray, most: int, halves: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near(q: np.ndarray, d: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in q and d (distinct integers) of all pairs with up to `most` unequal bits, each once."""
-    flips = np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)) <= most // 2)
-    for shift, order, sought, starts in halves or by_halves(d):
-        few = max(1, STEP // len(flips))
-        for low in range(0, len(q), few):
-            probe = (half(q[low : low + few], shift)[:, None] ^ flips).ravel()
-            size = starts[probe + 1] - starts[probe]
-            use = np.flatnonzero(size)
-            who, first, size = low + use // len(flips), starts[probe[use]], size[use]
-            for part in cuts(size):
-                at, asks = spread(first[part], size[part]), np.repeat(who[part], size[part])
-                unequal = sought[at] ^ q[asks]
-                good = np.bitwise_count(unequal) <= most
-                if shift == 0:  # the pairs near in the upper half are given already
-                    good &= np.bitwise_count(unequal >> np.uint32(16)) > most // 2
-                yield asks[good], order[at[good]]
+    for x, y, _ in found(q, most, looked_up(d, most)):
+        yield x, y
+
+
+def found(q: np.ndarray, most: int, index: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As `near`, with the number of unequal bits, in an index for so many or more."""
+    least = most // len(index)
+    for n, (_, bits, tables, hashes, order, sought, starts, key_there, hash_there) in enumerate(index):
+        key, hashed = keyed(q, tables), keyed(q, hashes)
+        flips = ball(bits, least)
+        turned = np.bitwise_count(flips)
+        whole = len(index) == 1  # then what has all its unequal bits in the key is the query but for these, and has its hash
+        for flips, known in ((flips[turned < least], False), (flips[turned == least], whole)):
+            few = max(1, PROBES // max(1, len(flips)))
+            for low in range(0, len(q) if len(flips) else 0, few):
+                probe = (key[low : low + few, None] ^ flips).ravel()
+                use = np.flatnonzero(key_there[probe])
+                who, flip = np.divmod(use, len(flips))
+                who += low
+                if known:
+                    can = np.flatnonzero(hash_there[hashed[who] ^ flips[flip]])
+                    use, who = use[can], who[can]
+                probe = probe[use]
+                first = starts[probe]
+                size = starts[probe + 1] - first
+                for part in cuts(size):
+                    at, asks = spread(first[part], size[part]), np.repeat(who[part], size[part])
+                    unequal = sought[at] ^ q[asks]
+                    bits_apart = np.bitwise_count(unequal)
+                    good = bits_apart <= most
+                    for before, *_ in index[:n]:  # the pairs near in an earlier part are given already
+                        good &= np.bitwise_count(unequal & before) > least
+                    good = np.flatnonzero(good)
+                    yield asks[good], order[at[good]], bits_apart[good]
 
 
 def best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], most_errors: float, least_overlap: int) -> list[np.ndarray]:
     """id, class_id, offset, overlap, errors, votes of the best admitted alignment of each recording of `a` with each of `b` (ids, ends, ints)."""
     ids, ends, ints = a
-    order = np.argsort(b[2], kind="stable")
-    d, first, n = np.unique(b[2][order], return_index=True, return_counts=True)
-    looked_up = order, d, first, n, by_halves(d)
-    found, at = [], 0
-    while at < len(ids) or not found:  # a few recordings at a time: their histograms are whole where they are judged
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
+    size = np.diff(ends)
+    by_size = np.argsort(size, kind="stable")
+    ints, ids, size = ints[spread(ends[:-1][by_size], size[by_size])], ids[by_size], size[by_size]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    order = np.argsort(b[2], kind="stable").astype(np.int32)
+    d = b[2][order]
+    first = np.flatnonzero(np.append(True, d[1:] != d[:-1])[: len(d)]).astype(np.int32)
+    d, n = d[first], np.diff(first, append=np.int32(len(d)))
+    most, wide = int(32 * most_errors + 1e-9), 2 * (int(size.max(initial=0)) + int(np.diff(b[1]).max(initial=0)) + 1)
+    key = np.repeat(wide * np.arange(len(b[0])) + b[1][:-1], np.diff(b[1])) - np.arange(len(b[2]))
+    index = wide, order, first, n, n > 1, key, key[order[first]], looked_up(d, most)
+    each, at = [], 0
+    while at < len(ids) or not each:  # a few recordings at a time: their histograms are whole where they are judged
+        to = max(at + 1, min(int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1, at + (1 << 56) // (wide * max(1, len(b[0])))))
         part = ids[at:to], ends[at : to + 1] - ends[at], ints[ends[at] : ends[min(to, len(ids))]]
-        found.append(_best_alignments(part, b, looked_up, most_errors, least_overlap))
+        each.append(_best_alignments(part, b, index, most_errors, least_overlap))
         at = to
-    return [np.concatenate(v) for v in zip(*found)]
+    return [np.concatenate(v) for v in zip(*each)]
+
 
+def radii(sizes: np.ndarray, most_errors: float, least_overlap: int) -> tuple[np.ndarray, float]:
+    """Unequal bits with which each integer of queries of these sizes is looked up, and the weight that admitted offsets have.
 
-def _best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], looked_up: tuple, most_errors: float, least_overlap: int) -> list[np.ndarray]:
+    What is not found within r bits is r + 1 bits apart at least. So some vote is found wherever these bits sum up to more
+    than an overlap may have, and every second integer may do with one bit less if that holds for all overlaps from the
+    least on. Each bit less that a vote has is its weight; an admitted offset's weight is what the sum exceeds its bits by.
+    """
+    bits, n = 32 * most_errors, np.arange(1, 129)
+    most, least = int(bits + 1e-9), np.clip(np.minimum(least_overlap, sizes // 4), 1, 64)
+    every_second = most * n + n // 2
+    whole = np.logical_and.accumulate((every_second > bits * n + 1e-6)[::-1])[::-1]  # so for all overlaps of n or more
+    few = whole[least - 1] & (bits - most <= 0.4)
+    place = spread(np.zeros(len(sizes), np.int64), sizes)
+    over = every_second if few.any() else (most + 1) * n
+    return most - (place % 2 * np.repeat(few, sizes)), float((over - bits * n)[least.min(initial=64) - 1 :].min())
+
+
+def summed(votes: list[np.ndarray], keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of each one's weights: of votes (64 keys plus weight) and of such sums."""
+    both = np.concatenate([*votes, keys << 6])
+    if len(keys):
+        order = np.argsort(both)
+        both, weights = both[order], np.concatenate([*(v & 63 for v in votes), weights])[order]
+    else:
+        both.sort()
+        weights = both & 63
+    both >>= 6
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+    return both[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
+def _best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], index: tuple, most_errors: float, least_overlap: int) -> list[np.ndarray]:
     (ids_a, ends_a, ints_a), (ids_b, ends_b, ints_b) = a, b
     len_a, len_b = np.diff(ends_a), np.diff(ends_b)
-    rec_a, rec_b = np.repeat(np.arange(len(len_a)), len_a), np.repeat(np.arange(len(len_b)), len_b)
-    order_a = np.argsort(ints_a, kind="stable")
-    q, first_a, n_a = np.unique(ints_a[order_a], return_index=True, return_counts=True)
-    order_b, d, first_b, n_b, halves = looked_up
-    span = int(len_a.max(initial=0) + len_b.max(initial=0)) + 1
+    wide, order_b, first_b, n_b, many_b, key_b, at_b, found_in = index
     most = int(32 * most_errors + 1e-9)
+    radius, least_weight = radii(len_a, most_errors, least_overlap)
+    bits_upto = np.concatenate([[0], np.cumsum(radius + 1)])
+    #: With key_b of a class's integer: the number of the two recordings times `wide`, plus the offset and half of `wide`.
+    key_a = np.repeat(len(len_b) * wide * np.arange(len(len_a)) - ends_a[:-1] + wide // 2, len_a) + np.arange(len(ints_a))
     kept = [np.zeros(0, np.int64)] * 4 + [np.zeros(0), np.zeros(0, np.int64)]
 
-    def proposals(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
-        """A key of recordings and offset for each vote of the near integers q[x], d[y], at all places that have them."""
-        upto = np.concatenate([[0], np.cumsum(n_a[x] * n_b[y])])
-        for low in range(0, int(upto[-1]), STEP):
-            nth = np.arange(low, min(low + STEP, upto[-1]))
-            hit = np.searchsorted(upto, nth, "right") - 1
-            nth -= upto[hit]
-            i = order_a[first_a[x[hit]] + nth // n_b[y[hit]]]
-            j = order_b[first_b[y[hit]] + nth % n_b[y[hit]]]
-            r, s = rec_a[i], rec_b[j]
-            apart = ids_a[r] != ids_b[s]
-            yield ((r * len(len_b) + s) * (2 * span) + (i - ends_a[r]) - (j - ends_b[s]) + span)[apart]
+    def votes() -> Iterator[np.ndarray]:
+        """64 keys of recordings and offset plus weight, for each two integers that are found near, at all places that have them."""
+        for r in np.unique(radius[radius >= 0]):
+            order_a = np.flatnonzero(radius == r)
+            order_a = order_a[np.argsort(ints_a[order_a], kind="stable")]
+            q, first_a, n_a = np.unique(ints_a[order_a], return_index=True, return_counts=True)
+            at_a, many_a = key_a[order_a[first_a]], n_a > 1
+            for x, y, apart in found(q, int(r), found_in):
+                weight, more = r + 1 - apart, many_a[x] | many_b[y]
+                vote = (at_a[x] + at_b[y] << 6) + weight
+                if not more.any():
+                    yield vote
+                    continue
+                yield vote[~more]
+                x, y, weight = x[more], y[more], weight[more]
+                upto = np.concatenate([[0], np.cumsum(n_a[x] * n_b[y])])
+                for low in range(0, int(upto[-1]), STEP):
+                    nth = np.arange(low, min(low + STEP, upto[-1]))
+                    hit = np.searchsorted(upto, nth, "right") - 1
+                    nth -= upto[hit]
+                    i = order_a[first_a[x[hit]] + nth // n_b[y[hit]]]
+                    j = order_b[first_b[y[hit]] + nth % n_b[y[hit]]]
+                    yield (key_a[i] + key_b[j] << 6) + weight[hit]
 
     def best(found: list[np.ndarray]) -> list[np.ndarray]:
         """Of each two recordings the alignment of the lowest rate, then the longest overlap, then the least shift."""
@@ -263,15 +378,19 @@ def _best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], looke
         first[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
         return [v[first] for v in found]
 
-    def judge(key: np.ndarray, votes: np.ndarray | None) -> list[np.ndarray]:
-        """The admitted alignments among `key`. Given all votes of each, those with too few are not read."""
-        pair, offset = key // (2 * span), key % (2 * span) - span
+    def judge(key: np.ndarray, weight: np.ndarray | None) -> list[np.ndarray]:
+        """The admitted alignments among `key`. Given the whole weight of each, those with too little are not read."""
+        if weight is not None:
+            use = weight >= least_weight - 1e-6
+            key, weight = key[use], weight[use]
+        pair, offset = key // wide, key % wide - wide // 2
         r, s = pair // len(len_b), pair % len(len_b)
         start = np.maximum(0, offset)
         overlap = np.minimum(len_a[r], len_b[s] + offset) - start
-        use = overlap >= np.minimum(least_overlap, np.maximum(len_a[r], len_b[s]) // 4)
-        if votes is not None:
-            use &= (most + 1) * (overlap - votes) <= 32 * most_errors * overlap + 1e-6
+        use = (ids_a[r] != ids_b[s]) & (overlap >= np.minimum(least_overlap, np.maximum(len_a[r], len_b[s]) // 4))
+        if weight is not None:
+            from_ = ends_a[r] + start
+            use &= bits_upto[from_ + overlap] - bits_upto[from_] - weight <= 32 * most_errors * overlap + 1e-6
         for share in (2, 1):  # what exceeds the errors of the whole in its first half is not read to the end
             r, s, offset, start, overlap = (v[use] for v in (r, s, offset, start, overlap))
             n, errors, near_ones = -(-overlap // share), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)  # the latter of wholes only
@@ -284,34 +403,19 @@ def _best_alignments(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], looke
             use = errors / (32 * overlap) <= most_errors
         return [v[use] for v in (r, s, offset, overlap, errors / (32 * overlap), near_ones)]
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, votes) of histograms that are added up."""
-        key, votes = (np.concatenate(v) for v in zip(*parts))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        return key[first], np.add.reduceat(votes[order], first) if len(first) else votes
-
-    def counted() -> Iterator[np.ndarray]:
-        held, size = [], 0
-        for x, y in near(q, d, most, halves):
-            held.append((x, y))
-            size += int((n_a[x] * n_b[y]).sum())
-            if size >= STEP:
-                yield from proposals(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
-        if held:
-            yield from proposals(*map(np.concatenate, zip(*held)))
-
-    histogram = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for keys in counted():
-        histogram = [merged([*histogram, np.unique(keys, return_counts=True)])]
-        if len(histogram[0][0]) > OFFSETS:  # judged without the bound: more votes of these offsets may be to come
-            kept = best([np.concatenate(v) for v in zip(kept, judge(histogram[0][0], None))])
-            histogram = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    histogram, held, size = none, [], 0
+    for vote in votes():
+        held.append(vote)
+        size += len(vote)
+        if size >= STEP:
+            histogram, held, size = summed(held, *histogram), [], 0
+            if len(histogram[0]) > OFFSETS:  # judged without the bound: more votes of these offsets may be to come
+                kept = best([np.concatenate(v) for v in zip(kept, judge(histogram[0], None))])
+                histogram = none
     # what has votes from before a judgement was judged then: turning it down by the rest of them changes nothing
-    r, s, offset, overlap, errors, votes = best([np.concatenate(v) for v in zip(kept, judge(*histogram[0]))])
-    return [ids_a[r], ids_b[s], offset.astype(np.int32), overlap.astype(np.int32), errors, votes.astype(np.int32)]
+    r, s, offset, overlap, errors, near_ones = best([np.concatenate(v) for v in zip(kept, judge(*summed(held, *histogram)))])
+    return [ids_a[r], ids_b[s], offset.astype(np.int32), overlap.astype(np.int32), errors, near_ones.astype(np.int32)]
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -337,9 +441,9 @@ def align(df: DataFrame, media_col: str, kind: str = "wav", rate: int = 11025, f
     usable = prints.where("n_ints > 0 AND id IS NOT NULL")
     classes = cut_lineage(usable.groupBy(*key).agg(F.min("id").alias("class_id"), F.max(F.col("id") % every == 0).alias("asked"), F.first("ints").alias("ints")))
     asked = classes.where("asked")
-    n_packs = 1 + (asked.agg(F.sum("n_ints")).first()[0] or 0) // QUERY_PACK
-    a = cut_lineage(packs(asked.repartition(n_packs), QUERY_PACK)).select(*(F.col(c).alias(f"{c}_a") for c in ("ids", "ends", "ints")))
-    pairs = a.hint("shuffle_replicate_nl").crossJoin(cut_lineage(packs(classes, CLASS_PACK)))
+    in_all, in_asked = (x or 0 for x in classes.agg(F.sum("n_ints"), F.sum(F.when(F.col("asked"), F.col("n_ints")))).first())
+    a = cut_lineage(packs(asked.repartition(1 + in_asked // QUERY_PACK), QUERY_PACK)).select(*(F.col(c).alias(f"{c}_a") for c in ("ids", "ends", "ints")))
+    pairs = a.hint("shuffle_replicate_nl").crossJoin(cut_lineage(packs(classes.coalesce(1 + in_all // CLASS_PACK), CLASS_PACK)))
     kinds = {"ids": "<i8", "ends": "<i8", "ints": "<u4"}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Fingerprints of synthetic melodies, and the search against brute force over all pairs and offsets."""
 
+import functools
 import io
 import random
 import wave
@@ -287,3 +288,48 @@ def test_histograms_are_whole_where_they_are_judged(monkeypatch):
     assert (2, 1010) in set(zip(got[0].tolist(), got[1].tolist()))
     assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(zip(*map(np.ndarray.tolist, want)))
     assert sum(read) <= 1.1 * most
+
+
+def test_lookups_compare_little_beyond_the_near_integers(monkeypatch):
+    """Integers that differ in a few bits only, as those of alike sounds do: lookups by halves compare many that are far apart."""
+    rng = np.random.default_rng(12)
+    few_bits = np.uint32(0x0F3C_33F0)  # 16 of the 32
+    d = np.unique(rng.integers(0, 1 << 32, 60_000, dtype=np.uint32) & few_bits | rng.integers(0, 1 << 32, 60_000, dtype=np.uint32) & np.uint32(0x8000_4081))
+    q = np.unique(rng.choice(d, 100))
+    cuts, compared = audio.cuts, []
+    monkeypatch.setattr(audio, "cuts", lambda sizes: (compared.append(int(sizes.sum())), cuts(sizes))[1])
+    pairs = [pair for x, y in audio.near(q, d, 3) for pair in zip(x.tolist(), y.tolist())]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == set(zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(q[:, None] ^ d) <= 3))))
+    assert sum(compared) <= 4 * len(pairs)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 4])
+def test_one_key_finds_all_near_integers(most):
+    """As a large table is looked up, by the key and its hash, for as many unequal bits as the index is for and for fewer."""
+    rng = np.random.default_rng(13)
+    q = np.unique(rng.integers(0, 1 << 32, 150, dtype=np.uint32))
+    turned = [x ^ np.bitwise_or.reduce(np.uint32(1) << rng.integers(0, 32, n, dtype=np.uint32)) for x in q for n in (1, 2, 3, 4, 5)]
+    d = np.unique(np.concatenate([turned, q[:50]]).astype(np.uint32))
+    index = audio.looked_up(d, 4, whole=True)
+    assert len(index) == 1
+    got = [triple for v in audio.found(q, most, index) for triple in zip(*(x.tolist() for x in v))]
+    apart = np.bitwise_count(q[:, None] ^ d)
+    want = {(int(x), int(y), int(apart[x, y])) for x, y in zip(*np.nonzero(apart <= most))}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_lookups_leave_no_room_for_an_admitted_rate():
+    """What every overlap's integers are apart if none is found exceeds the bits that the rate admits."""
+    for rate in (0.01, 0.03, 0.05, 0.09, 0.1, 0.11, 0.12, 0.2):
+        for size in range(1, 70):
+            radius, least_weight = audio.radii(np.array([size]), rate, 16)
+            upto = np.concatenate([[0], np.cumsum(radius + 1)])
+            least = max(1, min(16, size // 4))
+            over = [upto[lo + n] - upto[lo] - 32 * rate * n for n in range(least, size + 1) for lo in range(size - n + 1)]
+            assert min(over) > 1e-6 and least_weight <= min(over) + 1e-9
+
+
+def test_alignments_by_one_key_are_those_of_all_offsets(monkeypatch):
+    """The test of votes against all offsets, with the index that large packs have."""
+    monkeypatch.setattr(audio, "looked_up", functools.partial(audio.looked_up, whole=True))
+    test_votes_are_the_height_of_the_offset_histogram(monkeypatch)
